@@ -35,6 +35,13 @@ SELECT n.doc_id, n.n AS n_shingles, component_id, n.doc_id = component_id AS kep
 """
 
 
+def op6_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foldspark.llm.quality import classify, train
+
+    docs = _documents(spark, sf_dir)
+    return classify(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op7_spfhp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -43,6 +50,19 @@ def op7_spfhp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir), tokenizer=public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_compression_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foldspark.llm.rules import quality_rules
+
+    return quality_rules(_documents(spark, sf_dir))
+
+
+def op9_kneser_ney_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foldspark.llm.langid import identify, train
+
+    docs = _documents(spark, sf_dir)
+    return identify(docs, train(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 

@@ -128,20 +128,25 @@ def steps(column: pa.Array, limit: int = STEP_BYTES) -> Iterator[tuple[int, int,
         row = end
 
 
-def batch_words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of a run of texts, and the first word's index of every text (with the total at the end).
+def batch_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of a run's words, and the first word's index of every text (with the total at the end).
 
-    With ``lower`` A-Z count as a-z. Words never cross from one text into the next.
+    Words never cross from one text into the next.
     """
-    if lower:
-        data = _LOWER[data]
     starts, ends = word_spans(data)
     # a text may begin right after the last word of the one before: cut such words
     cuts = offsets[1:-1]
     if len(starts) and len(cuts):
-        at = np.searchsorted(starts, cuts, "left") - 1
-        inner = cuts[(at >= 0) & (ends[np.maximum(at, 0)] > cuts) & (starts[np.maximum(at, 0)] < cuts)]
+        at = np.maximum(np.searchsorted(starts, cuts, "left") - 1, 0)
+        inner = np.unique(cuts[(ends[at] > cuts) & (starts[at] < cuts)])
         if len(inner):
-            inner = np.unique(inner)
             starts, ends = np.sort(np.concatenate((starts, inner))), np.sort(np.concatenate((ends, inner)))
-    return span_hashes(data, starts, ends), np.searchsorted(starts, offsets, "left")
+    return starts, ends, np.searchsorted(starts, offsets, "left")
+
+
+def batch_words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of a run of texts, and the first word's index of every text. With ``lower`` A-Z count as a-z."""
+    if lower:
+        data = _LOWER[data]
+    starts, ends, first = batch_spans(data, offsets)
+    return span_hashes(data, starts, ends), first
