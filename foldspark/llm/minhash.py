@@ -269,6 +269,7 @@ def near_duplicates(
 
 
 def drop_near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the documents whose group has one with a smaller doc_id; repeated rows of the kept one stay one row."""
-    kept = near_duplicates(docs, shingle=shingle, percent=percent).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id"])
+    """``docs`` (all columns) with one document of each group: that with the smallest doc_id, once. Rows without a doc_id pass."""
+    kept = near_duplicates(docs, shingle=shingle, percent=percent).where("kept and doc_id is not null").select("doc_id")
+    # the join leaves rows dealt and sorted by doc_id, so that dropping repeated rows costs no further shuffle
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))

@@ -13,6 +13,70 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foldspark.llm.decontam import contaminated
+
+    return contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op2_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foldspark.llm.warc import archive_round_trip
+
+    return archive_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+#: (host, path, verdict)
+URL_RULES = (
+    ("com", "/en/", "block"),
+    ("example.com", "/en/7", "allow"),
+    ("net", "/de/", "allow"),
+    ("example.net", "/de/8", "block"),
+    ("org", "/es/", "block"),
+)
+
+
+def op3_link_graph_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foldspark.llm.urlgraph import filter_urls
+
+    return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
+
+
+def _op3_sql() -> str:
+    """The rules as one CASE, and the rounds of both rank vectors as one CTE each."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    host = lambda x: f"translate(regexp_extract({x}, '(?s)^.*?://([^/?#]*)', 1), '{upper}', '{lower}')"
+    fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+    order = sorted(URL_RULES, key=lambda r: (-len(r[0] + r[1]), r[2] != "block"))
+    rule = " ".join(f"WHEN {fits(h, p)} THEN '{h + p}'" for h, p, _ in order)
+    said = " ".join(f"WHEN {fits(h, p)} THEN '{v}'" for h, p, v in order)
+    steps = [
+        f"""u AS (SELECT page_id, coalesce({host("url")}, '') AS host,
+            coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*(/[^?#]*)', 1), '') AS path FROM pages)""",
+        f"j AS (SELECT *, CASE {rule} END AS rule, CASE {said} END AS said FROM u)",
+        f"""k AS (SELECT {host("url")} AS src, unnest(regexp_extract_all(html,
+            'href\\s*=\\s*["'']?((?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^"''\\s>]*)', 1)) AS link FROM pages)""",
+        f"l AS (SELECT src, {host("CASE WHEN starts_with(link, '//') THEN 'http:' || link ELSE link END")} AS dst FROM k)",
+        "e AS (SELECT src, dst, count(*) AS n FROM l WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY 1, 2)",
+        "h AS (SELECT host, count(*) AS n, count(*) FILTER (said = 'allow') AS a, count(*) FILTER (said = 'block') AS b FROM j GROUP BY 1)",
+    ]
+    for v, column, src, dst in (("t", "a", "src", "dst"), ("d", "b", "dst", "src")):
+        steps += [
+            f"{v}w AS (SELECT host, {column} / n / (SELECT sum({column} / n) FROM h) AS w FROM h WHERE {column} > 0)",
+            f"{v}s AS (SELECT {src} AS src, {dst} AS dst, n / sum(n) OVER (PARTITION BY {src}) AS s FROM e)",
+            f"{v}0 AS (SELECT host, w AS r FROM {v}w)",
+        ]
+        for i in range(1, 13):
+            back = f" UNION ALL SELECT host, 0.15 * w FROM {v}w" if i < 12 else ""
+            steps.append(
+                f"{v}{i} AS (SELECT host, sum(r) AS r FROM (SELECT dst AS host, 0.85 * r * s AS r FROM {v}{i - 1} JOIN {v}s ON host = src{back}) GROUP BY 1)"
+            )
+    return f"""WITH {", ".join(steps)}
+    SELECT page_id, j.host, path, rule,
+      coalesce(said, CASE WHEN coalesce(d12.r, 0) >= 1e-4 AND coalesce(d12.r, 0) > coalesce(t12.r, 0) THEN 'block' ELSE 'allow' END) AS verdict,
+      round(coalesce(t12.r, 0.0), 12) AS trust, round(coalesce(d12.r, 0.0), 12) AS distrust
+    FROM j LEFT JOIN t12 ON t12.host = j.host LEFT JOIN d12 ON d12.host = j.host"""
+
+
 def op4_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foldspark.llm.minhash import near_duplicates
 
@@ -35,6 +99,14 @@ SELECT n.doc_id, n.n AS n_shingles, component_id, n.doc_id = component_id AS kep
 """
 
 
+def op5_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from foldspark.llm.editcount import edited_counts
+
+    return edited_counts(_documents(spark, sf_dir), tokenizer=public_tokenizers.path("byte_bpe_50k.json"), pattern=public_tokenizers.PATTERN)
+
+
 def op6_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foldspark.llm.quality import classify, train
 
@@ -63,9 +135,31 @@ def op9_kneser_ney_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, train(docs))
 
 
+def op10_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foldspark.llm.chat import render
+
+    return render(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+OP10_SQL = """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+  FROM conversations),
+c AS (SELECT conv_id, count(*) AS n_turns, list({'r': role, 't': text} ORDER BY place) AS l FROM t GROUP BY 1),
+u AS (SELECT min(conv_id) AS conv_id, any_value(n_turns) AS n_turns, l FROM c GROUP BY l),
+p AS (SELECT DISTINCT l[:k] AS l FROM (SELECT l, unnest(range(1, n_turns)) AS k FROM u)),
+m AS (SELECT * FROM u WHERE l NOT IN (SELECT l FROM p)),
+q AS (SELECT t.conv_id, t.place, t.role, t.text, coalesce(floor(t.turn / 256), -1e12) AS block, m.n_turns FROM t JOIN m ON t.conv_id IS NOT DISTINCT FROM m.conv_id),
+b AS (SELECT conv_id, block, any_value(n_turns) AS n_turns,
+  string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY place) AS text FROM q GROUP BY 1, 2)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY block) - 1 AS part, n_turns, text FROM b
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_minhash_groups": OP4_SQL}
+    return {"op3_link_graph_urls": _op3_sql(), "op4_minhash_groups": OP4_SQL, "op10_snapshot_collapse": OP10_SQL}
