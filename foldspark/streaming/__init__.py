@@ -1,0 +1 @@
+"""No operator of this engine is a stream: contact maps are batch tables."""
