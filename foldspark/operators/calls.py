@@ -23,6 +23,12 @@ from foldspark.operators.sequences import Caller, Contacts, Mixture, boundaries,
 BLOCK = 512
 
 
+def _pair(left: DataFrame, right: DataFrame, *by: str):
+    """Both tables grouped together, with column identities of their own: they may stem from the same table."""
+    one, two = (d.select(*[F.col(c).alias(c) for c in d.columns]) for d in (left, right))
+    return one.groupBy(*by).cogroup(two.groupBy(*by))
+
+
 def model_to_json(m: Mixture) -> str:
     return json.dumps({"trans": m.trans.tolist(), "end": m.end, "weight": m.weight.tolist(), "mean": m.mean.tolist(), "sd": m.sd.tolist()})
 
@@ -114,7 +120,7 @@ def call_domains(pixels: DataFrame, sizes: DataFrame, models: DataFrame, res: in
 
     meta = sizes.select(*KEY, "n").join(models.select("dataset", "model"), "dataset")
     cells = pixels.select(*KEY, "bin1", "bin2", "v")
-    return cells.groupBy(*KEY).cogroup(meta.groupBy(*KEY)).applyInPandas(call, _CALLS)
+    return _pair(cells, meta, *KEY).applyInPandas(call, _CALLS)
 
 
 def _domain_list(pdf: pd.DataFrame) -> list[tuple[int, int, int]]:
@@ -156,7 +162,7 @@ def align_sets(target: DataFrame, query: DataFrame, res: int) -> DataFrame:
         return out.astype({c: "Int64" for c in ("level", "t_start", "t_end", "q_start", "q_end", "pos", "q_pos")})
 
     one, two = (d.select("chrom", "start", "end", "level") for d in (target, query))
-    return one.groupBy("chrom").cogroup(two.groupBy("chrom")).applyInPandas(run, _PAIRS)
+    return _pair(one, two, "chrom").applyInPandas(run, _PAIRS)
 
 
 def align_all(domains: DataFrame, res: int) -> DataFrame:
@@ -184,7 +190,7 @@ def consensus(domains: DataFrame, gaps: DataFrame, res: int) -> DataFrame:
         return pd.DataFrame([(left["chrom"].iloc[0], *d) for d in got], columns=["chrom", "start", "end", "level"])
 
     one, two = domains.select("set_id", "chrom", "start", "end", "level"), gaps.select("chrom", "pos").distinct()
-    return one.groupBy("chrom").cogroup(two.groupBy("chrom")).applyInPandas(run, "chrom string, start bigint, end bigint, level bigint")
+    return _pair(one, two, "chrom").applyInPandas(run, "chrom string, start bigint, end bigint, level bigint")
 
 
 def domain_features(pixels: DataFrame, domains: DataFrame, res: int, *, pw: int = 2, ww: int = 5, top: float = 0.7, ratio: float = 0.05, gap: float = 0.2) -> DataFrame:
@@ -207,7 +213,7 @@ def domain_features(pixels: DataFrame, domains: DataFrame, res: int, *, pw: int
     rows = own.select("*", F.explode(F.sequence(F.floor(F.col("start") / res), F.ceil(F.col("end") / res) - 1)).alias("bin1"))
     cells = rows.join(pixels.select(*KEY, "bin1", "bin2", "v"), [*KEY, "bin1"]).where(F.col("bin2") < F.ceil(F.col("end") / res)).select(*by, "bin1", "bin2", "v")
     schema = "dataset string, chrom string, start bigint, end bigint, ap double, gap_ratio double, cover double, n_points bigint, n_clusters bigint"
-    return cells.groupBy(*by).cogroup(own.groupBy(*by)).applyInPandas(run, schema)
+    return _pair(cells, own, *by).applyInPandas(run, schema)
 
 
 def segment_runs(domains: DataFrame, scores: DataFrame, res: int, longest: int = 4_000_000) -> DataFrame:
@@ -225,4 +231,4 @@ def segment_runs(domains: DataFrame, scores: DataFrame, res: int, longest: int =
 
     by = [*KEY, "region"]
     one, two = domains.select(*by, "start", "end"), scores.select(*by, "start", "end", "score")
-    return one.groupBy(*by).cogroup(two.groupBy(*by)).applyInPandas(run, "dataset string, chrom string, region bigint, start bigint, end bigint, members bigint")
+    return _pair(one, two, *by).applyInPandas(run, "dataset string, chrom string, region bigint, start bigint, end bigint, members bigint")
