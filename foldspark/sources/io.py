@@ -10,6 +10,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from foldspark.functions.expressions import force_prefix, is_number, strip_prefix
 from foldspark.operators import matrix
@@ -138,7 +139,7 @@ def read_loops(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("chrom1 = chrom2").select(F.col("chrom1").alias("chrom"), "start1", "end1", "start2", "end2")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def four_digits(x: pd.Series) -> pd.Series:
     """``%.4g``."""
     return x.map(lambda v: None if pd.isna(v) else f"{v:.4g}")
