@@ -211,7 +211,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for i in range(1, len(s)):
                     grams[s[max(0, i - ORDER + 1) : i + 1]] += n
         yield pa.RecordBatch.from_arrays(
-            [pa.array([lang] * len(grams)), pa.array(list(grams)), pa.array(list(grams.values()), pa.int64())], ["lang", "gram", "n"]
+            [pa.array([lang] * len(grams), pa.string()), pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], ["lang", "gram", "n"]
         )
 
 
@@ -250,7 +250,7 @@ def _entropies(model: Identifier):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             e, n = next(model.batches(iter([[x or "" for x in batch.column(1).to_pylist()]])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(e.tolist(), pa.list_(pa.float64())), pa.array(n)], ["lang", "e", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(e.tolist(), pa.list_(pa.float64())), pa.array(n, pa.int64())], ["lang", "e", "n"])
 
     return run
 
