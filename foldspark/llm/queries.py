@@ -54,7 +54,7 @@ def _op3_sql() -> str:
             coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*(/[^?#]*)', 1), '') AS path FROM pages)""",
         f"j AS (SELECT *, CASE {rule} END AS rule, CASE {said} END AS said FROM u)",
         f"""k AS (SELECT {host("url")} AS src, unnest(regexp_extract_all(html,
-            'href\\s*=\\s*["'']?((?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^"''\\s>]*)', 1)) AS link FROM pages)""",
+            '(?i)href\\s*=\\s*["'']?((?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^"''\\s>]*)', 1)) AS link FROM pages)""",
         f"l AS (SELECT src, {host("CASE WHEN starts_with(link, '//') THEN 'http:' || link ELSE link END")} AS dst FROM k)",
         "e AS (SELECT src, dst, count(*) AS n FROM l WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY 1, 2)",
         "h AS (SELECT host, count(*) AS n, count(*) FILTER (said = 'allow') AS a, count(*) FILTER (said = 'block') AS b FROM j GROUP BY 1)",
