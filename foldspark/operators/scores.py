@@ -127,3 +127,17 @@ def core_points(points: DataFrame, params: DataFrame, keys: list[str]) -> DataFr
     mine = p.select("*", F.explode(shift).alias("t")).withColumns({"gx": F.col("gx") + F.col("t.a"), "gy": F.col("gy") + F.col("t.b")})
     close = mine.join(other, [*keys, "gx", "gy"]).where("(x - x2) * (x - x2) + (y - y2) * (y - y2) <= r * r")
     return close.groupBy(*keys, "id", "x", "y", "min_points").agg(F.count("*").alias("near")).select(*keys, "id", "x", "y", "near", (F.col("near") >= F.col("min_points")).alias("core"))
+
+
+def drop_lone_clusters(points: DataFrame, keys: list[str]) -> DataFrame:
+    """Labelled points (cluster, -1 for noise) without clusters of one point, the rest numbered densely in order."""
+    size = F.count("*").over(Window.partitionBy(*keys, "cluster"))
+    kept = points.withColumn("size", size).where((F.col("cluster") == -1) | (F.col("size") > 1))
+    number = F.dense_rank().over(Window.partitionBy(*keys, F.col("cluster") == -1).orderBy("cluster")) - 1
+    return kept.withColumn("cluster", F.when(F.col("cluster") == -1, F.lit(-1)).otherwise(number)).drop("size")
+
+
+def weighted_density(clusters: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, density, cover): densities of clusters (size, density, area, cells) weighted by their shares of clustered points, and hull areas by tested cells."""
+    got = clusters.groupBy(*keys).agg((F.sum(F.col("density") * F.col("size")) / F.sum("size")).alias("density"), (F.sum("area") / F.max("cells")).alias("cover"))
+    return got.na.fill(0.0, ["density", "cover"])

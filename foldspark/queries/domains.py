@@ -255,3 +255,66 @@ def levels_compatible(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = intervals.boundary_levels(_levels(spark, sf_dir), 1)
     lv = F.transform(F.sort_array(F.collect_list(F.struct("pos", "level"))), lambda x: x["level"])
     return b.groupBy("chrom", F.floor(F.col("pos") / 50).alias("blk")).agg(lv.alias("lv")).select("chrom", "blk", X.levels_compatible("lv").alias("ok"))
+
+
+@query(f"WITH {DA} SELECT chrom, s AS start, e AS \"end\" FROM da WHERE e - s >= 8")
+def size_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.at_least(views.segments(spark, sf_dir, 0), 4, 2).select("chrom", "start", "end")
+
+
+@query(f"WITH {DA} SELECT chrom, s AS start, e AS \"end\", (s % 10) / 10 AS noise FROM da WHERE (s % 10) / 10 <= 0.5")
+def noise_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.segments(spark, sf_dir, 0).select("chrom", "start", "end", (F.col("start") % 10 / 10).alias("noise"))
+    return intervals.noise_filter(rows, 0.5)
+
+
+@query(f"WITH {NEST} SELECT x.chrom, x.s AS start, x.e AS \"end\", count(*) AS inner_intervals FROM nest x JOIN nest y ON x.chrom = y.chrom AND y.s >= x.s AND y.e <= x.e GROUP BY ALL")
+def contained_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = views.nested(spark, sf_dir).distinct()
+    got = intervals.contained(d, d, bucket=100)
+    return got.groupBy("chrom", F.col("o_start").alias("start"), F.col("o_end").alias("end")).agg(F.count("*").alias("inner_intervals"))
+
+
+@query(f"WITH {DA} SELECT chrom, s AS start, e AS \"end\" FROM da WHERE chrom = 'BUILDING' AND e > 300 AND s < 700")
+def overlap_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.overlaps_window(views.segments(spark, sf_dir, 0), "BUILDING", 300, 700).select("chrom", "start", "end")
+
+
+@query(f"""WITH {DA} SELECT chrom, s AS start, e AS "end", (SELECT avg(CASE WHEN p % 3 = 0 OR p % 5 = 0 THEN 1.0 ELSE 0.0 END) FROM (SELECT unnest(range(s, e)) AS p)) AS gap_share FROM da""")
+def gap_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of the gap bins of either of two replicates."""
+    d = views.segments(spark, sf_dir, 0)
+    last = d.agg(F.max("end")).first()[0] or 0
+    reps = [spark.range(last + 1).where(f"id % {k} = 0").select(F.col("id").alias("pos")) for k in (3, 5)]
+    either = d.select("chrom").distinct().join(reps[0].union(reps[1]).distinct())
+    return intervals.gap_share(d, either, 1)
+
+
+@query("""SELECT DISTINCT CAST(l_quantity AS DOUBLE) AS obs, CAST(l_linenumber % 4 AS DOUBLE) AS expected, CASE WHEN l_linenumber % 4 = 0 THEN 0.0 ELSE round(l_quantity / (l_linenumber % 4), 6) END AS fold FROM lineitem""")
+def fold_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_quantity").cast("double").alias("obs"), (F.col("l_linenumber") % 4).cast("double").alias("expected")).distinct()
+    return li.select("obs", "expected", F.round(X.fold_enrichment("obs", "expected"), 6).alias("fold"))
+
+
+@query("""WITH t AS (SELECT DISTINCT CASE p_partkey % 4 WHEN 0 THEN p_partkey || '.5' WHEN 1 THEN p_name WHEN 2 THEN CAST(p_partkey AS VARCHAR) ELSE '' END AS t FROM part) SELECT t, TRY_CAST(t AS DOUBLE) IS NOT NULL AS number FROM t""")
+def is_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = spark.sql(f"SELECT DISTINCT CASE p_partkey % 4 WHEN 0 THEN concat(p_partkey, '.5') WHEN 1 THEN p_name WHEN 2 THEN CAST(p_partkey AS STRING) ELSE '' END AS t FROM parquet.`{sf_dir}/part.parquet`")
+    return t.select("t", X.is_number("t").alias("number"))
+
+
+_CLU = f"{_PTS}, cl AS (SELECT *, CASE WHEN id % 5 = 0 THEN -1 ELSE id % 91 END AS c FROM pts)"
+
+
+@query(f"""WITH {_CLU}, s AS (SELECT *, count(*) OVER (PARTITION BY g, c) AS n FROM cl), k AS (SELECT * FROM s WHERE c = -1 OR n > 1)
+SELECT g, id, CAST(CASE WHEN c = -1 THEN -1 ELSE dense_rank() OVER (PARTITION BY g, c = -1 ORDER BY c) - 1 END AS INT) AS cluster FROM k""")
+def cluster_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _points(spark, sf_dir).withColumn("cluster", F.when(F.col("id") % 5 == 0, -1).otherwise(F.col("id") % 91))
+    return scores.drop_lone_clusters(p, ["g"]).select("g", "id", F.col("cluster").cast("int").alias("cluster"))
+
+
+@query(f"""WITH {_CLU}, c AS (SELECT g, c, count(*) AS size, 1.0 / (1 + c) AS density, CAST(max(x) - min(x) AS DOUBLE) AS area, 500 AS cells FROM cl WHERE c >= 0 GROUP BY g, c)
+SELECT g, round(sum(density * size) / sum(size), 6) AS density, round(sum(area) / max(cells), 6) AS cover FROM c GROUP BY g""")
+def cluster_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _points(spark, sf_dir).where("id % 5 <> 0").withColumn("c", F.col("id") % 91)
+    c = p.groupBy("g", "c").agg(F.count("*").alias("size"), (F.max("x") - F.min("x")).cast("double").alias("area")).withColumns({"density": 1 / (1 + F.col("c")), "cells": F.lit(500)})
+    return scores.weighted_density(c, ["g"]).select("g", F.round("density", 6).alias("density"), F.round("cover", 6).alias("cover"))
