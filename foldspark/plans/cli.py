@@ -1,4 +1,4 @@
-"""Command line: ``python -m foldspark.plans.cli {hitad,domaincaller,calfea,output-DI,tad-plot} ...``. Maps are folders as ``sources.io`` writes them."""
+"""Command line: ``python -m foldspark.plans.cli {hierarchy,domains,features,export-index,plot-tables} ...``. Maps are folders as ``sources.io`` writes them."""
 
 from __future__ import annotations
 
@@ -35,26 +35,26 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--logFile", default=None)
         return p
 
-    p = caller("hitad", "hierarchical domains of one or more replicates")
+    p = caller("hierarchy", "hierarchical domains of one or more replicates")
     p.add_argument("-d", "--datasets", required=True)
     p.add_argument("--minimum-chrom-size", type=int, default=1_000_000)
     p.add_argument("--maxsize", type=int, default=4_000_000)
     p.add_argument("-D", "--DI-col", default="DIs")
-    p = caller("domaincaller", "single-level domains of one map")
+    p = caller("domains", "single-level domains of one map")
     p.add_argument("--uri", required=True)
     p.add_argument("-D", "--DI-output", required=True)
-    p = tool("calfea", "aggregation preference of domains")
+    p = tool("features", "aggregation preference of domains")
     p.add_argument("-p", "--path", required=True)
     p.add_argument("-t", "--tad-file", required=True)
     p.add_argument("--balance", default="weight")
     for name, kind, value in (("--pw", int, 2), ("--ww", int, 5), ("--top", float, 0.7), ("--ratio", float, 0.05), ("--gap", float, 0.2)):
         p.add_argument(name, type=kind, default=value)
-    p = tool("output-DI", "export an index column")
+    p = tool("export-index", "export an index column")
     p.add_argument("-p", "--path", required=True)
     p.add_argument("-D", "--DI-col", default="DIs")
     for flag, name, kind in (("-C", "--chrom", str), ("-S", "--start", int), ("-E", "--end", int)):
         p.add_argument(flag, name, type=kind, default=None)
-    p = tool("tad-plot", "tables of a chromosome's plot")
+    p = tool("plot-tables", "tables of a chromosome's plot")
     p.add_argument("-p", "--path", required=True)
     p.add_argument("-T", "--tad-file", required=True)
     p.add_argument("-D", "--DI-col", default="DIs")
@@ -65,7 +65,7 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
-def hitad(spark: SparkSession, args: argparse.Namespace) -> None:
+def call_hierarchy(spark: SparkSession, args: argparse.Namespace) -> None:
     sets = io.parse_datasets(spark.read.text(args.datasets, wholetext=True).first()[0])
     res = min(sets)  # only the finest resolution reaches the output
     maps = [io.open_map(spark, uri, label) for label, uri in sorted(sets[res].items())]
@@ -79,7 +79,7 @@ def hitad(spark: SparkSession, args: argparse.Namespace) -> None:
         genome.wipe()
 
 
-def domaincaller(spark: SparkSession, args: argparse.Namespace) -> None:
+def call_domains(spark: SparkSession, args: argparse.Namespace) -> None:
     m = io.open_map(spark, args.uri)
     genome = Genome(m.pixels(args.weight_col), m.bins, m.res, tuple(args.exclude))
     genome.learning()
@@ -89,7 +89,7 @@ def domaincaller(spark: SparkSession, args: argparse.Namespace) -> None:
         genome.wipe()
 
 
-def calfea(spark: SparkSession, args: argparse.Namespace) -> None:
+def call_features(spark: SparkSession, args: argparse.Namespace) -> None:
     m = io.open_map(spark, args.path)
     bare = lambda d: d.withColumn("chrom", strip_prefix("chrom"))
     tads = bare(io.read_tads(spark, args.tad_file)).join(bare(m.chroms), "chrom").withColumn("end", F.least("end", "length")).where("end > start")
@@ -98,13 +98,13 @@ def calfea(spark: SparkSession, args: argparse.Namespace) -> None:
     io.write_features(got, args.output)
 
 
-def output_di(spark: SparkSession, args: argparse.Namespace) -> None:
+def export_index(spark: SparkSession, args: argparse.Namespace) -> None:
     bins = spark.read.parquet(f"{args.path}/bins")
     rows = io.index_rows(bins, args.DI_col, args.chrom, args.start, args.end)
     rows.orderBy("chrom", "start").coalesce(1).write.mode("overwrite").csv(args.output, sep="\t")
 
 
-def tad_plot(spark: SparkSession, args: argparse.Namespace) -> None:
+def plot_tables(spark: SparkSession, args: argparse.Namespace) -> None:
     m = io.open_map(spark, args.path)
     track = spark.read.parquet(f"{args.path}/bins").select("chrom", "start", "end", F.col(args.DI_col).alias("di"))
     view = plotdata.chromosome_view(m.pixels(args.weight_col), io.read_hierarchical(spark, args.tad_file), track, args.chrom)
@@ -112,7 +112,7 @@ def tad_plot(spark: SparkSession, args: argparse.Namespace) -> None:
         df.write.mode("overwrite").parquet(f"{args.output}/{name}")
 
 
-TOOLS = {"hitad": hitad, "domaincaller": domaincaller, "calfea": calfea, "output-DI": output_di, "tad-plot": tad_plot}
+TOOLS = {"hierarchy": call_hierarchy, "domains": call_domains, "features": call_features, "export-index": export_index, "plot-tables": plot_tables}
 
 
 def main(argv: Sequence[str] | None = None) -> None:

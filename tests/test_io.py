@@ -60,18 +60,18 @@ def test_tools(spark, sf, tmp_path):
     sf = sf.replace("sf0.001", "sf0.01")
     path = str(tmp_path / "m")
     make_map(spark, sf, path, "m")
-    cli.main(["domaincaller", "--uri", path, "-O", f"{tmp_path}/d", "-D", f"{tmp_path}/di", "-W", "RAW", "--removeCache"])
+    cli.main(["domains", "--uri", path, "-O", f"{tmp_path}/d", "-D", f"{tmp_path}/di", "-W", "RAW", "--removeCache"])
     domains = io.read_plain(spark, f"{tmp_path}/d")
     assert domains.count() > 3 and spark.read.text(f"{tmp_path}/di").count() == 600
-    cli.main(["calfea", "-p", path, "-t", f"{tmp_path}/d", "-O", f"{tmp_path}/f", "--balance", "RAW"])
+    cli.main(["features", "-p", path, "-t", f"{tmp_path}/d", "-O", f"{tmp_path}/f", "--balance", "RAW"])
     got = spark.read.csv(f"{tmp_path}/f", sep="\t", header=True)
     assert got.columns == ["ChromID", "Start", "End", "AP", "Gap-Ratio"] and got.count() == domains.count()
     put(tmp_path / "meta", f"res:{views.RES}\nrep1:{path}\n")
-    cli.main(["hitad", "-d", f"{tmp_path}/meta", "-O", f"{tmp_path}/h", "-W", "RAW"])
+    cli.main(["hierarchy", "-d", f"{tmp_path}/meta", "-O", f"{tmp_path}/h", "-W", "RAW"])
     assert io.read_hierarchical(spark, f"{tmp_path}/h").count() > 0
-    cli.main(["output-DI", "-p", path, "-D", "weight", "-C", "A", "-S", "0", "-E", "100000", "-O", f"{tmp_path}/o"])
+    cli.main(["export-index", "-p", path, "-D", "weight", "-C", "A", "-S", "0", "-E", "100000", "-O", f"{tmp_path}/o"])
     assert spark.read.text(f"{tmp_path}/o").count() == 3
-    cli.main(["tad-plot", "-p", path, "-T", f"{tmp_path}/h", "-D", "weight", "-C", "A", "-W", "RAW", "-O", f"{tmp_path}/v"])
+    cli.main(["plot-tables", "-p", path, "-T", f"{tmp_path}/h", "-D", "weight", "-C", "A", "-W", "RAW", "-O", f"{tmp_path}/v"])
     assert spark.read.parquet(f"{tmp_path}/v/cells").count() > 0
 
 
