@@ -5,10 +5,11 @@ of a 128-bit hash of (place, role, text) over all turns so far. A conversation w
 equal conversations the one with the smallest conv_id stays.
 
 The place of a turn is its rank in its conversation. Rank and rolling hash come from blocks of ``BLOCK`` turn numbers and sums over the blocks, so a conversation with a
-third of all turns is ranked by many tasks. Rendering makes one row for each block, in order: joined in the order of ``part`` they are the conversation's text.
+third of all turns is ranked by many tasks. Texts take no part in this: their hashes do, and only the turns of the conversations that stay are gathered for rendering.
+Rendering makes one row for each block, in order: joined in the order of ``part`` they are the conversation's text.
 
-Defined cases: turns are ordered by (turn, role, text), nulls first; a null turn sorts first, null role and text render and compare as empty. Repeated rows are turns
-of their own. All rows with a null conv_id are one conversation. Other columns are ignored; an empty table gives an empty result.
+Defined cases: turns are ordered by (turn, role), nulls first; texts of one turn and role by their hashes. A null turn sorts first, null role and text render and compare
+as empty. Repeated rows are turns of their own. All rows with a null conv_id are one conversation. Other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,31 +22,43 @@ BLOCK = 256
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
-def rolled(turns: DataFrame) -> DataFrame:
-    """``turns`` with part, place (1, 2, ...) and the rolling hashes h1 and h2 up to each."""
+def _turns(turns: DataFrame) -> DataFrame:
+    """The four columns, nulls filled, with the block (part) and a hash of 128 bits (k1, k2) of each turn's role and text."""
     rows = turns.select(
         F.col("conv_id").cast("bigint").alias("conv_id"),
         F.col("turn").cast("bigint").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    ).withColumn("part", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(2**40))).cast("bigint"))
-    block = Window.partitionBy("conv_id", "part").orderBy(F.asc_nulls_first("turn"), "role", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    part = F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(2**40))).cast("bigint")
+    return rows.select("*", part.alias("part"), *[F.xxhash64(F.lit(k), "role", "text").alias(f"k{k}") for k in (1, 2)])
+
+
+def rolled(turns: DataFrame) -> DataFrame:
+    """(conv_id, place, h1, h2): the rolling hashes of every conversation up to its turn ``place`` = 1, 2, ..."""
+    from foldspark.llm.shared import Scratch
+
+    scratch = Scratch(turns.sparkSession, "rolled")
+    rows = _turns(turns).select("conv_id", "part", "turn", "role", "k1", "k2")
+    block = Window.partitionBy("conv_id", "part").orderBy(F.asc_nulls_first("turn"), "role", "k1", "k2")
+    rows = scratch.table(rows.withColumn("own", F.row_number().over(block)).drop("turn", "role"), "ranked")
     earlier = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = rows.groupBy("conv_id", "part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
     same = [F.col("conv_id").eqNullSafe(F.col("_c")), F.col("part") == F.col("_p")]
-    sizes = sizes.select(F.col("conv_id").alias("_c"), F.col("part").alias("_p"), "before")
-    rows = rows.withColumn("own", F.row_number().over(block)).join(sizes, same).withColumn("place", F.col("before") + F.col("own"))
-    rows = rows.select("conv_id", "turn", "role", "text", "part", "own", "place")
-    for name, salt in (("t1", 1), ("t2", 2)):
-        rows = rows.withColumn(name, F.xxhash64(F.lit(salt), "place", "role", "text"))
+
+    def before(df: DataFrame, **sums) -> DataFrame:
+        """By block: the aggregate of each conversation's earlier blocks."""
+        out = df.groupBy("conv_id", "part").agg(*[f.alias(k) for k, f in sums.items()])
+        over = {k: F.coalesce((F.sum if k == "n" else F.bit_xor)(k).over(earlier), F.lit(0)).alias("b" + k) for k in sums}
+        return out.select(F.col("conv_id").alias("_c"), F.col("part").alias("_p"), *over.values())
+
+    rows = rows.join(before(rows, n=F.count("*")), same).select("conv_id", "part", "own", (F.col("bn") + F.col("own")).alias("place"), "k1", "k2")
+    rows = rows.select("conv_id", "part", "own", "place", *[F.xxhash64(F.lit(k), "place", "k1", "k2").alias(f"t{k}") for k in (1, 2)])
+    rows = scratch.table(rows, "placed")
     at = Window.partitionBy("conv_id", "part").orderBy("own").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = rows.groupBy("conv_id", "part").agg(*[F.bit_xor(t).alias(t) for t in ("t1", "t2")])
-    sums = sums.select(
-        F.col("conv_id").alias("_c"), F.col("part").alias("_p"), *[F.coalesce(F.bit_xor(t).over(earlier), F.lit(0)).alias("b" + t[1]) for t in ("t1", "t2")]
-    )
+    sums = before(rows, t1=F.bit_xor("t1"), t2=F.bit_xor("t2"))
     rows = rows.withColumn("r1", F.bit_xor("t1").over(at)).withColumn("r2", F.bit_xor("t2").over(at)).join(sums, same)
-    xor: list[Column] = [F.col(f"r{k}").bitwiseXOR(F.col(f"b{k}")).alias(f"h{k}") for k in (1, 2)]
-    return rows.select("conv_id", "turn", "role", "text", "part", "own", "place", *xor)
+    xor: list[Column] = [F.col(f"r{k}").bitwiseXOR(F.col(f"bt{k}")).alias(f"h{k}") for k in (1, 2)]
+    return rows.select("conv_id", "place", *xor)
 
 
 def maximal(rolls: DataFrame) -> DataFrame:
@@ -71,7 +84,7 @@ def render(turns: DataFrame) -> DataFrame:
     rolls = scratch.table(rolled(turns), "rolled")
     kept = maximal(rolls).select(F.col("conv_id").alias("_k"), "n_turns")
     piece = F.concat(F.lit(OPEN), "role", F.lit("\n"), "text", F.lit(CLOSE + "\n"))
-    parts = rolls.select("conv_id", "part", F.struct("own", piece.alias("s")).alias("p")).groupBy("conv_id", "part").agg(F.sort_array(F.collect_list("p")).alias("p"))
+    rows = _turns(turns).join(kept, F.col("conv_id").eqNullSafe(F.col("_k"))).select("conv_id", "part", "n_turns", F.struct("turn", "role", "k1", "k2", piece.alias("s")).alias("p"))
+    parts = rows.groupBy("conv_id", "part", "n_turns").agg(F.sort_array(F.collect_list("p")).alias("p"))
     number = F.row_number().over(Window.partitionBy("conv_id").orderBy("part")) - 1
-    parts = parts.select("conv_id", number.cast("bigint").alias("part"), F.array_join("p.s", "").alias("text"))
-    return parts.join(kept, F.col("conv_id").eqNullSafe(F.col("_k"))).select("conv_id", "part", "n_turns", "text")
+    return parts.select("conv_id", number.cast("bigint").alias("part"), "n_turns", F.array_join("p.s", "").alias("text"))
