@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldspark.llm.shared import Scratch, mix64, random_u64
+from foldspark.llm.shared import Scratch, lean, mix64, random_u64
 
 ORDER = 4
 SAMPLE = 800
@@ -220,11 +220,16 @@ def train(docs: DataFrame, *, sample: int = SAMPLE) -> Identifier:
     scratch = Scratch(docs.sparkSession, "langid")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where("lang is not null and doc_id is not null").where(_fold("doc_id") != 2)
-    # the row-number limit is applied before the shuffle too, so a language's rows never meet in one task
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = rows.select("lang", "doc_id").withColumn("k", rank).where(F.col("k") <= sample).select("lang", "doc_id").distinct()
+    # a share of each language's rows that holds the sample almost surely, by hash, so that what is ranked does not grow with the corpus
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("all"))
+    share = F.least(F.lit(1.0), F.lit(2.0 * sample + 200) / F.col("all"))
+    draw = F.expr("(xxhash64(doc_id) & 9007199254740991L) / 9007199254740992D")
+    # one row a language, of each of which the driver holds a model too: small enough to broadcast
+    near = rows.select("lang", "doc_id").join(F.broadcast(sizes), "lang").where(draw <= share).select("lang", "doc_id").distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(draw, "doc_id"))
+    ids = near.withColumn("k", rank).where(F.col("k") <= sample).select("lang", "doc_id")
     drawn = scratch.table(rows.join(F.broadcast(ids), ["lang", "doc_id"]).select("lang", "text", _fold("doc_id").alias("fold")), "sample")
-    grams = drawn.where("fold <> 1").select("lang", "text").mapInArrow(_counts, "lang string, gram string, n bigint")
+    grams = drawn.where("fold <> 1").select("lang", "text").mapInArrow(lean(_counts), "lang string, gram string, n bigint")
     counts: dict[str, dict[str, int]] = defaultdict(dict)
     table = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     for lang, gram, n in zip(*(table.column(c).to_pylist() for c in ("lang", "gram", "n")), strict=True):
@@ -234,7 +239,7 @@ def train(docs: DataFrame, *, sample: int = SAMPLE) -> Identifier:
     out = Identifier(langs, [kneser_ney(counts[lang], symbols=symbols) for lang in langs])
     own: dict[str, list[float]] = defaultdict(list)
     gaps = []
-    held = drawn.where("fold = 1").select("lang", "text").mapInArrow(_entropies(out), "lang string, e array<double>, n bigint").toArrow()
+    held = drawn.where("fold = 1").select("lang", "text").mapInArrow(lean(_entropies(out)), "lang string, e array<double>, n bigint").toArrow()
     for lang, e, n in zip(held.column("lang").to_pylist(), held.column("e").to_pylist(), held.column("n").to_pylist(), strict=True):
         if n and lang in counts:
             own[lang].append(e[langs.index(lang)])
@@ -281,4 +286,4 @@ def identify(docs: DataFrame, model: Identifier) -> DataFrame:
     rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(_fold("doc_id") == 2, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text")
     )
-    return rows.mapInArrow(_identify(model), "doc_id bigint, held_out boolean, lang_pred string, score double, rejected boolean")
+    return rows.mapInArrow(lean(_identify(model)), "doc_id bigint, held_out boolean, lang_pred string, score double, rejected boolean")
