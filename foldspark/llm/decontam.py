@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foldspark.llm.shared import lean
+
 SEGMENT = 64
 BLOCK = 8
 SHARD = 2_000
@@ -189,14 +191,14 @@ def shards(items: DataFrame, *, shard: int = SHARD) -> Iterator[Index]:
             yield pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(size, pa.int64())], ["word", "size"])
 
     # a row for each segment (word null, its size) and for each distinct word of it
-    stats = rows.select("text").mapInArrow(cut, "word string, size bigint").groupBy("word").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    stats = rows.select("text").mapInArrow(lean(cut), "word string, size bigint").groupBy("word").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
     total = stats.where("word is null").first()
     if total is None:
         return
     parts = max(1, math.ceil(rows.count() / shard))
     for k in range(parts):
         own = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k)
-        mine = own.select("text").mapInArrow(cut, "word string, size bigint").where("word is not null").select("word").distinct()
+        mine = own.select("text").mapInArrow(lean(cut), "word string, size bigint").where("word is not null").select("word").distinct()
         df = {r["word"]: r["n"] for r in (stats.join(mine, "word") if parts > 1 else stats.where("word is not null")).collect()}
         yield Index.build([(r["item_id"], r["text"]) for r in own.collect()], df, total["n"], total["size"] / total["n"])
 
@@ -219,7 +221,7 @@ def contaminated(docs: DataFrame, items: DataFrame, *, shard: int = SHARD) -> Da
                     [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]
                 )
 
-        part = texts.mapInArrow(run, "doc_id bigint, item_id bigint, score double, question_overlap double, answer_overlap double")
+        part = texts.mapInArrow(lean(run), "doc_id bigint, item_id bigint, score double, question_overlap double, answer_overlap double")
         out = part if out is None else out.unionByName(part)
     if out is None:
         return texts.limit(0).selectExpr("doc_id", "doc_id item_id", "0D score", "0D question_overlap", "0D answer_overlap")
@@ -237,5 +239,5 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, *, shard: int = SHARD)
             for batch in batches:
                 yield batch.filter(pa.array([not matcher.match(t.as_py() or "") for t in batch.column(at)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lean(run), docs.schema)
     return docs

@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from foldspark.llm.shared import lean
+
 CACHE = 400_000
 LONGEST = 64
 #: Characters that the pattern may look at past a pre-token.
@@ -178,4 +180,4 @@ def edited_counts(
     """Token counts of every text before and after its edits; what the edits encoded again is in the last two columns. One pass, no shuffle."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id bigint, n_tokens bigint, n_tokens_edited bigint, n_pretokens bigint, n_pretokens_edited bigint, pretokens_encoded bigint, chars_encoded bigint"
-    return texts.mapInArrow(_recount(tokenizer, pattern, edits), schema)
+    return texts.mapInArrow(lean(_recount(tokenizer, pattern, edits)), schema)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldspark.llm.components import components
-from foldspark.llm.shared import Scratch, batch_words, mix64, random_u64, steps
+from foldspark.llm.shared import Scratch, batch_words, lean, mix64, random_u64, steps
 
 #: Chance that a pair exactly at the threshold shares no bucket.
 MISS = 1e-7
@@ -213,7 +213,7 @@ def near_duplicates(
     bands, rows = banding(percent / 100)
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sig = scratch.table(
-        texts.mapInArrow(_sketch(shingle, bands, rows), "doc_id bigint, n_shingles bigint, fp1 bigint, fp2 bigint, bands array<bigint>"),
+        texts.mapInArrow(lean(_sketch(shingle, bands, rows)), "doc_id bigint, n_shingles bigint, fp1 bigint, fp2 bigint, bands array<bigint>"),
         "sig",
     )
     key = ["n_shingles", "fp1", "fp2"]
@@ -236,7 +236,7 @@ def near_duplicates(
     if sizes:
         ids = buckets.select("id").distinct()
         sets = scratch.table(
-            texts.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi").mapInArrow(_sets(shingle), "id bigint, s array<bigint>"),
+            texts.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi").mapInArrow(lean(_sets(shingle)), "id bigint, s array<bigint>"),
             "sets",
         )
 

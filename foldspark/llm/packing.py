@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldspark.llm.shared import Scratch
+from foldspark.llm.shared import Scratch, lean
 from foldspark.llm.tokens import ChunkEncoder
 
 #: Tasks that share the pieces of one length when ranks are counted.
@@ -129,7 +129,7 @@ def pack(docs: DataFrame, *, tokenizer: str, end_id: int = 1, size: int = 2048,
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    pieces = scratch.table(texts.mapInArrow(_pieces(tokenizer, end_id, size), _PIECES), "pieces")
+    pieces = scratch.table(texts.mapInArrow(lean(_pieces(tokenizer, end_id, size)), _PIECES), "pieces")
     pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SALTS)))
     # at most size x SALTS rows, however large the corpus
     counts = pieces.groupBy("length", "salt").agg(F.count("*").alias("n"))
@@ -140,4 +140,4 @@ def pack(docs: DataFrame, *, tokenizer: str, end_id: int = 1, size: int = 2048,
     own = Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32")
     ranked = pieces.withColumn("own", F.row_number().over(own)).join(F.broadcast(counts.select("length", "salt", "before")), ["length", "salt"])
     ranked = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("before") + F.col("own") - 1).alias("rank"))
-    return ranked.mapInArrow(_place(places), f"{_PIECES}, sequence_id bigint, offset bigint")
+    return ranked.mapInArrow(lean(_place(places)), f"{_PIECES}, sequence_id bigint, offset bigint")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldspark.llm.shared import _LOWER, batch_spans, mix64, span_hashes, steps
+from foldspark.llm.shared import _LOWER, batch_spans, lean, mix64, span_hashes, steps
 
 BITS = 18
 #: Labelled rows a class that the fit reads at most.
@@ -178,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Model:
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # at most 2 x sample ids: safe to broadcast
     chosen = texts.join(F.broadcast(drawn.select("doc_id", "label")), "doc_id").select("text", "label", _fold("doc_id").cast("int").alias("fold"))
-    table = chosen.mapInArrow(_rows, "ids array<int>, label int, fold int").toArrow()
+    table = chosen.mapInArrow(lean(_rows), "ids array<int>, label int, fold int").toArrow()
     ids = [np.asarray(x.values) for x in table.column("ids")]
     order = sorted(range(len(ids)), key=lambda i: (len(ids[i]), ids[i].tobytes(), table.column("label")[i].as_py()))
     label, fold = np.asarray(table.column("label")), np.asarray(table.column("fold"))
@@ -207,9 +207,9 @@ def classify(docs: DataFrame, model: Model, *, threshold: float = 0.7) -> DataFr
     rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(_fold("doc_id") == 2, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text")
     )
-    return rows.mapInArrow(_score(model, threshold, 2, False), "doc_id bigint, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(lean(_score(model, threshold, 2, False)), "doc_id bigint, held_out boolean, score double, predicted int")
 
 
 def keep_by_quality(docs: DataFrame, model: Model, *, threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs`` (all columns) with a score of at least ``threshold``."""
-    return docs.mapInArrow(_score(model, threshold, docs.columns.index("text"), True), docs.schema)
+    return docs.mapInArrow(lean(_score(model, threshold, docs.columns.index("text"), True)), docs.schema)

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldspark.llm.shared import batch_spans, mix64, random_u64, span_hashes, steps
+from foldspark.llm.shared import batch_spans, lean, mix64, random_u64, span_hashes, steps
 
 #: (bytes from, least ratio, greatest ratio) of whole texts: short ones compress little, long ones more.
 BANDS = ((0, 0.4, 2.6), (128, 0.8, 2.6), (256, 1.1, 3.0), (512, 1.2, 3.2), (1024, 1.25, 3.4), (2048, 1.25, 3.6), (4096, 1.3, 4.0), (16384, 1.3, 4.5))
@@ -126,7 +126,7 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts and verdict of every row of ``docs``; one pass, no shuffle."""
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(_judge, _SCHEMA)
+    return texts.mapInArrow(lean(_judge), _SCHEMA)
 
 
 def keep_by_rules(docs: DataFrame) -> DataFrame:
@@ -139,4 +139,4 @@ def keep_by_rules(docs: DataFrame) -> DataFrame:
             kept = pa.chunked_array([x.column("kept") for x in _judge(iter([pair]))], pa.bool_()).combine_chunks()
             yield batch.filter(kept)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

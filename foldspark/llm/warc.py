@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldspark.llm import files
-from foldspark.llm.shared import Scratch
+from foldspark.llm.shared import Scratch, lean
 
 _DATE = "2000-01-01T00:00:00Z"
 _READ = 1 << 20
@@ -176,7 +176,7 @@ def _write(folder: str):
 
 def write_archives(planned: DataFrame, folder: str) -> DataFrame:
     """One monolithic archive for each partition of ``planned``: (archive, records)."""
-    return planned.mapInArrow(_write(folder), "archive string, records bigint")
+    return planned.mapInArrow(lean(_write(folder)), "archive string, records bigint")
 
 
 def _normalise(folder: str):
@@ -203,7 +203,7 @@ def _normalise(folder: str):
 
 def normalise(archives: DataFrame, folder: str) -> DataFrame:
     """(source, archive, records): for every file of ``archives`` (archive) its copy with a member a record; beside it lies ``.idx``."""
-    return archives.select("archive").mapInArrow(_normalise(folder), "source string, archive string, records bigint")
+    return archives.select("archive").mapInArrow(lean(_normalise(folder)), "source string, archive string, records bigint")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +234,7 @@ def _batch(rows: list[dict]) -> pa.RecordBatch:
 
 def read_archives(archives: DataFrame) -> DataFrame:
     """The records of normalised archives, each read by its index entry; payload digests are checked."""
-    return archives.select("archive").mapInArrow(_read, _RECORD)
+    return archives.select("archive").mapInArrow(lean(_read), _RECORD)
 
 
 def archive_round_trip(pages: DataFrame, *, min_bytes: int = 0) -> DataFrame:
