@@ -222,6 +222,25 @@ def test_bands():
     assert b.judge(half)[2] >= 1 and not b.judge(half)[3]
 
 
+@pytest.mark.parametrize("n", [600, 1000, 1100, 1500, 2048, 2700, 4096, 8000, 27_000, 135_000])
+def test_bands_incompressible_text(n):
+    """Wrapped base64 and random words of letters and digits go, prose of the same length stays."""
+    r, b = random.Random(n), rules.Bands()
+    signs = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    junk = " ".join("".join(r.choices(signs, k=8)) for _ in range(n // 9 + 1)).encode()[:n]
+    for data in (base64.encodebytes(r.randbytes(n))[:n], junk):
+        ratio, chunks, bad, kept = b.judge(data)
+        assert bad == chunks and not kept, ratio
+
+
+@pytest.mark.parametrize("least", [512, 1024, 2048, 4096, 16384])
+def test_bands_keep_prose(docs, least):
+    """No text with words enough is below the floors."""
+    b = rules.Bands()
+    texts = [t.encode() for t in texts_of(docs).values() if t and len(t.split()) >= rules.MIN_WORDS]
+    assert all(b.judge(t)[0] >= rules.band(len(t))[0] for t in texts if len(t) >= least)
+
+
 # quality
 
 def test_quality_held_out(spark, sf):
