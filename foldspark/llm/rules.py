@@ -1,8 +1,9 @@
 """Quality rules: word and line counts, and compression bands.
 
 Base: a text of fewer than 20 words fails, and one with more than 30 % of its words in 8-word windows that occur twice or more. Bands: the zstandard
-ratio (bytes by compressed bytes) of the whole text must lie between two limits that depend on its length, and at most half of its full chunks
-of 4 KiB may lie outside the chunk limits. A ratio above the band is repetitive text, one below is incompressible.
+ratio (bytes by compressed bytes) of the whole text must lie between two limits that depend on its length, and at most half of its chunks
+of 4 KiB may lie outside the chunk limits. Where the length is no multiple of 4 KiB, the last chunk is the text's last 4 KiB; a shorter text has no chunks,
+its limits are those of its length. A ratio above the band is repetitive text, one below is incompressible.
 
 Defined cases: a null or blank text has no words, fails the base and goes. Repeated rows are judged each; other columns are ignored;
 an empty table gives an empty result. Texts of any length are judged whole; the memory of a step is that of its longest text.
@@ -81,14 +82,16 @@ class Bands:
         self.compressor = zstandard.ZstdCompressor(level=LEVEL)
 
     def judge(self, data: bytes) -> tuple[float | None, int, int, bool]:
-        """(ratio, full chunks, chunks outside the band, whether the text stays)."""
+        """(ratio, chunks, chunks outside the band, whether the text stays)."""
         if not data:
             return None, 0, 0, False
         ratio = len(data) / len(self.compressor.compress(data))
-        chunks = len(data) // CHUNK_BYTES
-        bad = 0
-        for i in range(chunks):
-            r = CHUNK_BYTES / len(self.compressor.compress(data[i * CHUNK_BYTES : (i + 1) * CHUNK_BYTES]))
+        starts = list(range(0, len(data) - CHUNK_BYTES + 1, CHUNK_BYTES))
+        if starts and len(data) % CHUNK_BYTES:
+            starts.append(len(data) - CHUNK_BYTES)
+        chunks, bad = len(starts), 0
+        for i in starts:
+            r = CHUNK_BYTES / len(self.compressor.compress(data[i : i + CHUNK_BYTES]))
             bad += not CHUNK_BAND[0] <= r <= CHUNK_BAND[1]
         lo, hi = band(len(data))
         return ratio, chunks, bad, lo <= ratio <= hi and bad <= CHUNK_SHARE * chunks

@@ -241,6 +241,17 @@ def test_bands_keep_prose(docs, least):
     assert all(b.judge(t)[0] >= rules.band(len(t))[0] for t in texts if len(t) >= least)
 
 
+def test_bands_tail():
+    """The bytes behind the last full chunk are judged as the text's last 4 KiB."""
+    b, good = rules.Bands(), prose(4, 3000).encode()
+    noise = base64.encodebytes(random.Random(6).randbytes(9000))
+    assert b.judge(good[:4095])[1] == 0 and b.judge(good[:4096])[1:3] == (1, 0) and b.judge(good[:4097])[1:3] == (2, 0) and b.judge(good[:8192])[1:3] == (2, 0)
+    for tail in (noise, b"same words again " * 300):
+        assert b.judge(good[:4096] + tail[:3904])[1:3] == (2, 1)
+    ratio, chunks, bad, kept = b.judge(good[:4096] + noise[: 4096 + 3904])
+    assert (chunks, bad, kept) == (3, 2, False) and ratio >= rules.band(12_096)[0]
+
+
 # quality
 
 def test_quality_held_out(spark, sf):
