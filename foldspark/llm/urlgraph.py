@@ -6,8 +6,8 @@ path together; of equal length block before allow).
 Method for urls that no rule fits: host edges come from the absolute and protocol-relative links of the pages' href attributes. Trust is personalised PageRank along
 the edges from hosts with allowed urls, distrust the same along the reversed edges from hosts with blocked urls (seeds weighted by their share of such urls,
 each vector of sum one). Mass that reaches a host without out-edges is dropped. A host's scores are what it receives over edges in the end, without what it is given as a
-seed: a rule on some of its paths says nothing of the others. A host whose distrust is at least ``floor`` and more than ``ratio`` times its trust is blocked, any
-other allowed. Links within a host are no edges.
+seed: a rule on some of its paths says nothing of the others. A host is blocked whose distrust is at least ``floor`` of what one wholly blocked host gives out (distrust times the
+sum of all blocked shares, which does not change as other hosts are added) and more than ``ratio`` times its trust; any other is allowed. Links within a host are no edges.
 
 Only DataFrame functions: pages are scanned once for rules and once for links, and meet only per-host aggregates. Rank vectors are as long as the host list, written to the
 shared folder every few rounds. Hosts join to pages by an equi-join that Spark can broadcast when small and split when a host is hot.
@@ -30,6 +30,7 @@ DAMPING = 0.85
 ROUNDS = 12
 #: Rounds between two writes of the rank vectors.
 CUT = 4
+#: Least distrust, in units of one wholly blocked seed host.
 FLOOR = 1e-4
 RATIO = 1.0
 #: Rules up to this number become one expression; more are joined by host suffix.
@@ -124,14 +125,14 @@ def filter_urls(
     hosts = scratch.table(hosts, "hosts")
     edges = scratch.table(host_edges(pages), "edges")
     flipped = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    ranks = []
+    ranks, totals = [], {}
     for name, column, graph in (("trust", "allowed", edges), ("distrust", "blocked", flipped)):
         seeds = hosts.where(f"{column} > 0").select("host", (F.col(column) / F.col("n")).alias("w"))
-        total = seeds.agg(F.sum("w")).first()[0] or 1.0
-        seeds = scratch.table(seeds.select("host", (F.col("w") / F.lit(float(total))).alias("weight")), "seeds")
+        totals[name] = float(seeds.agg(F.sum("w")).first()[0] or 1.0)
+        seeds = scratch.table(seeds.select("host", (F.col("w") / F.lit(totals[name])).alias("weight")), "seeds")
         ranks.append(propagate(graph, seeds, scratch, damping=damping, rounds=rounds).withColumnRenamed("rank", name))
     scores = scratch.table(reduce(lambda x, y: x.join(y, "host", "full"), ranks).na.fill(0.0, ["trust", "distrust"]), "scores")
     out = judged.join(scores, "host", "left").na.fill(0.0, ["trust", "distrust"])
-    bad = (F.col("distrust") >= floor) & (F.col("distrust") > ratio * F.col("trust"))
+    bad = (F.col("distrust") * F.lit(totals["distrust"]) >= floor) & (F.col("distrust") > ratio * F.col("trust"))
     verdict = F.coalesce("said", F.when(bad, F.lit("block")).otherwise(F.lit("allow")))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.round("trust", 12).alias("trust"), F.round("distrust", 12).alias("distrust"))

@@ -462,6 +462,23 @@ def test_link_graph(spark):
     assert "Python" not in plan and "InArrow" not in plan
 
 
+def test_link_graph_copies(spark):
+    """Verdicts of a graph do not depend on how many unlinked copies of it there are."""
+    link = lambda *hosts: "".join(f'<a href="http://{h}/x">y</a>' for h in hosts)
+
+    def verdicts(copies):
+        rows = []
+        for c in range(copies):
+            rows += [(f"http://good{c}.net/de/1", link(f"fine{c}.io")), (f"http://bad{c}.org/es/1", link(f"fine{c}.io")), (f"http://fan{c}.io/", link(f"bad{c}.org"))]
+            rows += [(f"http://fine{c}.io/", link(f"lone{c}.io")), (f"http://lone{c}.io/", None)]
+        df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id bigint, url string, html string")
+        return Counter((re.sub(r"\d", "", r["host"]), r["verdict"]) for r in urlgraph.filter_urls(df, RULES).collect())
+
+    one = verdicts(1)
+    assert one["fan.io", "block"] == one["fine.io", "allow"] == 1
+    assert verdicts(2000) == Counter({k: 2000 * n for k, n in one.items()})
+
+
 # edit-aware counts
 
 def test_edits_against_full_count():
