@@ -141,5 +141,5 @@ def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def gap_free_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    px = views.pixels(spark, sf_dir).where("bin1 % 3 <> 1 and bin2 % 3 <> 1 and bin1 < 60 and bin2 < 60")
+    px = views.pixels(spark, sf_dir).where("bin1 % 3 <> 1 and bin2 % 3 <> 1")
     return matrix.drop_gaps(px)

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from foldspark import queries as base
+from foldspark.queries import views
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
 NAMES = sorted(base.queries())
@@ -52,3 +53,13 @@ def test_entry_points(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+def test_gap_free_matrix_whole_map(spark, sf):
+    """Every pixel outside the gaps, numbered by brute force."""
+    px = [tuple(r) for r in views.pixels(spark, sf).collect()]
+    px = [r for r in px if r[2] % 3 != 1 and r[3] % 3 != 1]
+    at = {c: sorted({b for r in px if r[1] == c for b in r[2:4]}) for c in {r[1] for r in px}}
+    want = Counter((d, c, at[c].index(x), at[c].index(y), norm(v)) for d, c, x, y, v in px)
+    got = Counter((*tuple(r)[:4], norm(r["v"])) for r in base.queries()["gap_free_matrix"](spark, sf).collect())
+    assert got == want and max(b for r in px for b in r[2:4]) >= views.BINS - 3
