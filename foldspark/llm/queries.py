@@ -44,14 +44,17 @@ def op3_link_graph_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _op3_sql() -> str:
     """The rules as one CASE, and the rounds of both rank vectors as one CTE each."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    host = lambda x: f"translate(regexp_extract({x}, '(?s)^.*?://([^/?#]*)', 1), '{upper}', '{lower}')"
+    rest = lambda x: f"CASE WHEN strpos({x}, '://') > 0 THEN substr({x}, strpos({x}, '://') + 3) ELSE '' END"
+    part = lambda x: f"split_part(split_part(split_part({rest(x)}, '/', 1), '?', 1), '#', 1)"
+    host = lambda x: f"translate({part(x)}, '{upper}', '{lower}')"
+    path = lambda x: f"split_part(split_part(substr({rest(x)}, length({part(x)}) + 1), '?', 1), '#', 1)"
     fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
     order = sorted(URL_RULES, key=lambda r: (-len(r[0] + r[1]), r[2] != "block"))
     rule = " ".join(f"WHEN {fits(h, p)} THEN '{h + p}'" for h, p, _ in order)
     said = " ".join(f"WHEN {fits(h, p)} THEN '{v}'" for h, p, v in order)
     steps = [
         f"""u AS (SELECT page_id, coalesce({host("url")}, '') AS host,
-            coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*(/[^?#]*)', 1), '') AS path FROM pages)""",
+            coalesce({path("url")}, '') AS path FROM pages)""",
         f"j AS (SELECT *, CASE {rule} END AS rule, CASE {said} END AS said FROM u)",
         f"""k AS (SELECT {host("url")} AS src, unnest(regexp_extract_all(html,
             '(?i)href\\s*=\\s*["'']?((?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^"''\\s>]*)', 1)) AS link FROM pages)""",
@@ -61,18 +64,18 @@ def _op3_sql() -> str:
     ]
     for v, column, src, dst in (("t", "a", "src", "dst"), ("d", "b", "dst", "src")):
         steps += [
-            f"{v}w AS (SELECT host, {column} / n / (SELECT sum({column} / n) FROM h) AS w FROM h WHERE {column} > 0)",
+            f"{v}h AS (SELECT host, {column} / n AS w FROM h WHERE {column} > 0 AND 2 * {column} > n)",
+            f"{v}w AS (SELECT host, w / (SELECT sum(w) FROM {v}h) AS w FROM {v}h)",
             f"{v}s AS (SELECT {src} AS src, {dst} AS dst, n / sum(n) OVER (PARTITION BY {src}) AS s FROM e)",
             f"{v}0 AS (SELECT host, w AS r FROM {v}w)",
         ]
         for i in range(1, 13):
-            back = f" UNION ALL SELECT host, 0.15 * w FROM {v}w" if i < 12 else ""
             steps.append(
-                f"{v}{i} AS (SELECT host, sum(r) AS r FROM (SELECT dst AS host, 0.85 * r * s AS r FROM {v}{i - 1} JOIN {v}s ON host = src{back}) GROUP BY 1)"
+                f"{v}{i} AS (SELECT host, sum(r) AS r FROM (SELECT dst AS host, 0.85 * r * s AS r FROM {v}{i - 1} JOIN {v}s ON host = src UNION ALL SELECT host, 0.15 * w FROM {v}w) GROUP BY 1)"
             )
     return f"""WITH {", ".join(steps)}
     SELECT page_id, j.host, path, rule,
-      coalesce(said, CASE WHEN coalesce(d12.r, 0) >= 1e-4 AND coalesce(d12.r, 0) > coalesce(t12.r, 0) THEN 'block' ELSE 'allow' END) AS verdict,
+      coalesce(said, CASE WHEN coalesce(d12.r, 0) * (SELECT coalesce(sum(w), 1) FROM dh) >= 1e-4 AND coalesce(d12.r, 0) > coalesce(t12.r, 0) THEN 'block' ELSE 'allow' END) AS verdict,
       round(coalesce(t12.r, 0.0), 12) AS trust, round(coalesce(d12.r, 0.0), 12) AS distrust
     FROM j LEFT JOIN t12 ON t12.host = j.host LEFT JOIN d12 ON d12.host = j.host"""
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import functools
 import tempfile
@@ -19,25 +20,33 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a folder of our own where it is unset."""
+    """The cluster's shared folder (``spark.checkpoint.dir``). Where it is unset a folder of our own, but only on a local master: other executors would not see it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="foldspark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
 class Scratch:
-    """Tables written to the shared folder, so that a lost executor never costs more than one stage."""
+    """Tables written to the shared folder, so that a lost executor never costs more than one stage.
+
+    ``keep`` deletes all of them but those that the result still reads; these go with the session's end.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        self.paths: list[str] = []
+        atexit.register(self._end)
 
     def path(self, name: str) -> str:
         self.n += 1
-        return f"{self.root}/{self.n:03d}-{name}"
+        self.paths.append(f"{self.root}/{self.n:03d}-{name}")
+        return self.paths[-1]
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and read it back: cuts lineage, and later stages reuse the rows."""
@@ -54,6 +63,20 @@ class Scratch:
             jvm = self.spark._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            self.paths = [x for x in self.paths if x != path]
+
+    def keep(self, *tables: DataFrame | str) -> None:
+        """Delete every table but ``tables``: what the result does not read."""
+        kept = {t if isinstance(t, str) else t._scratch_path for t in tables}
+        for path in [p for p in self.paths if p not in kept]:
+            self.drop(path)
+
+    def _end(self) -> None:
+        try:
+            if self.paths and self.spark.sparkContext._jsc is not None:
+                self.drop(self.root)
+        except Exception:  # noqa: BLE001 - the session may be gone, and with it the way to the store
+            pass
 
 
 def _trim() -> None:

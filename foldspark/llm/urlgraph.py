@@ -4,16 +4,16 @@ Rules: a rule (host, path, verdict) fits a host and all its subdomains where the
 path together; of equal length block before allow).
 
 Method for urls that no rule fits: host edges come from the absolute and protocol-relative links of the pages' href attributes. Trust is personalised PageRank along
-the edges from hosts with allowed urls, distrust the same along the reversed edges from hosts with blocked urls (seeds weighted by their share of such urls,
-each vector of sum one). Mass that reaches a host without out-edges is dropped. A host's scores are what it receives over edges in the end, without what it is given as a
-seed: a rule on some of its paths says nothing of the others. A host is blocked whose distrust is at least ``floor`` of what one wholly blocked host gives out (distrust times the
-sum of all blocked shares, which does not change as other hosts are added) and more than ``ratio`` times its trust; any other is allowed. Links within a host are no edges.
+the edges from trusted seeds, distrust the same along the reversed edges from blocked ones. A seed is a host of whose urls the rules allow, or block, more than ``seed_share``; its
+weight is that share, each vector's weights sum to one, and every round gives the seeds their restart share anew. Mass that reaches a host without out-edges is dropped. A host is blocked
+whose distrust is at least ``floor`` of one wholly blocked host's weight (distrust times the sum of all blocked seeds' shares, which does not change as other hosts are added) and more than
+``ratio`` times its trust; any other is allowed. Links within a host are no edges.
 
 Only DataFrame functions: pages are scanned once for rules and once for links, and meet only per-host aggregates. Rank vectors are as long as the host list, written to the
-shared folder every few rounds. Hosts join to pages by an equi-join that Spark can broadcast when small and split when a host is hot.
+shared folder every few rounds. Hosts join to pages by an equi-join; a host with more than a thousandth of all urls is split over ``SALTS`` keys.
 
-Defined cases: a url that is null or has no ``://`` has empty host and path; no rule fits it and it is allowed unless the empty host's scores say otherwise (it has no edges and no seeds).
-A null html has no links. Repeated rows are judged each; other columns are ignored; an empty table gives an empty result.
+Defined cases: a url that is null or has no ``://`` has empty host and path; no rule fits it and it is allowed (the empty host has no edges and is no seed). Only the first ``://`` counts: where
+``?`` or ``#`` follows the host the path is empty, whatever comes behind. A null html has no links. A rule given twice with both verdicts blocks. Repeated rows are judged each; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,6 +33,10 @@ CUT = 4
 #: Least distrust, in units of one wholly blocked seed host.
 FLOOR = 1e-4
 RATIO = 1.0
+#: A host with more than this share of its urls allowed (or blocked) by rules is a seed.
+SEED_SHARE = 0.5
+#: Keys of a host with more than a thousandth of all urls.
+SALTS = 64
 #: Rules up to this number become one expression; more are joined by host suffix.
 INLINE_RULES = 64
 
@@ -47,8 +51,9 @@ def host_of(url: Column) -> Column:
 
 
 def path_of(url: Column) -> Column:
-    """After the host up to ``?``, ``#`` or the end."""
-    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1), F.lit(""))
+    """After the host up to ``?``, ``#`` or the end; empty where the host is not followed by ``/``."""
+    # the last group takes what is there, nothing too, so that the match never moves on to a later ://
+    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
 def _order(rules: Sequence[tuple[str, str, str]]) -> list[tuple[str, str, str]]:
@@ -94,20 +99,29 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, *, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(host, rank): personalised PageRank over ``edges`` (src, dst, n) from ``seeds`` (host, weight; weights sum to one), without the seeds' own share at the end."""
+    """(host, rank): personalised PageRank over ``edges`` (src, dst, n) from ``seeds`` (host, weight; weights sum to one)."""
     out = edges.groupBy("src").agg(F.sum("n").alias("total"))
     shares = scratch.table(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share")), "shares")
     rank = seeds.select("host", F.col("weight").alias("rank"))
     for k in range(rounds):
         moved = rank.join(shares, F.col("host") == F.col("src")).select(F.col("dst").alias("host"), (F.lit(damping) * F.col("rank") * F.col("share")).alias("rank"))
-        if k < rounds - 1:
-            moved = moved.unionByName(seeds.select("host", (F.lit(1 - damping) * F.col("weight")).alias("rank")))
+        moved = moved.unionByName(seeds.select("host", (F.lit(1 - damping) * F.col("weight")).alias("rank")))
         rank = moved.groupBy("host").agg(F.sum("rank").alias("rank"))
         if k % CUT == CUT - 1:
             rank = scratch.table(rank, "rank")
     return rank
 
 
+def _with_scores(judged: DataFrame, scores: DataFrame, hosts: DataFrame) -> DataFrame:
+    """``judged`` with its hosts' scores. At most a thousand hosts can hold more than a thousandth of all rows: their rows are dealt over ``SALTS`` keys."""
+    total = hosts.agg(F.sum("n")).first()[0] or 0
+    hot = [r[0] for r in hosts.where(F.col("n") > max(1000.0, total / 1000)).select("host").collect()]
+    is_hot = F.col("host").isin(hot) if hot else F.lit(False)
+    left = judged.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS))).otherwise(F.lit(0)))
+    right = scores.withColumn("salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return left.join(right, ["host", "salt"], "left").drop("salt")
+
+
 def filter_urls(
     pages: DataFrame,
     rules: Sequence[tuple[str, str, str]],
@@ -116,10 +130,11 @@ def filter_urls(
     rounds: int = ROUNDS,
     floor: float = FLOOR,
     ratio: float = RATIO,
+    seed_share: float = SEED_SHARE,
 ) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) for every row of ``pages`` (page_id, url, html); ``rules``: (host, path, verdict)."""
     scratch = Scratch(pages.sparkSession, "urls")
-    url = F.col("url")
+    url = F.col("url").cast("string")
     judged = apply_rules(pages.select(F.col("page_id").cast("bigint").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path")), rules)
     hosts = judged.groupBy("host").agg(F.count_if(F.col("said") == "allow").alias("allowed"), F.count_if(F.col("said") == "block").alias("blocked"), F.count("*").alias("n"))
     hosts = scratch.table(hosts, "hosts")
@@ -127,12 +142,14 @@ def filter_urls(
     flipped = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
     ranks, totals = [], {}
     for name, column, graph in (("trust", "allowed", edges), ("distrust", "blocked", flipped)):
-        seeds = hosts.where(f"{column} > 0").select("host", (F.col(column) / F.col("n")).alias("w"))
+        share = F.col(column) / F.col("n")
+        seeds = hosts.where((F.col(column) > 0) & (share > seed_share)).select("host", share.alias("w"))
         totals[name] = float(seeds.agg(F.sum("w")).first()[0] or 1.0)
         seeds = scratch.table(seeds.select("host", (F.col("w") / F.lit(totals[name])).alias("weight")), "seeds")
         ranks.append(propagate(graph, seeds, scratch, damping=damping, rounds=rounds).withColumnRenamed("rank", name))
     scores = scratch.table(reduce(lambda x, y: x.join(y, "host", "full"), ranks).na.fill(0.0, ["trust", "distrust"]), "scores")
-    out = judged.join(scores, "host", "left").na.fill(0.0, ["trust", "distrust"])
+    out = _with_scores(judged, scores, hosts).na.fill(0.0, ["trust", "distrust"])
     bad = (F.col("distrust") * F.lit(totals["distrust"]) >= floor) & (F.col("distrust") > ratio * F.col("trust"))
     verdict = F.coalesce("said", F.when(bad, F.lit("block")).otherwise(F.lit("allow")))
+    scratch.keep(scores)
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.round("trust", 12).alias("trust"), F.round("distrust", 12).alias("distrust"))

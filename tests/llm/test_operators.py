@@ -416,13 +416,15 @@ RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/
 
 
 def test_url_rules(spark):
-    urls = ["http://A.Example.com/en/71?x", "https://example.com/en/8#f", "http://xexample.com/en/7", "ftp://n.net/de/80", "http://example.net/de/80", "x", None, "http://com", "http://a.org?q", "//no"]
+    urls = ["http://A.Example.com/en/71?x", "https://example.com/en/8#f", "http://xexample.com/en/7", "ftp://n.net/de/80", "http://example.net/de/80", "x", None, "http://com", "http://a.org?q", "//no",
+            "http://a.com?u=http://b.com/en/7", "http://com?x=://q/en/1", "http://a.com#x://b.com/en/7", "http://b.com/en?x=http://q/en/1", "http://B.com/en/1\nz?y"]
     df = frame(spark, [(i, u, None) for i, u in enumerate(urls)], "page_id bigint, url string, html string")
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urlgraph.filter_urls(df, RULES).collect()}
     assert got == {
         0: ("a.example.com", "/en/71", "example.com/en/7", "allow"), 1: ("example.com", "/en/8", "com/en/", "block"), 2: ("xexample.com", "/en/7", "com/en/", "block"),
         3: ("n.net", "/de/80", "net/de/", "allow"), 4: ("example.net", "/de/80", "example.net/de/8", "block"), 5: ("", "", None, "allow"), 6: ("", "", None, "allow"),
         7: ("com", "", None, "allow"), 8: ("a.org", "", None, "allow"), 9: ("", "", None, "allow"),
+        10: ("a.com", "", None, "allow"), 11: ("com", "", None, "allow"), 12: ("a.com", "", None, "allow"), 13: ("b.com", "/en", None, "allow"), 14: ("b.com", "/en/1\nz", "com/en/", "block"),
     }
     joined = urlgraph._joined(df.select("page_id", urlgraph.host_of(F.col("url")).alias("host"), urlgraph.path_of(F.col("url")).alias("path")), urlgraph._order(RULES))
     assert {r["page_id"]: r["rule"] for r in joined.collect()} == {k: v[2] for k, v in got.items()}
@@ -444,7 +446,7 @@ def test_link_graph(spark):
             out[a] += n
         r = seed = np.array(seed, float)
         for k in range(urlgraph.ROUNDS):
-            nxt = np.zeros(5) if k == urlgraph.ROUNDS - 1 else (1 - urlgraph.DAMPING) * seed
+            nxt = (1 - urlgraph.DAMPING) * seed
             for (a, b), n in edges.items():
                 nxt[b] += urlgraph.DAMPING * r[a] * n / out[a]
             r = nxt
@@ -479,6 +481,74 @@ def test_link_graph_copies(spark):
     assert verdicts(2000) == Counter({k: 2000 * n for k, n in one.items()})
 
 
+def test_url_rules_many(spark):
+    """More rules than are inlined, ties of length, repeated rows: against a loop over all rules."""
+    r = random.Random(11)
+    hosts = [".".join(r.choice("abcd") for _ in range(r.randrange(1, 5))) for _ in range(60)]
+    rules = [(r.choice(hosts), "/" + r.choice(["", "x", "xy", "xyz/"]), r.choice(["allow", "block"])) for _ in range(150)]
+    rules += [("a.b", "/xy", "allow"), ("a.b", "/xy", "block"), ("b", "/xy/z", "allow"), ("a.b", "/xy", "allow")]
+    assert len(set(rules)) > urlgraph.INLINE_RULES
+    urls = [f"http://{r.choice(hosts)}/{r.choice(['', 'x', 'xyz', 'xyz/1', 'q', 'xy/z'])}" for _ in range(400)]
+    df = spark.createDataFrame([(i % 300, u, None) for i, u in enumerate(urls + urls[:50])], "page_id bigint, url string, html string")
+
+    def brute(url):
+        host, _, path = url[7:].partition("/")
+        fits = [x for x in rules if (host == x[0] or host.endswith("." + x[0])) and ("/" + path).startswith(x[1])]
+        best = max((len(h + p), v == "block") for h, p, v in fits) if fits else None
+        return best and {(h + p, v) for h, p, v in fits if (len(h + p), v == "block") == best}
+
+    got = urlgraph.filter_urls(df, rules).collect()
+    assert len(got) == 450
+    want = {u[7:]: brute(u) for u in urls}
+    for x in got:
+        w = want[x["host"] + x["path"]]
+        assert (x["rule"] is None) == (w is None) and (w is None or (x["rule"], x["verdict"]) in w)
+    # one host with most of the urls is dealt over several keys, with the same result
+    hot = df.where("page_id < 1").limit(1).crossJoin(spark.range(3000)).select(F.col("id").alias("page_id"), F.lit("http://hot.org/es/1").alias("url"), F.lit(None).cast("string").alias("html"))
+    hot = hot.unionByName(spark.createDataFrame([(9000, "http://hot.org/x", None), (9001, "http://cold.org/x", None)], "page_id bigint, url string, html string"))
+    seen = urlgraph.filter_urls(hot, RULES)
+    assert Counter(x["verdict"] for x in seen.collect()) == {"block": 3001, "allow": 1} and seen.where("page_id = 9000 and rule is null and verdict = 'block'").count() == 1
+
+
+def test_link_graph_thousands(spark):
+    """A generated graph of some thousand hosts against a dense iteration."""
+    r = np.random.default_rng(4)
+    n = 2000
+    name = [f"h{i}.{('com', 'net', 'org', 'io', 'io')[i % 5]}" for i in range(n)]
+    path = [("/en/1", "/de/1", "/es/1", "/", "/")[i % 5] for i in range(n)]
+    to = r.integers(0, n, (n, 3))
+    rows = [(i, f"http://{name[i]}{path[i] if i % 3 else '/'}", "".join(f"<a href='http://{name[j]}/'>" for j in to[i])) for i in range(n)]
+    rows += [(n + i, f"http://{name[i]}/other", None) for i in range(0, n, 2)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {x["host"]: x for x in urlgraph.filter_urls(df, RULES).where("rule is null").collect()}
+    links = np.zeros((n, n))
+    for i in range(n):
+        for j in to[i]:
+            links[i, j] += i != j
+    has = np.array([1 + (i % 2 == 0) for i in range(n)])  # of two urls one is no majority
+
+    def ranks(m, kinds):
+        seed = np.array([float(has[i] == 1 and i % 3 and i % 5 in kinds) for i in range(n)])
+        total = seed.sum()
+        seed = seed / total
+        share = m / np.maximum(m.sum(axis=1, keepdims=True), 1)
+        x = seed
+        for _ in range(urlgraph.ROUNDS):
+            x = urlgraph.DAMPING * (x @ share) + (1 - urlgraph.DAMPING) * seed
+        return x, total
+
+    trust, _ = ranks(links, (1,))
+    distrust, total = ranks(links.T, (0, 2))
+    verdicts = Counter()
+    for i, h in enumerate(name):
+        if h in got:
+            assert got[h]["trust"] == pytest.approx(trust[i], abs=1e-9) and got[h]["distrust"] == pytest.approx(distrust[i], abs=1e-9)
+            want = "block" if distrust[i] * total >= urlgraph.FLOOR and distrust[i] > trust[i] else "allow"
+            assert got[h]["verdict"] == want
+            verdicts[want] += 1
+    assert verdicts["block"] > 100 and verdicts["allow"] > 100
+
+
 # edit-aware counts
 
 def test_edits_against_full_count():
