@@ -359,12 +359,64 @@ def test_decontamination_planted(docs, spark, sf):
     bench = {r["item_id"]: norm(r["text"]) for r in items.collect()}
     want = {(d, i) for d, t in texts_of(docs).items() for i, b in bench.items() if b in norm(t)}
     assert got == want
-    two = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs, items, shard=15).collect()}
+    two = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs, items, shard=500).collect()}
     assert two == got
     left = decontam.drop_contaminated(docs, items)
     assert left.columns == docs.columns and {r["doc_id"] for r in left.collect()} == set(texts_of(docs)) - {d for d, _ in got}
 
 
+def test_decontamination_exhaustive(docs, spark, sf):
+    """Every (text, segment) at the threshold, by scores of all windows against all segments."""
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    segs = [decontam.words(t)[lo : lo + 64] for _, t in items for lo in range(0, len(decontam.words(t)), 64)]
+    df, n = Counter(w for s in segs for w in set(s)), len(segs)
+    mean = sum(map(len, segs)) / n
+    index = decontam.Index.build(items, df, n, mean)
+    texts = [t or "" for t in texts_of(docs).values()]
+    dense = np.zeros((len(index.ids), len(index.owner)))
+    for k in range(len(index.ids)):
+        own = slice(index.post[k], index.post[k + 1])
+        dense[k, index.seg[own]] = index.share[own]
+    assert np.allclose(dense.sum(axis=0), 1)
+    want, got = set(), set()
+    for i, t in enumerate(texts):
+        w = [index.ids.get(x, -1) for x in decontam.words(t)]
+        for k in range(max(1, -(-len(w) // 64) - 1)):
+            own = sorted({x for x in w[64 * k : 64 * k + 128] if x >= 0})
+            if own:
+                want.update((i, k, int(s)) for s in np.flatnonzero(dense[own].sum(axis=0) >= 0.3))
+                got.update((i, k, s) for _, s, _ in index.search(np.full(len(own), k), np.array(own), 0.3))
+    assert got == want and len(want) > 20
+    # all texts at once, in one group of windows and in many
+    whole = Counter((t, item) for t, item, *_ in decontam.Texts(texts).match(index))
+    step, decontam.STRETCH = decontam.STRETCH, 640
+    try:
+        assert Counter((t, item) for t, item, *_ in decontam.Texts(texts).match(index)) == whole
+    finally:
+        decontam.STRETCH = step
+    alone = Counter((i, item) for i, t in enumerate(texts) for _, item, *_ in decontam.Texts([t]).match(index))
+    assert alone == whole
+
+
+def test_decontamination_far_answer(spark):
+    """The answer may stand far behind its question; a question without its answer does not count."""
+    r = random.Random(8)
+    question, answer = " ".join(f"q{r.randrange(10**6)}" for _ in range(30)), " ".join(f"a{r.randrange(10**6)}" for _ in range(10))
+    items = spark.createDataFrame([(1, f"{question}?\nAnswer: {answer}")], "item_id bigint, text string")
+    texts = [(1, f"{question} {prose(1, 400)} {answer}"), (2, f"{question} {prose(2, 400)}"), (3, f"{prose(3, 200)} {answer}"), (4, f"{answer} {prose(4, 900)} {question} {prose(5, 90)}")]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    assert {x["doc_id"] for x in decontam.contaminated(docs, items).collect()} == {1, 4}
+
+
+def test_decontamination_null_items(spark, odd):
+    """Items without an id count like any other."""
+    items = spark.createDataFrame([(None, prose(1, 400)), (None, "one"), (5, "nothing of the kind here at all")], "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(odd, items).collect()}
+    # document 10 has 60,000 of the same twenty words, and so most of their pairs
+    assert got - {(10, None)} == {(d, None) for d in (1, 2, 3, None, 7, 8)}
+    assert {r["doc_id"] for r in decontam.drop_contaminated(odd, items).collect()} - {10} == {4, 5, 6, 9, 11, 12, None}
+
+
 def test_decontamination_odd(spark, odd):
     items = spark.createDataFrame([(1, None), (2, ""), (3, prose(1, 400)), (4, "one"), (None, "x"), (3, prose(1, 400))], "item_id bigint, text string").withColumn("doc_id", F.lit(1))
     got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(odd, items).collect()}
