@@ -48,10 +48,10 @@ class Scratch:
         self.paths.append(f"{self.root}/{self.n:03d}-{name}")
         return self.paths[-1]
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    def table(self, df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
         """Write ``df`` and read it back: cuts lineage, and later stages reuse the rows."""
         path = self.path(name)
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

@@ -603,20 +603,86 @@ def test_link_graph_thousands(spark):
 
 # edit-aware counts
 
+def shape(doc):
+    """Lengths and counts of a document's pre-tokens; checks sums, balance and texts of its tree on the way."""
+
+    def walk(x):
+        if x.left is None:
+            assert x.parts == len(x.lengths) == len(x.counts) > 0 and x.chars == sum(x.lengths) == len(x.text) and x.tokens == sum(x.counts)
+            return list(x.lengths), list(x.counts)
+        (a, b), (c, d) = walk(x.left), walk(x.right)
+        assert abs(x.left.height - x.right.height) <= 1 and x.height == 1 + max(x.left.height, x.right.height)
+        assert (x.parts, x.chars, x.tokens) == (len(a) + len(c), sum(a) + sum(c), sum(b) + sum(d))
+        return a + c, b + d
+
+    return walk(doc.root) if doc.root else ([], [])
+
+
+def replaced(text, start, removed, inserted):
+    start = min(max(start, 0), len(text))
+    return text[:start] + inserted + text[start + min(max(removed, 0), len(text) - start) :]
+
+
 def test_edits_against_full_count():
     counter = editcount.Counter(P.path("byte_bpe_50k.json"), P.PATTERN)
     r = random.Random(3)
-    pool = ["hello world", " ", "\n\n", "it's", "don't!!", "  12 345", "ÄÖ ü", "<|endoftext|>", "tab\t x", "…", "a"]
-    for _ in range(150):
-        doc = editcount.Document("".join(r.choice(pool) for _ in range(r.randrange(0, 40))), counter)
-        for _ in range(6):
-            doc.edit(r.randrange(-2, len(doc.text) + 3), r.randrange(0, 12), r.choice(["", " ", "x", "'s", "\n", " new words", "9"]))
-            fresh = editcount.Document(doc.text, counter)
-            assert doc.ends == fresh.ends and doc.tree.levels[0].tolist() == fresh.tree.levels[0].tolist() and doc.n_tokens == fresh.n_tokens
-            assert [x.tolist() for x in doc.tree.levels] == [x.tolist() for x in fresh.tree.levels]
-    assert counter.tokenizer.encode("it's <|endoftext|> x", add_special_tokens=False).ids and editcount.Document("it's <|endoftext|> x", counter).n_tokens == len(counter.tokenizer.encode("it's <|endoftext|> x", add_special_tokens=False).ids)
-    tree = editcount.SumTree(list(range(20)))
-    assert all(tree.prefix(n) == sum(range(n)) for n in range(21))
+    pool = ["hello world", " ", "\n\n", "it's", "don't!!", "  12 345", "ÄÖ ü", "<|endoftext|>", "tab\t x", "…", "a", " " * 90, "x" * 200]
+    leaf, editcount.LEAF = editcount.LEAF, 4
+    try:
+        for _ in range(150):
+            text = "".join(r.choice(pool) for _ in range(r.randrange(0, 60)))
+            doc = editcount.Document(text, counter)
+            for k in range(8):
+                e = r.randrange(-2, len(text) + 3), r.randrange(0, r.choice([2, 12, 300])), r.choice(["", " ", "x", "'s", "\n", " new words", "9", " " * 70])
+                doc.edit(*e)
+                text = replaced(text, *e)
+                assert doc.text == text and shape(doc) == shape(editcount.Document(text, counter))
+                if k == 4:  # to a row and back
+                    row = doc.row()
+                    doc = editcount.Document.kept(counter, *row[:2], *row[3:])
+    finally:
+        editcount.LEAF = leaf
+    whole = lambda t: len(counter.tokenizer.encode(t, add_special_tokens=False).ids)
+    assert editcount.Document("it's <|endoftext|> x", counter).n_tokens == whole("it's <|endoftext|> x")
+
+
+def test_edits_touch_little():
+    """An edit of a long text looks at a few leaves and a path of the tree."""
+    counter = editcount.Counter(P.path("byte_bpe_50k.json"), P.PATTERN)
+    doc = editcount.Document(prose(6, 200_000), counter)
+
+    def walk(x):
+        yield x
+        if x.left is not None:
+            yield from walk(x.left)
+            yield from walk(x.right)
+
+    before = set(walk(doc.root))
+    doc.edit(600_000, 5, "something else")
+    new = [x for x in walk(doc.root) if x not in before]
+    assert doc.again <= 12 and len(new) <= 6 * doc.root.height and len(before) > 3000
+
+
+def test_update_of_some(spark, docs):
+    """Edits joined to kept trees: equal to a full recount, and the encoding is a hundredth where a hundredth is edited."""
+    tools = {"tokenizer": P.path("byte_bpe_50k.json"), "pattern": P.PATTERN}
+    trees = editcount.write_trees(docs.unionByName(docs.limit(3)), **tools).cache()
+    rows = [(d, [(3, 2, "abc"), (0, 0, None), (10**9, 4, " end")]) for d in range(0, 200, 20)] + [(None, [(0, 0, "x")]), (7, []), (9, None)]
+    edits = spark.createDataFrame(rows, f"doc_id bigint, edits {editcount.EDITS}")
+    got = editcount.update_trees(trees, edits, **tools).collect()
+    assert len(got) == docs.count() + 3
+    counter = editcount.Counter(*tools.values())
+    old = texts_of(docs)
+    for r in got:
+        want = old[r["doc_id"]] or ""
+        if r["doc_id"] % 20 == 0 and r["doc_id"] < 200:
+            for e in ((3, 2, "abc"), (10**9, 4, " end")):
+                want = replaced(want, *e)
+        fresh = editcount.Document(want, counter)
+        assert r["text"] == want and (r["n_tokens"], r["n_pretokens"]) == (fresh.n_tokens, fresh.n_pretokens) and sum(r["leaf_tokens"]) == r["n_tokens"]
+        assert r["pretokens_encoded"] <= 20 if r["doc_id"] % 20 == 0 else r["pretokens_encoded"] == 0
+    again = editcount.apply_edits(spark.createDataFrame(got).withColumn("edits", F.lit(None).cast(editcount.EDITS)), **tools)
+    assert again.where("n_tokens <> n_tokens_before or pretokens_encoded <> 0").count() == 0 and again.count() == len(got)
 
 
 @pytest.mark.parametrize("which", ["docs", "odd"])
@@ -626,9 +692,9 @@ def test_counts_brute(request, which):
     t.encode_special_tokens = True
 
     def edited(d, text):
-        for s, n, x in editcount.sample_edits(d, text):
-            s = min(max(s, 0), len(text))
-            text = text[:s] + x + text[s + min(n, len(text) - s) :]
+        n, k = len(text), (d or 0) % 997
+        for e in ((n * (k % 7) // 7, 0, f" item{k}"), (n * (k % 5) // 5, min(12, n), ""), (n * (k % 3) // 3 + 1, 3, "'ll \n x9")):
+            text = replaced(text, *e)
         return text
 
     count = lambda x: len(t.encode(x, add_special_tokens=False).ids)
