@@ -5,7 +5,8 @@ scaled by its class log-count ratio; the vectors have length one. A linear hinge
 its mean weight. Margins become probabilities by a logistic fit on labelled rows that the descent did not see, weighted to the label shares.
 
 The fit reads at most ``sample`` labelled rows a class, those with the least hash of doc_id; this is the operator's only bound. Only rows whose
-crc32(doc_id as text) mod 4 is not 2 are learned from. Scoring covers all rows.
+crc32(doc_id as text) mod 4 is not 2 are learned from. Of texts that repeat a doc_id the one with the least hash is learned. Scoring covers all rows, and a text's score is the same
+whatever texts are scored beside it.
 
 Defined cases: null and empty texts have no indicators and get the score of the bias alone. Rows without a doc_id count as not held out and are scored; a
 doc_id with two labels is learned with both. With no or only one class to learn from every score is 0.5 or that class's. An empty table gives an empty result.
@@ -81,10 +82,12 @@ class Model:
     shift: float
 
     def margins(self, ids: np.ndarray, begin: np.ndarray) -> np.ndarray:
-        sums = []
-        for table in (self.weight, self.square):
-            total = np.concatenate(([0.0], np.cumsum(table[ids], dtype=np.float64)))
-            sums.append(total[begin[1:]] - total[begin[:-1]])
+        # a sum of its own for each text, so that a score does not depend on the texts beside it
+        full = np.flatnonzero(begin[1:] > begin[:-1])
+        sums = np.zeros((2, len(begin) - 1))
+        for total, table in zip(sums, (self.weight, self.square), strict=True):
+            if len(full):
+                total[full] = np.add.reduceat(table[ids].astype(np.float64), begin[:-1][full])
         return sums[0] / np.sqrt(np.maximum(sums[1], 1e-12)) + self.bias
 
     def scores(self, ids: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -177,7 +180,8 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Model:
     drawn = hashed.where("label = 0").orderBy("h", "doc_id").limit(sample).unionByName(hashed.where("label = 1").orderBy("h", "doc_id").limit(sample))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # at most 2 x sample ids: safe to broadcast
-    chosen = texts.join(F.broadcast(drawn.select("doc_id", "label")), "doc_id").select("text", "label", _fold("doc_id").cast("int").alias("fold"))
+    chosen = texts.join(F.broadcast(drawn.select("doc_id", "label")), "doc_id").groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    chosen = chosen.select("text", "label", _fold("doc_id").cast("int").alias("fold"))
     table = chosen.mapInArrow(lean(_rows), "ids array<int>, label int, fold int").toArrow()
     ids = [np.asarray(x.values) for x in table.column("ids")]
     order = sorted(range(len(ids)), key=lambda i: (len(ids[i]), ids[i].tobytes(), table.column("label")[i].as_py()))
