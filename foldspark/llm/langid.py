@@ -4,8 +4,8 @@ A word is its letters in lower case between a start and an end mark; every lette
 its word. A model keeps the hashes of its n-grams, sorted, with their interpolated log-probabilities, and the hashes of its contexts with their back-off weights. A text
 goes to the language of least cross-entropy per predicted symbol. Whatever exceeds the language's calibrated limit is marked rejected.
 
-The models are fitted on at most ``sample`` texts a language, those with the least hash of doc_id, and only on rows whose crc32(doc_id as text) mod 4
-is not 2. A quarter of that sample (remainder 1) sets limits and score, the rest gives the counts. Prediction covers all rows and whole texts.
+The models are fitted on at most ``sample`` texts a language, those with the least hash of doc_id, for at most ``languages`` languages, the most frequent ones, and only on rows whose
+crc32(doc_id as text) mod 4 is not 2. Of texts that repeat a doc_id in a language the one with the least hash is learned. A quarter of that sample (remainder 1) sets limits and score, the rest gives the counts. Prediction covers all rows and whole texts.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0. Rows without doc_id count as not held out, and are never learned from. Ties go to the
 language first in order. With no language to learn from all rows are ``und``. An empty table gives an empty result.
@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from foldspark.llm.shared import Scratch, lean, mix64, random_u64
 
 ORDER = 4
-SAMPLE = 800
+#: Texts a language, and languages, that the fit reads at most.
+SAMPLE, LANGUAGES = 800, 256
 #: Share of a language's own calibration texts that its limit lets pass, and the room above.
 PASS, ROOM = 0.995, 1.1
 CACHE = 200_000
@@ -167,8 +168,11 @@ class Identifier:
                 ends = np.cumsum([0, *map(len, parts)])
                 if used + len(missing) > len(table):
                     table = np.concatenate((table, np.zeros((used + len(missing), table.shape[1]))))
-                sums = np.concatenate((np.zeros((1, table.shape[1])), np.cumsum(np.column_stack((logs, n)), axis=0)))
-                table[used : used + len(missing)] = sums[ends[1:]] - sums[ends[:-1]]
+                own = np.zeros((len(missing), table.shape[1]))
+                some = np.flatnonzero(ends[1:] > ends[:-1])
+                if len(some):  # a sum of its own for each token: no score depends on the texts beside it
+                    own[some] = np.add.reduceat(np.column_stack((logs, n)), ends[:-1][some], axis=0)
+                table[used : used + len(missing)] = own
                 rows.update(zip(missing, range(used, used + len(missing)), strict=True))
                 used += len(missing)
             count = np.array([len(doc) for doc in tokens])
@@ -215,20 +219,22 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def train(docs: DataFrame, *, sample: int = SAMPLE) -> Identifier:
-    """Fit on ``docs`` (doc_id, text, lang)."""
+def train(docs: DataFrame, *, sample: int = SAMPLE, languages: int = LANGUAGES) -> Identifier:
+    """Fit on ``docs`` (doc_id, text, lang): the ``languages`` most frequent lang values are learned."""
     scratch = Scratch(docs.sparkSession, "langid")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where("lang is not null and doc_id is not null").where(_fold("doc_id") != 2)
     # a share of each language's rows that holds the sample almost surely, by hash, so that what is ranked does not grow with the corpus
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("all"))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("all")).orderBy(F.desc("all"), "lang").limit(languages)
     share = F.least(F.lit(1.0), F.lit(2.0 * sample + 200) / F.col("all"))
     draw = F.expr("(xxhash64(doc_id) & 9007199254740991L) / 9007199254740992D")
-    # one row a language, of each of which the driver holds a model too: small enough to broadcast
+    # at most ``languages`` rows: small enough to broadcast
     near = rows.select("lang", "doc_id").join(F.broadcast(sizes), "lang").where(draw <= share).select("lang", "doc_id").distinct()
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(draw, "doc_id"))
     ids = near.withColumn("k", rank).where(F.col("k") <= sample).select("lang", "doc_id")
-    drawn = scratch.table(rows.join(F.broadcast(ids), ["lang", "doc_id"]).select("lang", "text", _fold("doc_id").alias("fold")), "sample")
+    # at most languages x sample ids
+    drawn = rows.join(F.broadcast(ids), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    drawn = scratch.table(drawn.select("lang", "text", _fold("doc_id").alias("fold")), "sample")
     grams = drawn.where("fold <> 1").select("lang", "text").mapInArrow(lean(_counts), "lang string, gram string, n bigint")
     counts: dict[str, dict[str, int]] = defaultdict(dict)
     table = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
@@ -248,6 +254,7 @@ def train(docs: DataFrame, *, sample: int = SAMPLE) -> Identifier:
     if gaps:  # the sharpness that makes the true languages likeliest
         loss = lambda s: float(np.mean([np.log2(np.exp2(-s * g.clip(-100, 100)).sum()) for g in gaps]))
         out.sharpness = min((0.5, 1.0, 2.0, 4.0, 8.0, 16.0), key=loss)
+    scratch.keep()
     return out
 
 
