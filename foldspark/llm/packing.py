@@ -3,7 +3,9 @@
 Texts become token ids, then an end id; every document is cut into pieces of ``size`` ids and a rest. The histogram of piece lengths has at most
 ``size`` entries, whatever the corpus. Lengths are placed longest first, each into the pack with the most room left (the shortest pack), by
 counts of equal patterns and not by documents. The documents then meet their patterns by rank: the k-th piece of a length takes
-the k-th place that the patterns have for it. Ranks come from counts per (length, salt), so no length's pieces meet in one task.
+the k-th place that the patterns have for it. Full pieces are sequences of their own, numbered by the row of the pieces' table; the others, at most one a document, are ranked by (length, salt),
+with a salt for about every ``RANKED`` pieces of a length, so no length's pieces meet in one task. What is broadcast are a row a length and a row a (length, salt): at most
+``size`` + pieces / ``RANKED`` rows of 24 bytes (1.3 MB for 10^10 documents).
 
 Defined cases: a null text is empty, and an empty document is its end id alone. Repeated rows are documents of their own; a null doc_id stays
 null. Other columns are ignored. An empty table gives an empty result. A text of any length is encoded whole.
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 from foldspark.llm.shared import Scratch, lean
 from foldspark.llm.tokens import ChunkEncoder
 
-#: Tasks that share the pieces of one length when ranks are counted.
-SALTS = 64
+#: Pieces of one length that are ranked together, about.
+RANKED = 200_000
 
 _PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
@@ -53,8 +55,10 @@ def pack_histogram(counts: dict[int, int], size: int) -> list[tuple[int, list[in
                     put(n - used, -room, pattern)
                 put(used, -room - length, [*pattern, length])
             else:
-                used = left
-                put(used, size - length, [length])
+                # a new pack is the one with the most room until it is full: so many of this length fill each
+                each = min(left, size // length)
+                used = left - left % each
+                put(used // each, size - each * length, [length] * each)
             left -= used
     return done + [groups[at] for _, at in sorted(heap, reverse=True)]
 
@@ -124,20 +128,26 @@ def _place(places: Places):
     return run
 
 
-def pack(docs: DataFrame, *, tokenizer: str, end_id: int = 1, size: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, *, tokenizer: str, end_id: int = 1, size: int = 2048, ranked: int = RANKED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), one row for each piece."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    pieces = scratch.table(texts.mapInArrow(lean(_pieces(tokenizer, end_id, size)), _PIECES), "pieces")
-    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SALTS)))
-    # at most size x SALTS rows, however large the corpus
-    counts = pieces.groupBy("length", "salt").agg(F.count("*").alias("n"))
+    # the row number tells apart rows that are alike in all else
+    pieces = texts.mapInArrow(lean(_pieces(tokenizer, end_id, size)), _PIECES).withColumn("uid", F.monotonically_increasing_id())
+    pieces = scratch.table(pieces, "pieces")
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    histogram.pop(size, None)
+    patterns = pack_histogram(histogram, size)
+    places, shared = Places(patterns), sum(n for n, _ in patterns)
+    salts = spark.createDataFrame([(k, 1 + n // ranked) for k, n in histogram.items()], "length bigint, salts bigint")
+    rest = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("uid"), "salts"))
+    counts = rest.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    counts = scratch.table(counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))), "counts")
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    places = Places(pack_histogram(histogram, size))
-    own = Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32")
-    ranked = pieces.withColumn("own", F.row_number().over(own)).join(F.broadcast(counts.select("length", "salt", "before")), ["length", "salt"])
-    ranked = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("before") + F.col("own") - 1).alias("rank"))
-    return ranked.mapInArrow(lean(_place(places)), f"{_PIECES}, sequence_id bigint, offset bigint")
+    counts = scratch.table(counts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "counts")
+    own = F.row_number().over(Window.partitionBy("length", "salt").orderBy("uid"))
+    rest = rest.withColumn("own", own).join(F.broadcast(counts), ["length", "salt"])
+    rest = rest.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("before") + F.col("own") - 1).alias("rank"))
+    rest = rest.mapInArrow(lean(_place(places)), f"{_PIECES}, sequence_id bigint, offset bigint")
+    full = pieces.where(F.col("length") == size)
+    return rest.unionByName(full.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("uid") + shared).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset")))
