@@ -176,6 +176,25 @@ def test_packing_round_trip(docs):
     assert len(seqs) * 2048 - total <= 0.02 * total + 2048
 
 
+def test_packing_hot_length(spark):
+    """Rows alike in all columns, a length with a third of all pieces, and full pieces: every piece has a place of its own."""
+    rows = [(None, "same words")] * 300 + [(i, "one two three four") for i in range(300)] + [(1000 + i, "token " * (40 * i)) for i in range(1, 20)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = packing.pack(df, tokenizer=BPE, size=64, ranked=50).collect()
+    assert sum(r["doc_id"] is None for r in got) == 300
+    seqs = {}
+    for r in got:
+        seqs.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in seqs.values():
+        at = 0
+        for o, n in sorted(parts):
+            assert o == at
+            at += n
+        assert at <= 64
+    total = sum(r["length"] for r in got)
+    assert len(seqs) * 64 - total <= 0.05 * total + 64 and any(r["length"] == 64 for r in got)
+
+
 def test_packing_odd(odd):
     one = odd.where("doc_id is not null").dropDuplicates(["doc_id"])
     check_pieces(packing.pack(one, tokenizer=BPE).collect(), texts_of(one))
@@ -274,6 +293,48 @@ def test_quality_odd(spark, odd):
     assert quality.keep_by_quality(odd, none, threshold=0.4).columns == odd.columns
 
 
+def test_quality_alone_and_together(spark, sf):
+    """A text's score is the same whatever is scored beside it; scores follow from the model's definition."""
+    sf = sf.replace("sf0.001", "sf0.01")
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(docs, labels)
+    texts = [t or "" for t in texts_of(docs.limit(300)).values()]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.concatenate(([0], np.cumsum([len(t.encode()) for t in texts])))
+    together = model.scores(*quality.indicators(data, offsets))
+    for i, t in enumerate(texts):
+        raw = np.frombuffer(t.encode(), np.uint8)
+        ids, begin = quality.indicators(raw, np.array([0, len(raw)]))
+        assert model.scores(ids, begin)[0] == together[i]
+        margin = math.fsum(model.weight[ids].tolist()) / math.sqrt(max(math.fsum(model.square[ids].tolist()), 1e-12)) + model.bias
+        assert 1 / (1 + math.exp(-(model.slope * margin + model.shift))) == pytest.approx(together[i], abs=1e-9)
+
+
+def test_quality_fit_brute():
+    """Ratios, weights and the dual's conditions of a small fit, from plain loops."""
+    r = np.random.default_rng(2)
+    rows = [np.sort(r.choice(40, 6, replace=False)) if i % 2 else np.sort(20 + r.choice(40, 6, replace=False)) for i in range(120)]
+    label, cal = np.arange(120) % 2, np.arange(120) % 4 == 1
+    cal[::8] = True
+    model = quality.fit(rows, label, cal, 0.5)
+    learn = [i for i in range(120) if not cal[i]]
+    n = [sum(label[i] == k for i in learn) for k in (0, 1)]
+    ratio = {}
+    for f in range(60):
+        c = [1.0 + sum(f in rows[i] for i in learn if label[i] == k) for k in (0, 1)]
+        ratio[f] = math.log(c[1] / (n[1] + 2)) - math.log(c[0] / (n[0] + 2))
+        assert model.square[f] == pytest.approx(ratio[f] ** 2, rel=1e-5, abs=1e-9)
+    # the hinge-loss objective of the descent is no worse than that of nearby weights
+    unit = [np.array([ratio[f] for f in rows[i]]) / max(1e-6, math.sqrt(sum(ratio[f] ** 2 for f in rows[i]))) for i in learn]
+    y = np.array([2.0 * label[i] - 1 for i in learn])
+    w, b = quality.descent([rows[i] for i in learn], unit, y, 60, np.ones(len(learn)), epochs=300)
+    loss = lambda w, b: (w @ w + b * b) / 2 + sum(max(0.0, 1 - t * (w[rows[i]] @ v + b)) for i, v, t in zip(learn, unit, y))
+    best = loss(w, b)
+    for _ in range(50):
+        step = r.normal(size=61) * 0.05
+        assert loss(w + step[:60], b + step[60]) >= best - 1e-6
+
+
 def test_descent_separates():
     rng = np.random.default_rng(0)
     rows = [np.sort(rng.choice(50, 8, replace=False)) + (0 if i % 2 else 25) for i in range(200)]
@@ -320,6 +381,75 @@ def _one(model, h, i):
     return total + model.unseen
 
 
+def test_langid_brute(docs):
+    """Entropies of whole texts from probabilities computed gram by gram, alone and together; ties go to the first language."""
+    rows = [(r["lang"], r["text"] or "") for r in docs.where("doc_id < 120").collect() if r["lang"]]
+    counts = {}
+    for lang, text in rows[:60]:
+        for t in text.split():
+            for w in langid.letters(t):
+                s = "\x02" + w + "\x03"
+                for i in range(1, len(s)):
+                    own = counts.setdefault(lang, Counter())
+                    own[s[max(0, i - 3) : i + 1]] += 1
+    langs = sorted(counts)
+    symbols = len({c for x in counts.values() for g in x for c in g}) + 1
+    model = langid.Identifier(langs, [langid.kneser_ney(dict(counts[x]), symbols=symbols) for x in langs], [math.inf] * len(langs))
+
+    def tables(longest):
+        """Continuation counts, by level, of the grams."""
+        level = [Counter() for _ in range(5)]
+        for g, n in longest.items():
+            level[len(g)][g] += n
+        for k in (3, 2, 1):
+            for g in level[k + 1]:
+                level[k][g[1:]] += 1
+        return level
+
+    def prob(level, context, c):
+        if not context:
+            base = 1 / symbols
+        else:
+            base = prob(level, context[1:], c)
+        own = {g: n for g, n in level[len(context) + 1].items() if g[:-1] == context}
+        if not own:
+            return base
+        ones, twos = (sum(n == x for n in level[len(context) + 1].values()) for x in (1, 2))
+        d = ones / (ones + 2 * twos) if ones else 0.5
+        total = sum(own.values())
+        return max(own.get(context + c, 0) - d, 0) / total + d * len(own) / total * base
+
+    probe = [" ".join(t.split()[:6]) for _, t in rows[60:66] if t.split()]
+    got = [next(model.batches(iter([[t]]))) for t in probe]
+    for i, t in enumerate(probe):
+        n = 0
+        logs = [0.0] * len(langs)
+        for token in t.split():
+            for w in langid.letters(token):
+                s = "\x02" + w + "\x03"
+                n += len(s) - 1
+                for m, x in enumerate(langs):
+                    level = tables(counts[x]) if (i, x) not in tables_of else tables_of[i, x]
+                    tables_of[i, x] = level
+                    logs[m] += sum(math.log2(prob(level, s[max(0, k - 3) : k], s[k])) for k in range(1, len(s)))
+        assert got[i][1][0] == n and np.allclose(got[i][0][0], [-v / max(n, 1) for v in logs], atol=1e-9)
+    texts = [t for _, t in rows] + ["", "12 3", "x" * 50_000]
+    together, _ = next(model.batches(iter([texts])))
+    alone = [next(model.batches(iter([[t]])))[0][0].tolist() for t in texts]
+    assert together.tolist() == alone
+    assert model.verdicts(np.array([[1.0] * len(langs)]), np.array([5]))[0] == [langs[0]]
+
+
+tables_of = {}
+
+
+def test_langid_many_languages(spark):
+    """A dirty lang column: only the most frequent values are learned."""
+    rows = [(i, prose(i, 30), "en" if i % 2 else f"junk{i}") for i in range(80)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), languages=3)
+    assert "en" in model.langs and len(model.langs) <= 3
+
+
 def test_langid_odd(odd):
     model = langid.train(odd)
     got = langid.identify(odd, model).collect()
