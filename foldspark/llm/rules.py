@@ -1,9 +1,9 @@
 """Quality rules: word and line counts, and compression bands.
 
 Base: a text of fewer than 20 words fails, and one with more than 30 % of its words in 8-word windows that occur twice or more. Bands: the zstandard
-ratio (bytes by compressed bytes) of the whole text must lie between two limits that depend on its length, and at most half of its chunks
-of 4 KiB may lie outside the chunk limits. Where the length is no multiple of 4 KiB, the last chunk is the text's last 4 KiB; a shorter text has no chunks,
-its limits are those of its length. A ratio above the band is repetitive text, one below is incompressible.
+ratio (bytes by compressed bytes) of the whole text must lie between two limits that depend on its length, and at most half of its chunks may lie outside the limits of their size:
+4 KiB for texts of that length or more, 512 bytes for shorter ones. Where the length is no multiple of the chunk's, the last chunk is the text's end; a text of less
+than 512 bytes is its own chunk. A ratio above the band is repetitive text, one below is incompressible.
 
 Defined cases: a null or blank text has no words, fails the base and goes. Repeated rows are judged each; other columns are ignored;
 an empty table gives an empty result. Texts of any length are judged whole; the memory of a step is that of its longest text.
@@ -24,8 +24,8 @@ from foldspark.llm.shared import batch_spans, lean, mix64, random_u64, span_hash
 #: (bytes from, least ratio, greatest ratio) of whole texts: short ones compress little, long ones more. From 512 bytes on the least lies above base64 and random letters and digits
 #: (up to 1.29 below 1 KiB, 1.37 beyond) and below prose (1.41 below 1 KiB, 1.63 beyond).
 BANDS = ((0, 0.4, 2.6), (128, 0.8, 2.6), (256, 1.1, 3.0), (512, 1.32, 3.2), (1024, 1.5, 3.4), (2048, 1.5, 3.6), (4096, 1.5, 4.0), (16384, 1.5, 4.5))
-CHUNK_BYTES = 4096
-CHUNK_BAND = (1.5, 4.0)
+#: (bytes of the text from, bytes of a chunk, least ratio, greatest ratio): prose is not below 1.38 in 512 bytes, base64 and random letters and digits not above 1.29.
+CHUNKS = ((512, 512, 1.32, 3.0), (4096, 4096, 1.5, 4.0))
 CHUNK_SHARE = 0.5
 LEVEL = 3
 MIN_WORDS = 20
@@ -86,14 +86,15 @@ class Bands:
         if not data:
             return None, 0, 0, False
         ratio = len(data) / len(self.compressor.compress(data))
-        starts = list(range(0, len(data) - CHUNK_BYTES + 1, CHUNK_BYTES))
-        if starts and len(data) % CHUNK_BYTES:
-            starts.append(len(data) - CHUNK_BYTES)
+        lo, hi = band(len(data))
+        size, least, most = next((x[1:] for x in reversed(CHUNKS) if len(data) >= x[0]), (len(data), lo, hi))
+        starts = list(range(0, len(data) - size + 1, size))
+        if len(data) % size:
+            starts.append(len(data) - size)
         chunks, bad = len(starts), 0
         for i in starts:
-            r = CHUNK_BYTES / len(self.compressor.compress(data[i : i + CHUNK_BYTES]))
-            bad += not CHUNK_BAND[0] <= r <= CHUNK_BAND[1]
-        lo, hi = band(len(data))
+            r = size / len(self.compressor.compress(data[i : i + size]))
+            bad += not least <= r <= most
         return ratio, chunks, bad, lo <= ratio <= hi and bad <= CHUNK_SHARE * chunks
 
 
