@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on; a longer text is a step of its own.
 STEP_BYTES = 1 << 19
@@ -79,6 +80,24 @@ class Scratch:
             pass
 
 
+#: Keys over which the rows of a hot key are dealt in a join.
+SALTS = 64
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, spread: list[str]) -> DataFrame:
+    """``left`` with the columns of ``right`` (one row a ``key``), a left join. ``counts`` (key, n): rows of ``left`` by key.
+
+    At most a thousand keys can have more than a thousandth of all rows: their names are held on the driver, their rows dealt over ``SALTS`` keys by the columns ``spread``, and their
+    rows of ``right`` repeated as often.
+    """
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = [r[0] for r in counts.where(F.col("n") > max(1000.0, total / 1000)).select(key).collect()]
+    is_hot = F.col(key).isin(hot) if hot else F.lit(False)
+    left = left.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(*spread), F.lit(SALTS))).otherwise(F.lit(0)))
+    right = right.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return left.join(right, [key, "_salt"], "left").drop("_salt")
+
+
 def _trim() -> None:
     """Give freed memory back to the system: a worker lives on after its task."""
     pa.default_memory_pool().release_unused()

@@ -10,7 +10,7 @@ whose distrust is at least ``floor`` of one wholly blocked host's weight (distru
 ``ratio`` times its trust; any other is allowed. Links within a host are no edges.
 
 Only DataFrame functions: pages are scanned once for rules and once for links, and meet only per-host aggregates. Rank vectors are as long as the host list, written to the
-shared folder every few rounds. Hosts join to pages by an equi-join; a host with more than a thousandth of all urls is split over ``SALTS`` keys.
+shared folder every few rounds. Hosts join to pages by an equi-join; a host with more than a thousandth of all urls is dealt over several keys.
 
 Defined cases: a url that is null or has no ``://`` has empty host and path; no rule fits it and it is allowed (the empty host has no edges and is no seed). Only the first ``://`` counts: where
 ``?`` or ``#`` follows the host the path is empty, whatever comes behind. A null html has no links. A rule given twice with both verdicts blocks. Repeated rows are judged each; other columns are ignored; an empty table gives an empty result.
@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldspark.llm.shared import Scratch
+from foldspark.llm.shared import Scratch, hot_join
 
 DAMPING = 0.85
 ROUNDS = 12
@@ -35,8 +35,6 @@ FLOOR = 1e-4
 RATIO = 1.0
 #: A host with more than this share of its urls allowed (or blocked) by rules is a seed.
 SEED_SHARE = 0.5
-#: Keys of a host with more than a thousandth of all urls.
-SALTS = 64
 #: Rules up to this number become one expression; more are joined by host suffix.
 INLINE_RULES = 64
 
@@ -112,16 +110,6 @@ def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, *, damping:
     return rank
 
 
-def _with_scores(judged: DataFrame, scores: DataFrame, hosts: DataFrame) -> DataFrame:
-    """``judged`` with its hosts' scores. At most a thousand hosts can hold more than a thousandth of all rows: their rows are dealt over ``SALTS`` keys."""
-    total = hosts.agg(F.sum("n")).first()[0] or 0
-    hot = [r[0] for r in hosts.where(F.col("n") > max(1000.0, total / 1000)).select("host").collect()]
-    is_hot = F.col("host").isin(hot) if hot else F.lit(False)
-    left = judged.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS))).otherwise(F.lit(0)))
-    right = scores.withColumn("salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-    return left.join(right, ["host", "salt"], "left").drop("salt")
-
-
 def filter_urls(
     pages: DataFrame,
     rules: Sequence[tuple[str, str, str]],
@@ -148,7 +136,7 @@ def filter_urls(
         seeds = scratch.table(seeds.select("host", (F.col("w") / F.lit(totals[name])).alias("weight")), "seeds")
         ranks.append(propagate(graph, seeds, scratch, damping=damping, rounds=rounds).withColumnRenamed("rank", name))
     scores = scratch.table(reduce(lambda x, y: x.join(y, "host", "full"), ranks).na.fill(0.0, ["trust", "distrust"]), "scores")
-    out = _with_scores(judged, scores, hosts).na.fill(0.0, ["trust", "distrust"])
+    out = hot_join(judged, scores, "host", hosts, ["page_id", "path"]).na.fill(0.0, ["trust", "distrust"])
     bad = (F.col("distrust") * F.lit(totals["distrust"]) >= floor) & (F.col("distrust") > ratio * F.col("trust"))
     verdict = F.coalesce("said", F.when(bad, F.lit("block")).otherwise(F.lit("allow")))
     scratch.keep(scores)

@@ -4,16 +4,18 @@
 inflating all before it. ``normalise`` inflates each such file once, as a stream, rewrites every record as a gzip member of its own and writes a sidecar
 index of (offset, length) by record. ``read_archives`` reads records by that index.
 
-Of pages with equal payloads of at least ``min_bytes``, the one with the largest page_id is a response and the others revisit it. Which is which comes from an
-aggregate with map-side combine and a join of the repeated digests only, so a payload that a third of all pages share meets in no task.
+Of pages with equal payloads of at least ``min_bytes``, the one with the largest page_id is a response and the others revisit it. Which is which is decided on rows of
+(page_id, url, digest): an aggregate with map-side combine by digest, and a join that deals a digest with more than a thousandth of all pages over several keys. Payloads are
+shuffled once, by page and not by digest, so one that a third of all pages share meets in no task; equal rows are merged before that shuffle. Revisits carry no payload from there on.
 
 Every task writes files under names of its own attempt and returns those names; the rows, not the folder's listing, say which files count. So a lost or
 repeated task leaves at most unused files.
 
 Defined cases: a null html is an empty payload; a null url is an empty target; pages with a null page_id are written too, revisit the response of their
 payload, and are all responses where no page with an id has it. Repeated rows are records of their own: of equal payloads with the same largest page_id
-those with the greatest url are responses. Other columns are ignored. An empty table gives no archives and an empty result. A payload of any
-length is one record; the memory of a task is a few times its largest page.
+the one with the greatest url is the response, of rows equal in all three one, and the others revisit it. Other columns are ignored. An empty table gives no archives and an empty
+result. A payload of any length is one record; the memory of a task is a few times its largest page. A stream is inflated in steps of bounded size, whatever its ratio; one that
+ends early, within a record or between two, is an error.
 """
 
 from __future__ import annotations
@@ -30,10 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldspark.llm import files
-from foldspark.llm.shared import Scratch, lean
+from foldspark.llm.shared import Scratch, hot_join, lean
 
 _DATE = "2000-01-01T00:00:00Z"
 _READ = 1 << 20
+#: Revisits of equal rows that one task makes at once.
+COPIES = 10_000
 _RECORD = (
     "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, "
     "archive string, record_offset bigint, record_length bigint"
@@ -50,9 +54,11 @@ def record_id(page_id: int | None) -> str:
     return f"<urn:page:{'' if page_id is None else page_id}>"
 
 
-def record(page_id: int | None, url: str, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
-    """One WARC/1.1 record. A revisit keeps the HTTP head, whose Content-Length is that of the payload it leaves out."""
-    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def record(page_id: int | None, url: str, payload: bytes | None, *, size: int | None = None, own: str | None = None, refers_to: int | None = None) -> bytes:
+    """One WARC/1.1 record. Without a payload it is a revisit: it keeps the HTTP head, whose Content-Length is that (``size``) of the payload with digest ``own``."""
+    revisit = payload is None
+    size, own = (size, own) if revisit else (len(payload), digest(payload))
+    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = head if revisit else head + payload
     lines = [
         "WARC/1.1",
@@ -61,7 +67,7 @@ def record(page_id: int | None, url: str, payload: bytes, refers_to: int | None,
         f"WARC-Date: {_DATE}",
         f"WARC-Target-URI: {json.dumps(url)[1:-1]}",
         "Content-Type: application/http; msgtype=response",
-        f"WARC-Payload-Digest: sha1:{digest(payload)}",
+        f"WARC-Payload-Digest: sha1:{own}",
     ]
     if revisit:
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to)}"]
@@ -123,30 +129,49 @@ def split_records(stream: Iterator[bytes]) -> Iterator[bytes]:
 
 
 def inflate(f) -> Iterator[bytes]:
-    """The inflated bytes of a gzip file of one or more members, read by read."""
-    unzip = zlib.decompressobj(31)
+    """The inflated bytes of a gzip file of one or more members, at most ``_READ`` at a time. Raises where the last member is cut off."""
+    unzip, begun = zlib.decompressobj(31), False
     while chunk := f.read(_READ):
         while chunk:
-            yield unzip.decompress(chunk)
-            chunk = b""
+            begun = True
+            part = unzip.decompress(chunk, _READ)
+            if part:
+                yield part
+            chunk = unzip.unconsumed_tail
             if unzip.eof:
-                chunk = unzip.unused_data
-                unzip = zlib.decompressobj(31)
+                chunk, unzip, begun = unzip.unused_data, zlib.decompressobj(31), False
+    while begun and (part := unzip.decompress(unzip.unconsumed_tail, _READ)):
+        yield part
+    if begun and not unzip.eof:
+        raise ValueError("the gzip stream is cut off")
 
 
-def plan_records(pages: DataFrame, *, min_bytes: int = 0) -> DataFrame:
-    """``pages`` (page_id, url, html) with revisit (boolean) and refers_to: all decided by digests before anything is written."""
+def plan_records(pages: DataFrame, scratch: Scratch, *, min_bytes: int = 0) -> DataFrame:
+    """The records of ``pages`` (page_id, url, html): page_id, url, html (null for a revisit), size, sha (of the payload) and refers_to; all decided by digests before anything is written."""
     rows = pages.select(
         F.col("page_id").cast("bigint").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")
     )
-    rows = rows.withColumn("sha", F.sha1(F.encode("html", "UTF-8")))
-    last = F.max(F.struct("page_id", "url")).alias("last")
-    # most digests occur once: only those that more than one row has are joined back
-    again = rows.where(F.octet_length("html") >= min_bytes).groupBy("sha").agg(F.count("*").alias("n"), last).where("n > 1 and last.page_id is not null")
-    again = again.select("sha", F.col("last.page_id").alias("most"), F.col("last.url").alias("most_url"))
-    rows = rows.join(again, "sha", "left")
-    revisit = F.col("most").isNotNull() & ~(F.col("page_id").eqNullSafe(F.col("most")) & (F.col("url") == F.col("most_url")))
-    return rows.select("page_id", "url", "html", revisit.alias("revisit"), F.when(revisit, F.col("most")).alias("refers_to"))
+    rows = rows.withColumns({"sha": F.sha1(F.encode("html", "UTF-8")), "size": F.octet_length("html").cast("bigint")})
+    key = ["page_id", "url", "sha"]
+    own = scratch.table(rows.groupBy(*key, "size").agg(F.count("*").alias("k")), "keys")
+    # digests that more than one row has
+    again = own.where(F.col("size") >= min_bytes).groupBy("sha").agg(F.sum("k").alias("n"), F.max(F.struct("page_id", "url")).alias("last")).where("n > 1 and last.page_id is not null")
+    again = scratch.table(again.select("sha", "n", F.col("last.page_id").alias("most"), F.col("last.url").alias("most_url")), "again")
+    found = hot_join(own, again.drop("n"), "sha", again.select("sha", "n"), ["page_id", "url"]).where("most is not null")
+    winner = F.col("page_id").eqNullSafe(F.col("most")) & (F.col("url") == F.col("most_url"))
+    found = scratch.table(found.select(*key, "size", "k", "most", winner.alias("winner")), "repeated")
+    # one row of equal ones, by the key of the join that follows
+    first = rows.groupBy(*key, "size").agg(F.first("html").alias("html"), F.count("*").alias("k"))
+    names = [F.col(c).alias("_" + c) for c in key]
+    first = first.join(found.select(*names, "most", "winner"), [F.col(c).eqNullSafe(F.col("_" + c)) for c in key], "left")
+    revisit = F.col("most").isNotNull() & ~F.col("winner")
+    copies = F.when(F.col("most").isNull(), F.col("k")).otherwise(F.lit(1).cast("bigint"))
+    first = first.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), copies)))
+    first = first.select("page_id", "url", F.when(~revisit, F.col("html")).alias("html"), "size", "sha", F.when(revisit, F.col("most")).alias("refers_to"))
+    # the other copies of equal rows revisit too: made from the keys alone, in blocks of bounded size
+    more = found.where("k > 1").withColumn("block", F.explode(F.expr(f"sequence(0L, (k - 2) div {COPIES})"))).repartition("page_id", "url", "sha", "block")
+    more = more.withColumn("copy", F.explode(F.expr(f"sequence(1L, least({COPIES}L, k - 1 - {COPIES}L * block))")))
+    return first.unionByName(more.select("page_id", "url", F.lit(None).cast("string").alias("html"), "size", "sha", F.col("most").alias("refers_to")))
 
 
 def _write(folder: str):
@@ -160,9 +185,10 @@ def _write(folder: str):
 
             def put(batch: pa.RecordBatch) -> None:
                 nonlocal n
-                for page_id, url, html, revisit, refers_to in zip(*(c for c in batch.columns), strict=True):
-                    payload = html.as_py().encode()
-                    out.write(zip_.compress(record(page_id.as_py(), url.as_py(), payload, refers_to.as_py(), revisit.as_py())))
+                for page_id, url, html, size, sha, refers_to in zip(*(c for c in batch.columns), strict=True):
+                    payload = html.as_py().encode() if html.is_valid else None
+                    own = base64.b32encode(bytes.fromhex(sha.as_py())).decode()
+                    out.write(zip_.compress(record(page_id.as_py(), url.as_py(), payload, size=size.as_py(), own=own, refers_to=refers_to.as_py())))
                     n += 1
 
             put(first)
@@ -241,11 +267,11 @@ def archive_round_trip(pages: DataFrame, *, min_bytes: int = 0) -> DataFrame:
     """Write ``pages`` to monolithic archives, normalise these, and read every record back."""
     spark = pages.sparkSession
     scratch = Scratch(spark, "warc")
-    raw = scratch.table(write_archives(plan_records(pages, min_bytes=min_bytes), scratch.path("raw")), "written")
+    raw = scratch.table(write_archives(plan_records(pages, scratch, min_bytes=min_bytes), scratch.path("raw")), "written")
     n = raw.count()
     # one archive a task: names are spread evenly, whatever the file sizes of the table that lists them
     spread = lambda df: df.select("archive").repartitionByRange(max(1, n), "archive")
-    done = scratch.table(normalise(spread(raw), scratch.path("members")), "normalised")
-    for path in {r["archive"].rsplit("/", 1)[0] for r in raw.limit(1).collect()}:
-        scratch.drop(path)
+    members = scratch.path("members")
+    done = scratch.table(normalise(spread(raw), members), "normalised")
+    scratch.keep(done, members)
     return read_archives(spread(done))
