@@ -147,16 +147,15 @@ def op10_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP10_SQL = """
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
-    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS place
   FROM conversations),
 c AS (SELECT conv_id, count(*) AS n_turns, list({'r': role, 't': text} ORDER BY place) AS l FROM t GROUP BY 1),
 u AS (SELECT min(conv_id) AS conv_id, any_value(n_turns) AS n_turns, l FROM c GROUP BY l),
 p AS (SELECT DISTINCT l[:k] AS l FROM (SELECT l, unnest(range(1, n_turns)) AS k FROM u)),
-m AS (SELECT * FROM u WHERE l NOT IN (SELECT l FROM p)),
-q AS (SELECT t.conv_id, t.place, t.role, t.text, coalesce(floor(t.turn / 256), -1e12) AS block, m.n_turns FROM t JOIN m ON t.conv_id IS NOT DISTINCT FROM m.conv_id),
-b AS (SELECT conv_id, block, any_value(n_turns) AS n_turns,
-  string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY place) AS text FROM q GROUP BY 1, 2)
-SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY block) - 1 AS part, n_turns, text FROM b
+m AS (SELECT * FROM u WHERE l NOT IN (SELECT l FROM p))
+SELECT t.conv_id, (place - 1) // 256 AS part, any_value(m.n_turns) AS n_turns,
+  string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY place) AS text
+FROM t JOIN m ON t.conv_id IS NOT DISTINCT FROM m.conv_id GROUP BY 1, 2
 """
 
 

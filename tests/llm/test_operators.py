@@ -920,3 +920,44 @@ def test_snapshots(spark):
     assert "".join(t for _, _, t in got[7]) == line("", "first") + line("user", "hi")
     assert "".join(t for _, _, t in got[9]) == "".join(line("u", t) for t in range(700))
     assert chat.render(df.limit(0)).count() == 0
+
+
+def chat_brute(rows):
+    """{(conv, part): (turns, text)} by sorting, comparing and cutting lists."""
+    talks = {}
+    for c, t, r, x in rows:
+        talks.setdefault(c, []).append((t is not None, t or 0, r or "", hashlib.md5((x or "").encode()).hexdigest(), x or ""))
+    seqs = {c: [(r, x) for _, _, r, _, x in sorted(v)] for c, v in talks.items()}
+    best = {}
+    for c, s in seqs.items():
+        best.setdefault(tuple(s), []).append(c)
+    heads = {s[:k] for s in best for k in range(1, len(s))}
+    out = {}
+    for s, owners in best.items():
+        if s not in heads:
+            c = min([x for x in owners if x is not None], default=None)
+            for k in range(0, len(s), 256):
+                out[c, k // 256] = len(s), "".join(f"<|im_start|>{r}\n{x}<|im_end|>\n" for r, x in s[k : k + 256])
+    return out
+
+
+def test_snapshots_brute(spark, sf):
+    """Ties of turn and role, many null turns, rows alike in all columns, a conversation with most rows: against lists, and the SQL on the same rows."""
+    import duckdb
+
+    from foldspark.llm import queries
+
+    r = random.Random(9)
+    rows = [(c, t, "u", f"m{t}") for c in range(30) for t in range(c % 7)]
+    rows += [(40, None, "u", x) for x in "debac" * 2] + [(41, 0, None, x) for x in "debac"] + [(42, None, None, None)] * 600 + [(43, 3, "bot", "same")] * 2000
+    rows += [(44, r.randrange(900), r.choice("ab"), str(r.randrange(5))) for _ in range(1500)] + [(None, 1, "u", "x"), (None, None, "u", "y")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(6)
+    want = chat_brute(rows)
+    got = {(x["conv_id"], x["part"]): (x["n_turns"], x["text"]) for x in chat.render(df).collect()}
+    assert got == want
+    con = duckdb.connect()
+    con.register("conversations", df.toArrow())
+    assert {(c, p): (n, t) for c, p, n, t in con.sql(f"SELECT conv_id, part, n_turns, text FROM ({queries.OP10_SQL})").fetchall()} == want
+    table = spark.read.parquet(f"{sf}/conversations.parquet")
+    own = [(x["conv_id"], x["turn"], x["role"], x["text"]) for x in table.collect()]
+    assert {(x["conv_id"], x["part"]): (x["n_turns"], x["text"]) for x in chat.render(table).collect()} == chat_brute(own)
