@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldspark.llm.shared import Scratch
+from foldspark.llm.shared import Scratch, hot_join
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step over (a, b) with a > b: neighbours move to the least neighbour. Both sides come from aggregates with map-side combine."""
+def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
+    """One star step over ``total`` edges (a, b) with a > b: neighbours move to the least neighbour, which comes from an aggregate with map-side combine. A hub's edges are dealt over several keys."""
     if large:
         near = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         near = edges.select("a", "b")
-    least = near.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-    out = near.join(least, "a").where("b > a" if large else "b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = near.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("a", "m"))
+    out = hot_join(near, least.drop("n"), ["a"], least.select("a", "n"), ["b"], total).where("b > a" if large else "b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     if not large:
         out = out.unionByName(least.where("a > m").select("a", F.col("m").alias("b")))
     return out.where("a > b").distinct()
@@ -38,7 +38,9 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
                 now.select(F.col("b").alias("id"), F.col("b").alias("comp")).distinct()
             )
         before = seen
-        nxt = scratch.table(_star(_star(now, True), False), "cc")
+        half = scratch.table(_star(now, True, 2 * seen[0]), "cc")
+        nxt = scratch.table(_star(half, False, half.count()), "cc")
+        scratch.drop(half)
         scratch.drop(now)
         now = nxt
     raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -6,11 +6,13 @@ densification). Runs of ``rows`` bins form ``bands`` bucket keys. Texts with equ
 only candidate edges are those of a star, from one centre to the members, so m members cost m - 1 pairs. Stars alone would lose
 links between members that are both unlike the centre. So where the members of a bucket are in more than one component after the
 stars, the overlapping buckets' members are one family, and its members outside the family's largest component are held against
-the whole family: set by set through an inverted index, in blocks of bounded size, returning edges between components only. Links
-are confirmed on the full sets in both parts; none between members of a bucket is lost for the components.
+the whole family, in blocks of bounded size: two sets that reach the threshold share one of their rarest shingles (those beyond the threshold's share of the set), so an inverted index
+of these gives the candidates, and pairs of components already joined in the block are passed over; a block returns a forest of links between components. Links
+are confirmed on the full sets in both parts; none between members of a bucket is lost for the components. Joins by bucket, component and
+set deal a key with more than a thousandth of all rows over several keys.
 
-Defined cases: null or blank texts have n_shingles 0, are linked with nothing and stay. Rows of one doc_id are one node. A row
-with a null doc_id takes part with its text; its component is that of the texts equal to or linked with it, null if none of these has an id.
+Defined cases: null or blank texts have n_shingles 0, are linked with nothing and stay. Nodes are sets, not ids: rows of one doc_id with unlike texts are judged apart, and a
+row with a null doc_id takes part with its text; its component is that of the texts equal to or linked with it, null if none of these has an id.
 Columns other than the two named ones are ignored, whatever their names. An empty table gives an empty result.
 """
 
@@ -21,12 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldspark.llm.components import components
-from foldspark.llm.shared import Scratch, batch_words, lean, mix64, random_u64, steps
+from foldspark.llm.shared import Scratch, batch_words, hot_join, lean, mix64, random_u64, steps
 
 #: Chance that a pair exactly at the threshold shares no bucket.
 MISS = 1e-7
@@ -122,9 +123,12 @@ def _sketch(k: int, bands: int, rows: int):
                 keys = band_keys(signatures(sets, begin, bands * rows), bands, rows)
                 keys = pa.LargeListArray.from_arrays(np.arange(len(n) + 1) * bands, keys.ravel())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(n.astype(np.int64)), *map(pa.array, sums), keys.cast(pa.list_(pa.int64()))],
-                    ["doc_id", "n_shingles", "fp1", "fp2", "bands"],
-                )
+                    [
+                        batch.column(0).slice(a, b - a), pa.array(n.astype(np.int64)), *map(pa.array, sums), keys.cast(pa.list_(pa.int64())),
+                        *(batch.column(c).slice(a, b - a) for c in (2, 3)),
+                    ],
+                    ["doc_id", "n_shingles", "fp1", "fp2", "bands", "d1", "d2"],
+                )
 
     return run
 
@@ -142,27 +146,44 @@ def _sets(k: int):
 
 def _across(percent: int):
     def run(table: pa.Table) -> pa.Table:
-        """Edges between components: the rows with ``asks`` against the others (columns comp, s)."""
-        edges: set[tuple[int, int]] = set()
-        asks = table.column("asks")
-        left, right = table.filter(asks), table.filter(pc.invert(asks))
-        if left.num_rows and right.num_rows:
-            sets = right.column("s").combine_chunks()
-            length = np.diff(np.asarray(sets.offsets))
-            owner = np.repeat(np.arange(len(length)), length)
-            values = np.asarray(sets.flatten())
-            order = np.argsort(values, kind="stable")
-            values, owner = values[order], owner[order]
-            comp = np.asarray(right.column("comp"))
-            for c, s in zip(left.column("comp").to_pylist(), left.column("s"), strict=True):
-                s = np.asarray(s.values)
-                lo, hi = np.searchsorted(values, s, "left"), np.searchsorted(values, s, "right")
-                n = hi - lo
-                at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-                inter = np.bincount(owner[at], minlength=len(length))
-                hit = 100 * inter >= percent * (length + len(s) - inter)
-                edges.update((max(c, d), min(c, d)) for d in np.unique(comp[hit]).tolist() if d != c)
-        a, b = zip(*sorted(edges), strict=True) if edges else ((), ())
+        """A forest of links between components: the rows with ``asks`` against the others (columns comp, s)."""
+        asks = np.asarray(table.column("asks"))
+        sets = [np.asarray(x.values) for x in table.column("s")]
+        comp = np.asarray(table.column("comp"))
+        root = {c: c for c in set(comp.tolist())}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        edges = []
+        if asks.any() and not asks.all():
+            # the rarest shingles of every set come first; equally rare ones in the order of their hashes
+            values, which, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+            rank = np.empty(len(values), np.int64)
+            rank[np.lexsort((values, often))] = np.arange(len(values))
+            ends = np.cumsum([0, *map(len, sets)])
+            ordered = [np.sort(rank[which[a:b]]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            head = [x[: len(x) - -(-percent * len(x) // 100) + 1] for x in ordered]
+            right = np.flatnonzero(~asks)
+            key = np.concatenate([head[i] for i in right])
+            owner = np.repeat(right, [len(head[i]) for i in right])
+            order = np.argsort(key, kind="stable")
+            key, owner = key[order], owner[order]
+            for i in np.flatnonzero(asks).tolist():
+                lo, hi = np.searchsorted(key, head[i], "left"), np.searchsorted(key, head[i], "right")
+                near = {j for a, b in zip(lo.tolist(), hi.tolist(), strict=True) for j in owner[a:b].tolist()} if (hi > lo).any() else ()
+                mine = ordered[i]
+                for j in near:
+                    x, y, n = find(int(comp[i])), find(int(comp[j])), len(ordered[j])
+                    if x == y or 100 * min(n, len(mine)) < percent * max(n, len(mine)):
+                        continue
+                    inter = len(np.intersect1d(mine, ordered[j], assume_unique=True))
+                    if 100 * inter >= percent * (n + len(mine) - inter):
+                        root[max(x, y)] = min(x, y)
+                        edges.append((max(x, y), min(x, y)))
+        a, b = zip(*edges, strict=True) if edges else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
@@ -170,26 +191,34 @@ def _across(percent: int):
 
 def _rest(buckets: DataFrame, comps: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """``comps`` after the links that the stars could not see: those between components that share a bucket."""
-    live = buckets.select("bucket", "id", "n").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    open_ = live.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("id").alias("least")).where("x < y")
-    live = scratch.table(live.join(open_.select("bucket", "least"), "bucket"), "open")
-    families = components(live.select(F.col("id").alias("a"), F.col("least").alias("b")), scratch).withColumnRenamed("comp", "fam")
-    nodes = scratch.table(live.select("id", "n", "comp").distinct().join(families, "id"), "nodes")
-    scratch.drop(live)
-    if nodes.isEmpty():
+    live = buckets.select("bucket", "id", "n", "c").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    live = scratch.table(live, "live")
+    open_ = live.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("id").alias("least"), F.count("*").alias("k")).where("x < y")
+    open_ = scratch.table(open_.select("bucket", "least", "k"), "open")
+    if open_.isEmpty():
         return comps
+    spans = hot_join(live, open_.drop("k"), ["bucket"], live.groupBy("bucket").agg(F.count("*").alias("n")), ["id"]).where("least is not null")
+    spans = scratch.table(spans, "spans")
+    scratch.drop(live)
+    families = components(spans.select(F.col("id").alias("a"), F.col("least").alias("b")), scratch).withColumnRenamed("comp", "fam")
+    nodes = scratch.table(spans.select("id", "n", "comp").distinct().join(families, "id"), "nodes")
+    scratch.drop(spans)
     part = nodes.groupBy("fam", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
     fams = part.groupBy("fam").agg(
-        F.max(F.struct("c", "comp")).alias("most"), F.sum("n").alias("n"), F.max_by("n", F.struct("c", "comp")).alias("inside")
+        F.max(F.struct("c", "comp")).alias("most"), F.sum("n").alias("n"), F.max_by("n", F.struct("c", "comp")).alias("inside"), F.sum("c").alias("k")
     )
-    fams = fams.select(
-        "fam",
-        F.col("most.comp").alias("largest"),
-        F.expr(f"cast(n div {BLOCK} + 1 as int)").alias("nt"),
-        F.expr(f"cast((n - inside) div {BLOCK} + 1 as int)").alias("nq"),
+    fams = scratch.table(
+        fams.select(
+            "fam",
+            "k",
+            F.col("most.comp").alias("largest"),
+            F.expr(f"cast(n div {BLOCK} + 1 as int)").alias("nt"),
+            F.expr(f"cast((n - inside) div {BLOCK} + 1 as int)").alias("nq"),
+        ),
+        "fams",
     )
     # every block of the members outside the largest component meets every block of the family, once
-    full = nodes.join(fams, "fam").join(sets, "id")
+    full = hot_join(nodes, fams.drop("k"), ["fam"], fams.select("fam", F.col("k").alias("n")), ["id"]).join(sets, "id")
     left = full.where("comp <> largest").select(
         "fam", F.expr("pmod(xxhash64(id), nq)").alias("q"), F.explode(F.expr("sequence(0L, nt - 1L)")).alias("t"), "comp", "s", F.lit(True).alias("asks")
     )
@@ -204,41 +233,54 @@ def _rest(buckets: DataFrame, comps: DataFrame, sets: DataFrame, percent: int, s
     return scratch.table(moved.unionByName(lone), "comps")
 
 
-def near_duplicates(
-    docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``; links have 100 * intersection >= ``percent`` * union."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "minhash")
+_KEY = ["n_shingles", "fp1", "fp2"]
+
+
+def _digests(text: Column) -> list[Column]:
+    """128 bits of a text."""
+    return [F.xxhash64(F.lit(k), text).alias(f"d{k}") for k in (1, 2)]
+
+
+def _id_key(column: str) -> list[Column]:
+    """A doc_id as two columns that are never null, for plain equality."""
+    return [F.coalesce(F.col(column).cast("bigint"), F.lit(0).cast("bigint")).alias("key_id"), F.col(column).isNull().alias("null_id")]
+
+
+def _grouped(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, n_shingles, fp1, fp2, d1, d2, node, component_id) of every row: its set's node (null without words), and the least doc_id of the component."""
+    scratch = Scratch(docs.sparkSession, "minhash")
     bands, rows = banding(percent / 100)
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sig = scratch.table(
-        texts.mapInArrow(lean(_sketch(shingle, bands, rows)), "doc_id bigint, n_shingles bigint, fp1 bigint, fp2 bigint, bands array<bigint>"),
-        "sig",
-    )
-    key = ["n_shingles", "fp1", "fp2"]
-    # texts with equal sets are one node, named by their least doc_id
-    reps = sig.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"))
-    nodes = sig.join(reps.where("rep is not null").withColumnRenamed("rep", "doc_id"), [*key, "doc_id"], "left_semi")
-    rows_ = nodes.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("id"), F.col("n_shingles").cast("int").alias("n")).distinct()
+    schema = "doc_id bigint, n_shingles bigint, fp1 bigint, fp2 bigint, bands array<bigint>, d1 bigint, d2 bigint"
+    sig = scratch.table(texts.select("doc_id", "text", *_digests(F.col("text"))).mapInArrow(lean(_sketch(shingle, bands, rows)), schema), "sig")
+    # texts with equal sets are one node; nodes are numbered in the order of their least doc_ids, so that the least node of a component has its least doc_id
+    reps = sig.where("n_shingles > 0").groupBy(*_KEY).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    reps = scratch.table(reps.orderBy(F.asc_nulls_last("rep"), *_KEY).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    same = [F.col(c) == F.col("_" + c) for c in _KEY] + [F.col("doc_id").eqNullSafe(F.col("rep"))]
+    nodes = sig.join(reps.select("rep", "node", *[F.col(c).alias("_" + c) for c in _KEY]), same)
+    rows_ = nodes.select(F.explode("bands").alias("bucket"), F.col("node").alias("id"), F.col("n_shingles").cast("int").alias("n")).distinct()
     rows_ = scratch.table(rows_, "rows")
     # the centre is the member with the least hash of its id, alike in all buckets, so that most members have few centres
     many = (
         rows_.groupBy("bucket")
-        .agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("id"))).alias("least"))
+        .agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("id").alias("h"), "id", "n")).alias("least"))
         .where("c > 1")
-        .select("bucket", "c", F.col("least.id").alias("centre"))
+        .select("bucket", "c", F.col("least.id").alias("centre"), F.col("least.n").alias("m"))
     )
-    buckets = scratch.table(rows_.join(many, "bucket"), "buckets")
-    scratch.drop(rows_)
-    sizes = buckets.agg(F.max("c")).first()[0]
+    many = scratch.table(many, "many")
     comps = None
-    if sizes:
+    if not many.isEmpty():
+        buckets = hot_join(rows_, many, ["bucket"], many.select("bucket", F.col("c").alias("n")), ["id"], rows_.count()).where("centre is not null")
+        buckets = scratch.table(buckets, "buckets")
+        scratch.drop(rows_)
         ids = buckets.select("id").distinct()
-        sets = scratch.table(
-            texts.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi").mapInArrow(lean(_sets(shingle)), "id bigint, s array<bigint>"),
-            "sets",
-        )
+        # one text for each node: its rows have the same words
+        full = nodes.select("node", *_id_key("doc_id"), "d1", "d2").join(ids.withColumnRenamed("id", "node"), "node", "left_semi")
+        full = full.groupBy("node").agg(F.min(F.struct("null_id", "key_id", "d1", "d2")).alias("first")).select(F.col("node").alias("id"), "first.*")
+        by = ["key_id", "null_id", "d1", "d2"]
+        # equal rows are merged by the key of the join
+        own = texts.select(*_id_key("doc_id"), *_digests(F.col("text")), "text").join(full, by).groupBy(*by).agg(F.first("id").alias("id"), F.first("text").alias("text"))
+        sets = scratch.table(own.select("id", "text").mapInArrow(lean(_sets(shingle)), "id bigint, s array<bigint>"), "sets")
 
         def confirmed(pairs: DataFrame) -> DataFrame:
             both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(
@@ -249,27 +291,42 @@ def near_duplicates(
             return both.where(F.expr(f"100 * i >= {percent} * (n - i)")).select("a", "b").distinct()
 
         fits = f"100L * least(n, m) >= {percent}L * greatest(n, m)"
-        first = (
-            buckets.join(buckets.where("id = centre").select("bucket", F.col("n").alias("m")), "bucket")
-            .where(f"id <> centre and {fits}")
-            .select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
-            .distinct()
-        )
+        first = buckets.where(f"id <> centre and {fits}").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
         tested = scratch.table(first, "pairs")
         comps = scratch.table(components(confirmed(tested), scratch), "comps")
         scratch.drop(tested)
         comps = _rest(buckets.where("c > 2"), comps, sets, percent, scratch)
-        scratch.drop(sets)
-    out = sig.select("doc_id", *key).join(reps, key, "left").withColumn("node", F.coalesce("rep", "doc_id"))
-    if comps is not None:
-        out = out.join(comps.select(F.col("id").alias("node"), "comp"), "node", "left").withColumn("node", F.coalesce("comp", "node"))
-    return out.select(
-        "doc_id", "n_shingles", F.col("node").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("node")).alias("kept")
-    )
+        by = comps.groupBy("comp").agg(F.count("*").alias("n"))
+        comps = hot_join(comps, reps.select(F.col("node").alias("comp"), F.col("rep").alias("label")), ["comp"], by, ["id"])
+        labels = reps.join(comps.select(F.col("id").alias("node"), F.col("comp"), "label"), "node", "left")
+        labels = labels.select(*_KEY, F.coalesce("comp", "node").alias("node"), F.when(F.col("comp").isNull(), F.col("rep")).otherwise(F.col("label")).alias("component_id"))
+    else:
+        labels = reps.select(*_KEY, "node", F.col("rep").alias("component_id"))
+    labels = scratch.table(labels, "labels")
+    scratch.keep(sig, reps, labels)
+    copies = reps.select(*_KEY, F.col("copies").alias("n"))
+    out = hot_join(sig.drop("bands"), labels, _KEY, copies, ["doc_id", "d1", "d2"], sig.count())
+    return out.withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
+
+
+def near_duplicates(
+    docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``; links have 100 * intersection >= ``percent`` * union."""
+    rows = _grouped(docs, shingle, percent, id_col, text_col)
+    return rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` (all columns) with one document of each group: that with the smallest doc_id, once. Rows without a doc_id pass."""
-    kept = near_duplicates(docs, shingle=shingle, percent=percent).where("kept and doc_id is not null").select("doc_id")
-    # the join leaves rows dealt and sorted by doc_id, so that dropping repeated rows costs no further shuffle
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """``docs`` (all columns) with one row of each group: that with the smallest doc_id, null ids last, and of unlike texts under it that with the least digest. Rows without words all stay."""
+    rows = _grouped(docs, shingle, percent, "doc_id", "text").where("n_shingles > 0")
+    first = rows.select("node", *_id_key("doc_id"), "d1", "d2").groupBy("node").agg(F.min(F.struct("null_id", "key_id", "d1", "d2")).alias("first"))
+    text, names = F.col("text").cast("string"), docs.columns
+    keys = [c.alias(f"__{i}") for i, c in enumerate([*_id_key("doc_id"), *_digests(text)])]
+    by = [f"__{i}" for i in range(4)]
+    first = first.select(*[F.col(f"first.{c}").alias(k) for c, k in zip(("key_id", "null_id", "d1", "d2"), by, strict=True)])
+    # the characters between words, as the operator cuts them
+    blank = text.isNull() | ~text.rlike(r"[^\x20\x09-\x0D]")
+    # rows alike in id and text are one, merged by the key of the join
+    full = docs.where(~blank).select("*", *keys).join(first, by, "left_semi").dropDuplicates(by)
+    return full.select(*[f"`{c}`" for c in names]).unionByName(docs.where(blank))

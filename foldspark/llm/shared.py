@@ -84,18 +84,22 @@ class Scratch:
 SALTS = 64
 
 
-def hot_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, spread: list[str]) -> DataFrame:
-    """``left`` with the columns of ``right`` (one row a ``key``), a left join. ``counts`` (key, n): rows of ``left`` by key.
+def hot_join(left: DataFrame, right: DataFrame, on: list[str], counts: DataFrame, spread: list[str], total: int | None = None) -> DataFrame:
+    """``left`` with the columns of ``right`` (one row for each ``on``), a left join. ``counts`` (on, n): rows of ``left`` by key, ``total`` their sum where it is known.
 
-    At most a thousand keys can have more than a thousandth of all rows: their names are held on the driver, their rows dealt over ``SALTS`` keys by the columns ``spread``, and their
+    At most a thousand keys can have more than a thousandth of all rows: their hashes are held on the driver, their rows dealt over ``SALTS`` keys by the columns ``spread``, and their
     rows of ``right`` repeated as often.
     """
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    hot = [r[0] for r in counts.where(F.col("n") > max(1000.0, total / 1000)).select(key).collect()]
-    is_hot = F.col(key).isin(hot) if hot else F.lit(False)
+    if total is None:
+        total = counts.agg(F.sum("n")).first()[0] or 0
+    least = max(1000.0, total / 1000)
+    hot = [r[0] for r in counts.where(F.col("n") > least).select(F.xxhash64(*on)).collect()] if total > least else []
+    if not hot:
+        return left.join(right, on, "left")
+    is_hot = F.xxhash64(*on).isin(hot)
     left = left.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(*spread), F.lit(SALTS))).otherwise(F.lit(0)))
     right = right.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-    return left.join(right, [key, "_salt"], "left").drop("_salt")
+    return left.join(right, [*on, "_salt"], "left").drop("_salt")
 
 
 def _trim() -> None:

@@ -136,7 +136,7 @@ def filter_urls(
         seeds = scratch.table(seeds.select("host", (F.col("w") / F.lit(totals[name])).alias("weight")), "seeds")
         ranks.append(propagate(graph, seeds, scratch, damping=damping, rounds=rounds).withColumnRenamed("rank", name))
     scores = scratch.table(reduce(lambda x, y: x.join(y, "host", "full"), ranks).na.fill(0.0, ["trust", "distrust"]), "scores")
-    out = hot_join(judged, scores, "host", hosts, ["page_id", "path"]).na.fill(0.0, ["trust", "distrust"])
+    out = hot_join(judged, scores, ["host"], hosts, ["page_id", "path"]).na.fill(0.0, ["trust", "distrust"])
     bad = (F.col("distrust") * F.lit(totals["distrust"]) >= floor) & (F.col("distrust") > ratio * F.col("trust"))
     verdict = F.coalesce("said", F.when(bad, F.lit("block")).otherwise(F.lit("allow")))
     scratch.keep(scores)

@@ -157,7 +157,7 @@ def plan_records(pages: DataFrame, scratch: Scratch, *, min_bytes: int = 0) -> D
     # digests that more than one row has
     again = own.where(F.col("size") >= min_bytes).groupBy("sha").agg(F.sum("k").alias("n"), F.max(F.struct("page_id", "url")).alias("last")).where("n > 1 and last.page_id is not null")
     again = scratch.table(again.select("sha", "n", F.col("last.page_id").alias("most"), F.col("last.url").alias("most_url")), "again")
-    found = hot_join(own, again.drop("n"), "sha", again.select("sha", "n"), ["page_id", "url"]).where("most is not null")
+    found = hot_join(own, again.drop("n"), ["sha"], again.select("sha", "n"), ["page_id", "url"]).where("most is not null")
     winner = F.col("page_id").eqNullSafe(F.col("most")) & (F.col("url") == F.col("most_url"))
     found = scratch.table(found.select(*key, "size", "k", "most", winner.alias("winner")), "repeated")
     # one row of equal ones, by the key of the join that follows

@@ -1,4 +1,4 @@
-"""The queries with SQL against DuckDB, the contracts' columns, and the pipeline against its own stages."""
+"""The queries with SQL against DuckDB, and the contracts' columns."""
 
 import math
 from collections import Counter
@@ -46,18 +46,3 @@ def test_names_and_columns(spark, sf):
         key = name.split("_")[0]
         if key in COLUMNS and key != "op4":
             assert set(COLUMNS[key].split()) <= set(f(spark, sf).columns)
-
-
-def test_pipeline(spark, sf):
-    import corpus_pipeline as cp
-
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    got = cp.run(spark, sf).collect()
-    left, kept = docs, []
-    for _, stage in cp.STAGES[:-1]:
-        nxt = stage(spark, left, sf)
-        assert nxt.columns == docs.columns
-        ids = {r["doc_id"] for r in nxt.select("doc_id").collect()}
-        kept.append(len(ids))
-        left = docs.where(docs.doc_id.isin(list(ids)))
-    assert {r["doc_id"] for r in got} == ids and kept == sorted(kept, reverse=True) and kept[-1] > 0.5 * docs.count()

@@ -10,10 +10,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
-import zstandard
 
 pytest.importorskip("foldspark.llm")
 import public_tokenizers as P  # noqa: E402
+from llm_brute import bands_brute, check_pieces, components_brute, rules_brute  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
@@ -60,29 +60,6 @@ def texts_of(df):
 
 # near-duplicates
 
-def components_brute(texts, k, percent):
-    lower = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
-    sets = {}
-    for d, t in texts.items():
-        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(lower))
-        sets[d] = {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
-    parent = {d: d for d in sets}
-
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    ids = sorted(sets)
-    for i, a in enumerate(ids):
-        for b in ids[i + 1 :]:
-            n = len(sets[a] & sets[b])
-            if n and 100 * n >= percent * len(sets[a] | sets[b]):
-                x, y = root(a), root(b)
-                parent[max(x, y)] = min(x, y)
-    return {d: root(d) for d in ids}, {d: len(s) for d, s in sets.items()}
-
-
 @pytest.mark.parametrize("k,percent", [(3, 85), (5, 80)])
 def test_minhash_brute(docs, k, percent):
     got = minhash.near_duplicates(docs, shingle=k, percent=percent).collect()
@@ -105,6 +82,91 @@ def test_minhash_family(spark):
     assert got == components_brute(dict(rows), 3, 85)[0]
 
 
+def rows_brute(rows, k, percent):
+    """[(doc_id, n, component, set)] of every row: rows are nodes, a component has the least doc_id of its rows."""
+    comp, size = components_brute(dict(enumerate(t for _, t in rows)), k, percent)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[comp[i]] = min(d, least.get(comp[i], d))
+    return [(d, size[i], least.get(comp[i]) if size[i] else d, comp[i]) for i, (d, _) in enumerate(rows)]
+
+
+def test_minhash_rows_not_ids(spark):
+    """Unlike texts under one doc_id, texts of rows without an id, near copies among them, equal rows and rows without words."""
+    r = random.Random(12)
+    base = [prose(20 + i, 80) for i in range(6)]
+
+    def near(t):
+        w = t.split()
+        w[r.randrange(len(w))] = f"n{r.randrange(10**6)}"
+        return " ".join(w)
+
+    rows = [(1, base[0]), (1, base[1]), (1, base[1]), (2, near(base[1])), (None, base[2]), (None, near(base[2])), (None, base[3]), (9, near(base[3])), (8, base[3])]
+    rows += [(5, base[4]), (5, base[4]), (None, base[4]), (7, ""), (7, ""), (7, None), (None, " "), (3, base[5]), (None, near(base[0])), (6, base[5].upper())]
+    df = frame(spark, rows, "doc_id bigint, text string")
+    want = rows_brute(rows, 5, 80)
+    got = Counter(tuple(x) for x in minhash.near_duplicates(df, shingle=5, percent=80).collect())
+    assert got == Counter((d, n, c, d == c) for d, n, c, _ in want)
+    left = minhash.drop_near_duplicates(df, shingle=5, percent=80)
+    assert left.columns == df.columns
+    kept = Counter((x["doc_id"], x["text"]) for x in left.collect())
+    # one row of each component with words, with its least id; all rows without words
+    groups = {}
+    for (d, t), (_, n, c, node) in zip(rows, want):
+        if n:
+            groups.setdefault(node, []).append((d, t, c))
+    assert sum(kept.values()) == len(groups) + 4 and all(kept[d, t] == n for (d, t), n in Counter(x for x in rows if not (x[1] or "").strip()).items())
+    for members in groups.values():
+        hits = [(d, t) for d, t, c in members if kept[d, t]]
+        assert len(set(hits)) == 1 and kept[hits[0]] == 1 and hits[0][0] == members[0][2]
+
+
+def test_minhash_hot_bucket(spark):
+    """A family with most of all rows: its buckets, its component and its hub are dealt over several keys."""
+    r, base = random.Random(14), prose(30, 120).split()
+    rows = [(i, prose(1000 + i, 60)) for i in range(400)]
+    for i in range(400, 2600):
+        w = list(base)
+        w[r.randrange(len(w))] = f"v{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(i, " ".join(base)) for i in range(2600, 4000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)
+    got = minhash.near_duplicates(df, shingle=5, percent=80).collect()
+    assert len(got) == 4000 and {x["doc_id"] for x in got if x["kept"]} == set(range(401)) and {x["component_id"] for x in got if x["doc_id"] >= 400} == {400}
+
+
+def test_across_brute():
+    """Blocks of a family: a forest that joins just what all pairs at the threshold join."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(3)
+    for seed in range(30):
+        base = [np.unique(r.integers(-(2**60), 2**60, 40)) for _ in range(4)]
+        sets = []
+        for i in range(40):
+            s = base[i % 4].copy()
+            s[r.integers(0, len(s), r.integers(0, 6))] = r.integers(-(2**60), 2**60)
+            sets.append(np.unique(s))
+        comp = r.integers(0, 15, 40) * 10
+        asks = r.random(40) < 0.5
+        t = pa.table({"comp": comp, "s": pa.array([x.tolist() for x in sets], pa.list_(pa.int64())), "asks": asks})
+        edges = list(zip(*(c.to_pylist() for c in minhash._across(85)(t).columns)))
+        want = {(int(comp[i]), int(comp[j])) for i in range(40) for j in range(40) if asks[i] and not asks[j] and 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))}
+
+        def parts(pairs):
+            root = {int(c): int(c) for c in comp}
+            for _ in range(40):
+                for a, b in pairs:
+                    m = min(root[a], root[b])
+                    for c in root:
+                        if root[c] in (root[a], root[b]):
+                            root[c] = m
+            return root
+
+        assert parts(edges) == parts(want) and len(edges) < 15
+
+
 def test_minhash_parts():
     bands, rows = minhash.banding(0.85)
     assert bands * rows <= minhash.MOST_BINS and (1 - 0.85**rows) ** bands <= minhash.MISS
@@ -145,31 +207,6 @@ def test_pack_histogram():
     assert packing.pack_histogram({}, 64) == []
 
 
-def check_pieces(rows, texts, size=2048):
-    t = Tokenizer.from_file(BPE)
-    by = {}
-    for r in rows:
-        by.setdefault(r["doc_id"], []).append(r)
-    assert set(by) == set(texts)
-    for d, pieces in by.items():
-        ids = np.array([*t.encode(texts[d] or "", add_special_tokens=False).ids, 1], "<u4")
-        at = 0
-        for p in sorted(pieces, key=lambda p: p["start"]):
-            assert p["start"] == at and p["doc_tokens"] == len(ids) and p["ids_crc32"] == zlib.crc32(ids[at : at + p["length"]].tobytes())
-            at += p["length"]
-        assert at == len(ids)
-    seqs = {}
-    for r in rows:
-        seqs.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
-    for parts in seqs.values():
-        at = 0
-        for o, n in sorted(parts):
-            assert o == at
-            at += n
-        assert at <= size
-    return seqs
-
-
 def test_packing_round_trip(docs):
     rows = packing.pack(docs, tokenizer=BPE).collect()
     seqs = check_pieces(rows, texts_of(docs))
@@ -206,36 +243,6 @@ def test_packing_odd(odd):
 
 # rules
 
-def bands_brute(data):
-    """The bands from their table: the whole text, and chunks of which the last ends with the text."""
-    pack = lambda x: len(x) / len(zstandard.ZstdCompressor(level=3).compress(x))
-    if not data:
-        return False
-    limits = {0: (0.4, 2.6), 128: (0.8, 2.6), 256: (1.1, 3.0), 512: (1.32, 3.2), 1024: (1.5, 3.4), 2048: (1.5, 3.6), 4096: (1.5, 4.0), 16384: (1.5, 4.5)}
-    lo, hi = limits[max(k for k in limits if k <= len(data))]
-    if not lo <= pack(data) <= hi:
-        return False
-    if len(data) < 512:
-        return True
-    size, lo, hi = (4096, 1.5, 4.0) if len(data) >= 4096 else (512, 1.32, 3.0)
-    ends = sorted({*range(size, len(data) + 1, size), len(data)})
-    return sum(not lo <= pack(data[e - size : e]) <= hi for e in ends) * 2 <= len(ends)
-
-
-def rules_brute(text):
-    text = text or ""
-    w = re.findall(r"[^\x20\x09-\x0D]+", text)
-    grams = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
-    cover = {j for i in range(len(w) - 7) if grams[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
-    seen, dup = set(), 0
-    for line in text.split("\n"):
-        if re.search(r"[^\x20\x09-\x0D]", line):
-            dup += line in seen
-            seen.add(line)
-    failed = len(w) < 20 or 100 * len(cover) > 30 * len(w)
-    return (len(w), sum(map(len, w)), sum(text.count(c) for c in "#*$%&|<>"), dup, len(cover), failed, bands_brute(text.encode()) and not failed)
-
-
 @pytest.mark.parametrize("which", ["docs", "odd"])
 def test_rules_brute(request, which):
     df = request.getfixturevalue(which)
