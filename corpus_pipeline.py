@@ -61,7 +61,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each one's rows are written as Parquet and read again."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        done = stage(spark, docs, sf_dir)
-        docs = done if k == len(STAGES) - 1 else scratch.table(done, name.replace(" ", "-"))
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = scratch.table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        scratch.keep(docs)
+    return STAGES[-1][1](spark, docs, sf_dir)
