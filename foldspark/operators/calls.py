@@ -145,17 +145,16 @@ def align_sets(target: DataFrame, query: DataFrame, res: int) -> DataFrame:
         there, back = hi.align(t, q)
         rows = []
         as_list = lambda ds: [{"start": s, "end": e, "level": v} for s, e, v in ds]
-        put = lambda kind, level, k, m: rows.append((chrom, kind, level, *k[0], *k[1], as_list(m.target), as_list(m.query), None, None))
-        for k, m in there.items():
+        put = lambda kind, level, k, m: rows.append((chrom, kind, level, *k[0], *k[1], as_list(m.targets), as_list(m.queries), None, None))
+        for k, m in there.outer.items():
             put("pair", None, k, m)
-            for level, pairs in sorted(m.nested.items()):
-                for p in sorted(pairs):
-                    put("pair", level, p, pairs[p])
+        for (_, level, k), m in sorted(there.inner.items(), key=lambda x: x[0]):
+            put("pair", level, k, m)
         for kind, keys in (("conserved", hi.conserved(there, back, t, q)), ("inner_changed", hi.inner_changed(there, back, t, q)), ("merged", hi.merged(there))):
             for k in sorted(keys):
-                put(kind, None, k, there[k])
+                put(kind, None, k, there.outer[k])
         for k, m in sorted(hi.merged(back).items()):
-            put("split", None, k[::-1], hi.Match(m.query, m.target))
+            put("split", None, k[::-1], m.flipped())
         if t.domains:
             rows += [(chrom, c, None, None, None, None, None, [], [], p, x) for c, p, x in hi.boundary_classes(there, t, q)]
         out = pd.DataFrame(rows, columns=_PAIR_COLUMNS)

@@ -105,7 +105,7 @@ def dbscan(points: np.ndarray, eps: float, min_points: int) -> tuple[np.ndarray,
 
 
 @dataclass
-class Core:
+class DomainMap:
     """A domain's matrix: rescaled, without gaps, with its smoothed decay; then its significant cells and their clusters."""
 
     matrix: np.ndarray
@@ -125,7 +125,7 @@ class Core:
         self.first = int(np.argmax(means > 0)) if (means > 0).any() else 0
         self.decay = smooth_decay(np.arange(self.first, len(self.m)), means[self.first :])
 
-    def longrange(self, pw: int = 2, ww: int = 5, top: float = 0.7, ratio: float = 0.05) -> np.ndarray:
+    def significant_cells(self, pw: int = 2, ww: int = 5, top: float = 0.7, ratio: float = 0.05) -> np.ndarray:
         """Cells that exceed their donut background most: of the ``top`` share by blurred signal the ``ratio`` share (of all) by p-value."""
         n = len(self.m)
         start = max(ww, self.first)
@@ -159,7 +159,7 @@ class Core:
         box = np.ptp(self.points, axis=0).astype(float).prod()
         return math.sqrt(box * min_points / (m * math.pi)), min_points
 
-    def DBSCAN(self) -> None:
+    def cluster(self) -> None:
         """Clusters of the points; lone ones are dropped."""
         self.labels, self.clusters = np.full(len(self.points), -1), []
         if len(self.points) < 5:
@@ -180,16 +180,16 @@ class Core:
                 {"size": len(own), "radius": float((near / (k - 1)).mean()), "density": float(((k - 1) / near).mean()), "area": 0.0 if flat_ else area(hull(own)), "collinear": flat_}
             )
 
-    def gdensity(self) -> float:
+    def mean_density(self) -> float:
         """Densities weighted by the clusters' shares of clustered points; 0 without clusters."""
         total = sum(c["size"] for c in self.clusters)
         return sum(c["density"] * c["size"] / total for c in self.clusters) if total else 0.0
 
-    def totalCover(self) -> float:
+    def cover(self) -> float:
         """Hull areas by tested cells."""
         return sum(c["area"] for c in self.clusters) / self.cells if self.cells else 0.0
 
-    def convertMatrix(self, m: np.ndarray) -> np.ndarray:
+    def restored(self, m: np.ndarray) -> np.ndarray:
         """A gap-free matrix back at its bins."""
         n = max(self.index.values(), default=-1) - self.left + 1
         out = np.zeros((n, n))
@@ -205,8 +205,8 @@ def domain_feature(matrix: np.ndarray, *, pw: int = 2, ww: int = 5, top: float =
     gaps = 1 - kept / len(m) if len(m) else 1.0
     out = {"ap": -1.0, "gap_ratio": gaps, "cover": 0.0, "n_points": 0, "n_clusters": 0}
     if gaps < gap and kept > 2 * ww + 1:
-        core = Core(m)
-        core.longrange(pw, ww, top, ratio)
-        core.DBSCAN()
-        out |= {"ap": core.gdensity(), "cover": core.totalCover(), "n_points": len(core.points), "n_clusters": len(core.clusters)}
+        own = DomainMap(m)
+        own.significant_cells(pw, ww, top, ratio)
+        own.cluster()
+        out |= {"ap": own.mean_density(), "cover": own.cover(), "n_points": len(own.points), "n_clusters": len(own.clusters)}
     return out

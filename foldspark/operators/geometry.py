@@ -71,24 +71,21 @@ def signed_distance(ring: np.ndarray, queries: np.ndarray, zero: float = 1e-12)
     return out
 
 
-class Polygon:
-    """The convex hull of points."""
+class HullShape:
+    """The convex hull of points: its vertices, area, and signed distances to its outline."""
 
     def __init__(self, points: Sequence[Sequence[float]]):
-        self.points = np.asarray(points, float)
-        self.anchors = hull(self.points)
-        self.area: float | None = None
+        self.vertices = hull(np.asarray(points, float))
 
-    def calarea(self) -> float:
-        self.area = area(self.anchors)
-        return self.area
+    @property
+    def area(self) -> float:
+        return area(self.vertices)
 
-    def close(self) -> None:
-        self.anchors = close_ring(self.anchors)
+    def ring(self) -> np.ndarray:
+        return close_ring(self.vertices)
 
-    def isinside(self, query, zerolike: float = 1e-12):
-        got = signed_distance(self.anchors, query, zerolike)
-        return float(got[0]) if isinstance(query, tuple) else got
+    def distances(self, queries: Sequence[Sequence[float]], zero: float = 1e-12) -> np.ndarray:
+        return signed_distance(self.vertices, np.asarray(queries, float), zero)
 
 
 def polygon_areas(rings: DataFrame, points: str = "points") -> DataFrame:

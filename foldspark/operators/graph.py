@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder of the session (or of our own where none is set)."""
+    """A reliable checkpoint in the session's shared folder; on a local master in one of our own where none is set."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="foldspark-"))
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not (context.master + "[").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="foldspark-"))
     return df.checkpoint()
 
 

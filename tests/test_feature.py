@@ -12,14 +12,28 @@ def symmetric(n, seed=0, mean=3.0):
     return m + np.triu(m, 1).T
 
 
-def test_geometry_goldens():
-    square = np.array([(0, 0), (0, 1), (1, 1), (1, 0)], float)
-    assert g.signed_area2(square) == -2.0 and g.signed_area2(square[::-1]) == 2.0
-    assert g.collinear(np.array([(2, 0.4), (2, 0.8), (2, 4), (2, 100)])) and g.collinear(np.array([(2, 4), (2, 8), (2, 40), (2, 1000)])) and not g.collinear(square)
-    p = g.Polygon([(0, 0), (4, 0), (4, 4), (0, 4), (2, 2), (2, 0)])
-    assert len(p.anchors) == 4 and p.calarea() == 16 and p.isinside((2, 1)) == 1.0 and p.isinside((4, 2)) == 0 and p.isinside((7, 8)) == -5.0
-    p.close()
-    assert len(p.anchors) == 5
+def test_geometry():
+    kite = np.array([(0, 0), (3, -2), (7, 0), (3, 5)], float)
+    assert g.signed_area2(kite) == 49.0 and g.signed_area2(kite[::-1]) == -49.0
+    steep = np.array([(1, 1), (2, 4), (5, 13), (11, 31)], float)
+    assert g.collinear(steep) and g.collinear(steep[::-1] * (0, 1) + (6, 0)) and not g.collinear(kite)
+    shape = g.HullShape([*kite.tolist(), (3, 0), (2, 1), (5, 0), (3, -2)])
+    assert sorted(map(tuple, shape.vertices)) == sorted(map(tuple, kite)) and shape.area == 24.5
+    # inside, on an edge, beyond a corner, on a corner; the corner (7, 0) is 5 away from (11, 3)
+    got = shape.distances([(3, 0), (1.5, -1), (11, 3), (3, 5)])
+    assert got[0] > 0 and got[1] == 0 and got[2] == pytest.approx(-5.0) and got[3] == 0
+    assert len(shape.ring()) == 5 and (shape.ring()[0] == shape.ring()[-1]).all()
+
+
+def test_signed_distance_brute():
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        shape = g.HullShape(rng.normal(size=(12, 2)))
+        ring, q = shape.ring(), rng.normal(size=(30, 2)) * 1.5
+        edge = np.concatenate([a + np.linspace(0, 1, 4001)[:, None] * (b - a) for a, b in zip(ring, ring[1:])])
+        far = np.sqrt(((q[:, None] - edge[None]) ** 2).sum(axis=2)).min(axis=1)
+        inside = [all((b[0] - a[0]) * (y - a[1]) - (b[1] - a[1]) * (x - a[0]) >= 0 for a, b in zip(ring, ring[1:])) for x, y in q]
+        assert np.allclose(shape.distances(q), np.where(inside, far, -far), atol=2e-3)
 
 
 def test_small_functions():
@@ -32,7 +46,7 @@ def test_small_functions():
     x = np.linspace(0, 3, 9)
     at = np.linspace(0, 3, 31)
     assert np.allclose(f.cubic_through(x, x**3 - 2 * x, at), at**3 - 2 * at)
-    c = f.Core(symmetric(20))
+    c = f.DomainMap(symmetric(20))
     c.points = np.column_stack((np.arange(50) % 11, np.arange(50) % 21))
     assert c.parameters() == (pytest.approx(1.954410, abs=1e-6), 3)
 
@@ -55,8 +69,8 @@ def test_planted_spot():
     m[8:12, 28:32] += 60
     m[28:32, 8:12] += 60
     out = f.domain_feature(m)
-    core = f.Core(m)
-    core.longrange()
+    core = f.DomainMap(m)
+    core.significant_cells()
     assert out["ap"] > 0 and out["n_clusters"] >= 1
     assert ((abs(core.points[:, 0] - 10) <= 3) & (abs(core.points[:, 1] - 30) <= 3)).sum() >= 8
 
@@ -73,8 +87,8 @@ def test_rejected():
 def test_restore():
     m = symmetric(20)
     m[5] = m[:, 5] = 0
-    c = f.Core(m)
-    assert c.convertMatrix(c.m).shape == (20, 20) and not c.convertMatrix(c.m)[5].any()
+    c = f.DomainMap(m)
+    assert c.restored(c.m).shape == (20, 20) and not c.restored(c.m)[5].any()
 
 
 def test_dbscan_brute():
