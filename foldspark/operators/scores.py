@@ -29,14 +29,16 @@ def domain_contrast(pixels: DataFrame, domains: DataFrame) -> DataFrame:
 
 
 def runs(domains: DataFrame, longest_bins: int, noisy: float = 0.2) -> DataFrame:
-    """All runs of consecutive bottom domains (region, start_bin, end_bin, noise) as domains: single ones, and those no longer than ``longest_bins`` with quiet ends."""
+    """All runs of consecutive bottom domains (region, start_bin, end_bin, noise) as domains: single ones, and those no longer than ``longest_bins`` with quiet ends.
+
+    A run's last domain begins in the bucket of ``longest_bins`` positions of the first one's start or in the next.
+    """
     rows = domains.select(*KEY, "region", "start_bin", "end_bin", "noise")
-    far = rows.select(*KEY, "region", F.col("start_bin").alias("s2"), F.col("end_bin").alias("e2"), F.col("noise").alias("noise2"))
-    pairs = rows.join(far, [*KEY, "region"]).where(
-        (F.col("s2") == F.col("start_bin"))
-        | ((F.col("s2") > F.col("start_bin")) & (F.col("noise") <= noisy) & (F.col("noise2") <= noisy) & (F.col("e2") - F.col("start_bin") <= longest_bins))
-    )
-    return pairs.select(*KEY, "region", "start_bin", F.col("e2").alias("end_bin")).distinct()
+    quiet = rows.where(F.col("noise") <= noisy).withColumn("bucket", F.floor(F.col("start_bin") / max(1, longest_bins)))
+    far = quiet.select(*KEY, "region", "bucket", F.col("start_bin").alias("s2"), F.col("end_bin").alias("e2"))
+    near = quiet.withColumn("bucket", F.explode(F.array("bucket", F.col("bucket") + 1)))
+    pairs = near.join(far, [*KEY, "region", "bucket"]).where((F.col("s2") > F.col("start_bin")) & (F.col("e2") - F.col("start_bin") <= longest_bins))
+    return rows.select(*KEY, "region", "start_bin", "end_bin").unionByName(pairs.select(*KEY, "region", "start_bin", F.col("e2").alias("end_bin"))).distinct()
 
 
 def run_scores(pixels: DataFrame, domains: DataFrame, longest_bins: int) -> DataFrame:
@@ -75,26 +77,39 @@ def subdomain_scores(pixels: DataFrame, outer: DataFrame, keys: DataFrame) -> Da
 
 
 def donut(cells: DataFrame, sources: DataFrame, pw: int = 2, ww: int = 5) -> DataFrame:
-    """``cells`` (i, j) with seen and hoped: sums of ``sources`` (i, j, o, e) over the square around each without the inner one and the middle row and column."""
-    side = [k for k in range(-ww, ww + 1) if k]
-    offsets = [(a, b) for a in side for b in side if abs(a) > pw or abs(b) > pw]
-    table = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in offsets])
-    sent = sources.select(*KEY, "i", "j", "o", "e", F.explode(table).alias("t")).select(*KEY, (F.col("i") - F.col("t.a")).alias("i"), (F.col("j") - F.col("t.b")).alias("j"), "o", "e")
-    sums = sent.groupBy(*KEY, "i", "j").agg(F.sum("o").alias("seen"), F.sum("e").alias("hoped"))
-    return cells.join(sums, [*KEY, "i", "j"], "left").na.fill(0.0, ["seen", "hoped"])
+    """``cells`` (i, j) with seen and hoped: sums of ``sources`` (i, j, o, e) over the square around each without the inner one and the middle row and column.
+
+    Every source goes to the 2 ``ww`` columns around it; sums over the rows are windows over each column.
+    """
+    side = F.array(*[F.lit(k) for k in range(-ww, ww + 1) if k])
+    sent = sources.select(*KEY, "i", F.col("j").alias("c"), "o", "e", F.explode(side).alias("b"))
+    wide = lambda x: F.sum(x)
+    ring = lambda x: F.sum(F.when(F.abs("b") > pw, F.col(x)).otherwise(0.0))
+    sums = sent.groupBy(*KEY, "i", (F.col("c") - F.col("b")).alias("j")).agg(wide("o").alias("wo"), wide("e").alias("we"), ring("o").alias("ro"), ring("e").alias("re"), F.lit(0).alias("asked"))
+    asked = cells.select(*KEY, "i", "j", *[F.lit(0.0).alias(c) for c in ("wo", "we", "ro", "re")], F.lit(1).alias("asked")).distinct()
+    # one row a cell, whether sent, asked for or both
+    rows = sums.unionByName(asked).groupBy(*KEY, "i", "j").agg(*[F.sum(c).alias(c) for c in ("wo", "we", "ro", "re")], F.max("asked").alias("asked"))
+    by = Window.partitionBy(*KEY, "j").orderBy("i")
+    frames = {"w": [by.rangeBetween(-ww, -pw - 1), by.rangeBetween(pw + 1, ww)], "r": [by.rangeBetween(-pw, -1), by.rangeBetween(1, pw)]}
+    total = lambda x: sum((F.coalesce(F.sum(k + x).over(f), F.lit(0.0)) for k, fs in frames.items() for f in fs), F.lit(0.0))
+    got = rows.withColumns({"seen": total("o"), "hoped": total("e")}).where("asked = 1").select(*KEY, "i", "j", "seen", "hoped")
+    return cells.join(got, [*KEY, "i", "j"])
 
 
 def blurred(cells: DataFrame, pixels: DataFrame, sizes: DataFrame, pw: int = 2) -> DataFrame:
     """``cells`` (i, j) with blur: sum of the upper triangle over the square around each, by the number of its cells whose bins both have a value in their column."""
-    side = list(range(-pw, pw + 1))
-    table = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in side for b in side])
-    sent = pixels.select(*KEY, "bin1", "bin2", "v", F.explode(table).alias("t")).select(*KEY, (F.col("bin1") - F.col("t.a")).alias("i"), (F.col("bin2") - F.col("t.b")).alias("j"), "v")
-    sums = sent.groupBy(*KEY, "i", "j").agg(F.sum("v").alias("s"))
+    side = F.array(*[F.lit(k) for k in range(-pw, pw + 1)])
+    sent = pixels.select(*KEY, F.col("bin1").alias("i"), F.col("bin2").alias("c"), "v", F.explode(side).alias("b"))
+    sums = sent.groupBy(*KEY, "i", (F.col("c") - F.col("b")).alias("j")).agg(F.sum("v").alias("s"), F.lit(0).alias("asked"))
+    asked = cells.select(*KEY, "i", "j", F.lit(0.0).alias("s"), F.lit(1).alias("asked")).distinct()
+    rows = sums.unionByName(asked).groupBy(*KEY, "i", "j").agg(F.sum("s").alias("s"), F.max("asked").alias("asked"))
+    square = F.sum("s").over(Window.partitionBy(*KEY, "j").orderBy("i").rangeBetween(-pw, pw))
+    sums = rows.withColumn("s", square).where("asked = 1").select(*KEY, "i", "j", "s")
     # the count is a product: full columns near i times full columns near j
     full = pixels.select(*KEY, F.col("bin2").alias("bin")).distinct()
     near = full.select(*KEY, F.explode(F.sequence(F.col("bin") - pw, F.col("bin") + pw)).alias("at")).groupBy(*KEY, "at").agg(F.count("*").alias("n"))
     near = near.join(sizes.select(*KEY, F.col("n").alias("n_bins")), KEY).where("at >= 0 and at < n_bins").select(*KEY, "at", "n")
-    out = cells.join(sums, [*KEY, "i", "j"], "left")
+    out = cells.join(sums, [*KEY, "i", "j"])
     for c in ("i", "j"):
         out = out.join(near.select(*KEY, F.col("at").alias(c), F.col("n").alias("n" + c)), [*KEY, c], "left")
     count = F.coalesce(F.col("ni") * F.col("nj"), F.lit(0))
@@ -119,14 +134,19 @@ def cluster_parameters(points: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def core_points(points: DataFrame, params: DataFrame, keys: list[str]) -> DataFrame:
-    """``points`` (id, x, y) with near (points within eps, itself included) and core; eps is at least the root of two. Neighbours meet on a grid of eps cells."""
-    p = points.join(params.select(*keys, "min_points", F.greatest("eps", F.lit(2.0**0.5)).alias("r")), keys)
-    p = p.withColumns({"gx": F.floor(F.col("x") / F.col("r")), "gy": F.floor(F.col("y") / F.col("r"))})
+    """``points`` (id, x, y) with near (points within eps, itself included) and core; eps is at least the root of two.
+
+    Points of one position are counted first; positions meet their neighbours on a grid of eps cells.
+    """
+    at = points.groupBy(*keys, "x", "y").agg(F.count("*").alias("w"))
+    at = at.join(params.select(*keys, "min_points", F.greatest("eps", F.lit(2.0**0.5)).alias("r")), keys)
+    at = at.withColumns({"gx": F.floor(F.col("x") / F.col("r")), "gy": F.floor(F.col("y") / F.col("r"))})
     shift = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    other = p.select(*keys, F.col("x").alias("x2"), F.col("y").alias("y2"), "gx", "gy")
-    mine = p.select("*", F.explode(shift).alias("t")).withColumns({"gx": F.col("gx") + F.col("t.a"), "gy": F.col("gy") + F.col("t.b")})
+    other = at.select(*keys, F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("w").alias("w2"), "gx", "gy")
+    mine = at.select(*keys, "x", "y", "min_points", "r", "gx", "gy", F.explode(shift).alias("t")).withColumns({"gx": F.col("gx") + F.col("t.a"), "gy": F.col("gy") + F.col("t.b")})
     close = mine.join(other, [*keys, "gx", "gy"]).where("(x - x2) * (x - x2) + (y - y2) * (y - y2) <= r * r")
-    return close.groupBy(*keys, "id", "x", "y", "min_points").agg(F.count("*").alias("near")).select(*keys, "id", "x", "y", "near", (F.col("near") >= F.col("min_points")).alias("core"))
+    near = close.groupBy(*keys, "x", "y", "min_points").agg(F.sum("w2").alias("near"))
+    return points.select(*keys, "id", "x", "y").join(near, [*keys, "x", "y"]).select(*keys, "id", "x", "y", "near", (F.col("near") >= F.col("min_points")).alias("core"))
 
 
 def drop_lone_clusters(points: DataFrame, keys: list[str]) -> DataFrame:

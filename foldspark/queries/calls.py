@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldspark.operators import calls, intervals, matrix, tracks
+from foldspark.operators import calls, matrix, tracks
 from foldspark.plans.pipeline import Genome, training_data
 from foldspark.queries import query, views
 from foldspark.queries.views import B, BINS, DEFAULT, RES
@@ -69,43 +69,35 @@ def consensus_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Genome(px, b, RES).call_hierarchy()
 
 
-_BLOCKS = f"WITH {B}, bt AS (SELECT chrom, bin AS s, bin + 10 AS e FROM bins WHERE bin % 10 = 0 AND bin < 50), sc AS (SELECT a.chrom, a.s, b.e, ((a.s * 7 + b.e * 3) % 11 - 4) / 10.0 AS x FROM bt a JOIN bt b ON a.chrom = b.chrom AND b.s >= a.s)"
-# all 16 partitions of five blocks of ten bins: the value of a partition is the sum of bins times score over its runs
-_PARTITIONS = f"""{_BLOCKS}, cut AS (SELECT unnest(range(0, 16)) AS m), pt AS (SELECT m, list_filter([0, 10, 20, 30, 40, 50], lambda p: p = 0 OR p = 50 OR (m >> CAST(p / 10 - 1 AS INT)) & 1 = 1) AS c FROM cut),
-rn AS (SELECT m, unnest(c[:-2]) AS s, unnest(c[2:]) AS e FROM pt), vl AS (SELECT sc.chrom, m, sum((rn.e - rn.s) * x) AS v FROM rn JOIN sc ON sc.s = rn.s AND sc.e = rn.e GROUP BY ALL)
-SELECT chrom, round(CAST(max(v) AS DOUBLE), 6) AS best FROM vl GROUP BY chrom"""
+# the greatest value of a partition of the first k blocks of ten bins, for k = 0, 1, ...: bins times score of the last run, and the best before it
+_PARTITIONS = f"""WITH RECURSIVE {B}, r AS (SELECT 0 AS k, [CAST(0 AS DOUBLE)] AS v UNION ALL
+SELECT k + 1, list_append(v, list_max(list_transform(range(0, k + 1), lambda j: v[j + 1] + (k + 1 - j) * 10 * ((j * 70 + (k + 1) * 30) % 11 - 4) / 10.0))) FROM r WHERE k < {BINS // 10})
+SELECT chrom, round(max(v[{BINS // 10} + 1]), 6) AS best FROM r, (SELECT DISTINCT chrom FROM bins) WHERE k = {BINS // 10} GROUP BY chrom"""
 
 
 @query(_PARTITIONS)
 def run_partition_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The greatest value of a partition into runs, on a fixed score table; SQL tries all partitions."""
-    d = views.planted_domains(spark, sf_dir, 10).where("start_bin < 50").select("dataset", "chrom", F.lit(0).cast("bigint").alias("region"), F.col("start_bin").alias("start"), F.col("end_bin").alias("end"))
+    """The greatest value of a partition into runs, on a fixed score table."""
+    d = views.planted_domains(spark, sf_dir, 10).select("dataset", "chrom", F.lit(0).cast("bigint").alias("region"), F.col("start_bin").alias("start"), F.col("end_bin").alias("end"))
     far = d.select("chrom", F.col("start").alias("s2"), F.col("end").alias("e2"))
     table = d.join(far, "chrom").where("s2 >= start").select("dataset", "chrom", "region", "start", F.col("e2").alias("end"), (((F.col("start") * 7 + F.col("e2") * 3) % 11 - 4) / 10).alias("score"))
     runs = calls.segment_runs(d, table, 1).join(table, ["dataset", "chrom", "region", "start", "end"])
     return runs.groupBy("chrom").agg(F.round(F.sum((F.col("end") - F.col("start")) * F.col("score")), 6).alias("best"))
 
 
-def _hier(spark: SparkSession, sf_dir: str, nation: int) -> DataFrame:
-    """Hierarchies of resolution 1: the segments of a nation, and its pairs of neighbours as outer domains."""
-    d = views.segments(spark, sf_dir, nation).select("set_id", "chrom", "start", "end")
-    wide = d.withColumn("k", F.floor(F.col("start") / 120)).groupBy("set_id", "chrom", "k").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("k")
-    return intervals.nested_levels(d.unionByName(wide), bucket=100)
-
-
 @query()
 def aligned_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return calls.align_sets(_hier(spark, sf_dir, 0), _hier(spark, sf_dir, 1), 1)
+    return calls.align_sets(views.hierarchy(spark, sf_dir, 0), views.hierarchy(spark, sf_dir, 1), 1)
 
 
 @query()
 def inner_changed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return calls.align_sets(_hier(spark, sf_dir, 0), _hier(spark, sf_dir, 2), 1).where("kind = 'inner_changed'")
+    return calls.align_sets(views.hierarchy(spark, sf_dir, 0), views.hierarchy(spark, sf_dir, 2), 1).where("kind = 'inner_changed'")
 
 
 @query()
 def aligned_all_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sets = [_hier(spark, sf_dir, k) for k in (0, 1, 2)]
+    sets = [views.hierarchy(spark, sf_dir, k) for k in (0, 1, 2)]
     got = calls.align_all(sets[0].unionByName(sets[1]).unionByName(sets[2]), 1)
     return got.groupBy("tn", "qn", "kind").agg(F.count("*").alias("n"))
 

@@ -107,13 +107,11 @@ def best_overlap_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumn("ratio", F.round("ratio", 6))
 
 
-_EDGES = f"""{DA}, {DB}, ta AS (SELECT * FROM da WHERE e - s >= 5), tb AS (SELECT * FROM db WHERE e - s >= 5), {_BOUNDS.format(n='q', d='db')}, {_BOUNDS.format(n='t', d='da')},
-{_hits('h', 'ta', 'qb')}, {_hits('g', 'tb', 'tb_')},
+_EDGES = f"""{DA}, {DB}, ta AS (SELECT * FROM da WHERE e - s >= 5), tb AS (SELECT * FROM db WHERE e - s >= 5), {_BOUNDS.format(n='q', d='db')}, {_BOUNDS.format(n='own', d='da')},
+{_hits('h', 'ta', 'qb')}, {_hits('g', 'tb', 'ownb')},
 f1 AS (SELECT h.chrom, h.s AS ts, h.e AS te, b.s AS qs, b.e AS qe FROM h JOIN tb b ON b.chrom = h.chrom AND b.s >= hs AND b.e <= he),
 f2 AS (SELECT g.chrom, a.s AS ts, a.e AS te, g.s AS qs, g.e AS qe FROM g JOIN ta a ON a.chrom = g.chrom AND a.s >= hs AND a.e <= he),
-ed AS (SELECT * FROM f1 INTERSECT SELECT * FROM f2)""".replace("{tb_}", "tb_").replace("'tb_'", "'tb_'")
-# the boundaries of set A have a name of their own
-_EDGES = _EDGES.replace("tb AS (SELECT chrom, pos, row_number()", "tb_ AS (SELECT chrom, pos, row_number()")
+ed AS (SELECT * FROM f1 INTERSECT SELECT * FROM f2)"""
 
 
 @query(f"WITH {_EDGES} SELECT chrom, ts AS t_start, te AS t_end, qs AS q_start, qe AS q_end, round({_ov('ts', 'te', 'qs', 'qe')}, 6) AS ratio FROM ed")
@@ -157,22 +155,35 @@ def split_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.swap_pairs(intervals.pair_classes(_pairs(spark, sf_dir)[0]).where("class = 'split'").drop("class"))
 
 
+def _level_sql(name: str, segments: str) -> str:
+    """Boundaries with 0 where a block of segments (by 120 positions) begins or ends, else 1."""
+    wide = f"SELECT chrom, min(s) AS s, max(e) AS e FROM {segments} GROUP BY chrom, s // 120"
+    ends = lambda t, level: f"SELECT chrom, unnest([s, e]) AS pos, {level} AS level FROM ({t}) WHERE e - s >= 5"
+    return f"{name} AS (SELECT chrom, pos, min(level) AS level FROM ({ends(f'SELECT * FROM {segments}', 1)} UNION ALL {ends(wide, 0)}) GROUP BY 1, 2)"
+
+
 @query(f"""WITH RECURSIVE {_PAIRS}, en AS (SELECT chrom, ts AS pos, qs AS qp, ts, te FROM pa UNION ALL SELECT chrom, te, qe, ts, te FROM pa),
-kp AS (SELECT chrom, pos, qp FROM en QUALIFY row_number() OVER (PARTITION BY chrom, pos ORDER BY ts DESC, te DESC) = 1)
-SELECT chrom, 'conserved_tad' AS class, pos, qp AS q_pos FROM kp UNION ALL SELECT chrom, 'disappeared_tad', pos, NULL FROM tb_ WHERE NOT EXISTS (SELECT 1 FROM kp WHERE kp.chrom = tb_.chrom AND kp.pos = tb_.pos)""")
+kp AS (SELECT chrom, pos, qp FROM en QUALIFY row_number() OVER (PARTITION BY chrom, pos ORDER BY ts DESC, te DESC) = 1), {_level_sql('tl', 'da')}, {_level_sql('ql', 'db')}
+SELECT kp.chrom, CASE WHEN tl.level = 0 AND ql.level = 0 THEN 'conserved_tad' WHEN tl.level = 0 THEN 'tad_to_sub' WHEN ql.level = 0 THEN 'sub_to_tad' ELSE 'conserved_sub' END AS class, kp.pos, qp AS q_pos
+FROM kp JOIN tl ON tl.chrom = kp.chrom AND tl.pos = kp.pos JOIN ql ON ql.chrom = kp.chrom AND ql.pos = qp
+UNION ALL SELECT chrom, CASE WHEN level = 0 THEN 'disappeared_tad' ELSE 'disappeared_sub' END, pos, NULL FROM tl WHERE NOT EXISTS (SELECT 1 FROM kp WHERE kp.chrom = tl.chrom AND kp.pos = tl.pos)""")
 def boundary_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p, a, b = _pairs(spark, sf_dir)
-    return intervals.boundary_classes(p, a, b, 1)
+    """The six classes: regions of single-level segments, boundaries of hierarchies with blocks of segments around them."""
+    p = _pairs(spark, sf_dir)[0]
+    return intervals.boundary_classes(p, *(views.hierarchy(spark, sf_dir, k) for k in (0, 1)), 1)
 
 
-@query("""WITH RECURSIVE v AS (SELECT c_custkey AS id FROM customer), e AS (SELECT c_custkey AS a, c_custkey * 7 % 499 + 1 AS b FROM customer WHERE c_custkey % 3 = 0 AND c_custkey * 7 % 499 + 1 <= (SELECT max(c_custkey) FROM customer)),
+@query("""WITH RECURSIVE v AS (SELECT c_custkey AS id FROM customer),
+e AS (SELECT * FROM (SELECT c_custkey AS a, lead(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_acctbal, c_custkey) AS b FROM customer) WHERE b IS NOT NULL),
 l AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT id, id AS x FROM v UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.x)
 SELECT CAST(id AS BIGINT) AS id, CAST(min(x) AS BIGINT) AS comp FROM r GROUP BY id""")
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("bigint").alias("id"))
-    most = v.agg(F.max("id")).first()[0]
-    e = v.where("id % 3 = 0").select(F.col("id").alias("a"), (F.col("id") * 7 % 499 + 1).alias("b")).where(F.col("b") <= most)
-    return graph.connected_components(v, e)
+    """Customers of one nation and segment, each linked with the next by balance."""
+    e = spark.sql(
+        f"""SELECT CAST(c_custkey AS BIGINT) AS a, CAST(lead(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_acctbal, c_custkey) AS BIGINT) AS b
+        FROM parquet.`{sf_dir}/customer.parquet`"""
+    )
+    return graph.connected_components(e.select(F.col("a").alias("id")), e.where("b is not null"))
 
 
 @query(f"""WITH {DA}, dk AS (SELECT * FROM da WHERE s % 4 <> 0), bo AS (SELECT chrom, s AS pos FROM dk WHERE e - s >= 5 UNION SELECT chrom, e FROM dk WHERE e - s >= 5),
@@ -182,16 +193,19 @@ n AS (SELECT chrom, s, e FROM dk UNION SELECT chrom, s, e FROM g WHERE share < 0
 SELECT '0' AS set_id, x.chrom, x.s AS start, x.e AS "end", count(*) - 1 AS level FROM n x JOIN n y ON x.chrom = y.chrom AND y.s <= x.s AND x.e <= y.e GROUP BY x.chrom, x.s, x.e""")
 def hole_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = views.segments(spark, sf_dir, 0).where("start % 4 <> 0")
-    last = d.agg(F.max("end")).first()[0] or 0
-    pos = spark.range(last + 1).where("(id % 5 = 0 and id < 500) or id > 900").select(F.col("id").alias("pos"))
-    return intervals.fill_holes(d, d.select("chrom").distinct().join(pos), 1, bucket=100)
+    return intervals.fill_holes(d, _positions(d).where("(pos % 5 = 0 and pos < 500) or pos > 900"), 1, bucket=100)
+
+
+def _positions(domains: DataFrame) -> DataFrame:
+    """(chrom, pos): all positions up to the last end of each chromosome."""
+    return domains.groupBy("chrom").agg(F.max("end").alias("last")).select("chrom", F.explode(F.sequence(F.lit(0).cast("bigint"), "last")).alias("pos"))
 
 
-_PTS = "pts AS (SELECT user_id % 20 AS g, CAST(event_id AS BIGINT) AS id, CAST(event_id * 37 % 101 AS BIGINT) AS x, CAST(event_id * 53 % 97 AS BIGINT) AS y FROM events WHERE event_id % 7 = 0)"
+_PTS = "pts AS (SELECT user_id % 20 AS g, CAST(event_id AS BIGINT) AS id, CAST(event_id * 37 % 101 AS BIGINT) AS x, CAST(event_id * 53 % 97 AS BIGINT) AS y FROM events)"
 
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id % 7 = 0")
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
     return ev.select((F.col("user_id") % 20).alias("g"), F.col("event_id").cast("bigint").alias("id"), (F.col("event_id") * 37 % 101).cast("bigint").alias("x"), (F.col("event_id") * 53 % 97).cast("bigint").alias("y"))
 
 
@@ -284,10 +298,8 @@ def overlap_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gap_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of the gap bins of either of two replicates."""
     d = views.segments(spark, sf_dir, 0)
-    last = d.agg(F.max("end")).first()[0] or 0
-    reps = [spark.range(last + 1).where(f"id % {k} = 0").select(F.col("id").alias("pos")) for k in (3, 5)]
-    either = d.select("chrom").distinct().join(reps[0].union(reps[1]).distinct())
-    return intervals.gap_share(d, either, 1)
+    reps = [_positions(d).where(f"pos % {k} = 0") for k in (3, 5)]
+    return intervals.gap_share(d, reps[0].union(reps[1]).distinct(), 1)
 
 
 @query("""SELECT DISTINCT CAST(l_quantity AS DOUBLE) AS obs, CAST(l_linenumber % 4 AS DOUBLE) AS expected, CASE WHEN l_linenumber % 4 = 0 THEN 0.0 ELSE round(l_quantity / (l_linenumber % 4), 6) END AS fold FROM lineitem""")

@@ -80,18 +80,18 @@ def rescale_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix.rescale_factor(views.pixels(spark, sf_dir).withColumn("v", F.col("v") / 64))
 
 
-_SPARSE = "f AS (SELECT chrom, bin1, bin2, v FROM c2 WHERE bin1 % 3 = 0 AND bin2 % 3 = 0 AND bin1 < 60 AND bin2 < 60)"
+# a map with gaps: every third bin has no contacts
+_SPARSE = "f AS (SELECT chrom, bin1, bin2, v FROM c2 WHERE bin1 % 3 <> 1 AND bin2 % 3 <> 1)"
 
 
 def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.pixels(spark, sf_dir).where("bin1 % 3 = 0 and bin2 % 3 = 0 and bin1 < 60 and bin2 < 60")
+    return views.pixels(spark, sf_dir).where("bin1 % 3 <> 1 and bin2 % 3 <> 1")
 
 
 @query(f"""WITH {C2}, {_SPARSE}, t AS (SELECT chrom, bin1 AS b FROM f UNION SELECT chrom, bin2 FROM f)
-SELECT 'd' AS dataset, chrom, round(1 - count(*) / 60, 6) AS gap_ratio FROM t GROUP BY chrom""")
+SELECT 'd' AS dataset, chrom, round(1 - count(*) / {BINS}, 6) AS gap_ratio FROM t GROUP BY chrom""")
 def gap_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = views.sizes(spark, sf_dir).withColumn("n", F.lit(60))
-    return matrix.gap_ratio(_sparse(spark, sf_dir), n).withColumn("gap_ratio", F.round("gap_ratio", 6))
+    return matrix.gap_ratio(_sparse(spark, sf_dir), views.sizes(spark, sf_dir)).withColumn("gap_ratio", F.round("gap_ratio", 6))
 
 
 @query(f"""WITH {C2}, {_SPARSE}, t AS (SELECT chrom, bin1 AS bin FROM f UNION SELECT chrom, bin2 FROM f)
@@ -241,12 +241,12 @@ def domain_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("dataset", "chrom", "start_bin", "end_bin", _r("score"))
 
 
-_RUNS = """bt AS (SELECT chrom, bin AS s, bin + 10 AS e, CASE WHEN bin % 70 = 0 THEN 0.3 ELSE 0.1 END AS q FROM bins WHERE bin % 10 = 0 AND bin < 100),
+_RUNS = """bt AS (SELECT chrom, bin AS s, bin + 10 AS e, CASE WHEN bin % 70 = 0 THEN 0.3 ELSE 0.1 END AS q FROM bins WHERE bin % 10 = 0),
 dom AS (SELECT chrom, s, e FROM bt UNION SELECT a.chrom, a.s, b.e FROM bt a JOIN bt b ON a.chrom = b.chrom AND b.s > a.s AND b.e - a.s <= 40 AND a.q <= 0.2 AND b.q <= 0.2)"""
 
 
 def _bottoms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.planted_domains(spark, sf_dir, 10).where("start_bin < 100")
+    rows = views.planted_domains(spark, sf_dir, 10)
     return rows.withColumns({"region": F.lit(0), "noise": F.when(F.col("start_bin") % 70 == 0, 0.3).otherwise(0.1)})
 
 
@@ -293,21 +293,22 @@ def path_to_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracks.boundaries_to_domains(tracks.path_boundaries(path))
 
 
-# stencils over one planted block of chromosome A
-_BLOCK = """blk AS (SELECT chrom, bin1 - 40 AS i, bin2 - 40 AS j, v FROM c2 WHERE bin1 >= 40 AND bin2 < 80),
-dec AS (SELECT chrom, d, sum(v) / (40 - d) AS m FROM (SELECT *, j - i AS d FROM blk) GROUP BY chrom, d),
-cel AS (SELECT ch.chrom, a.i, b.i AS j FROM (SELECT DISTINCT chrom FROM blk) ch, (SELECT unnest(range(0, 40)) AS i) a, (SELECT unnest(range(0, 40)) AS i) b WHERE b.i - a.i >= 5),
-oe AS (SELECT cel.chrom, cel.i, cel.j, coalesce(v, 0) AS o, coalesce(m, 0) AS e FROM cel LEFT JOIN blk USING (chrom, i, j) LEFT JOIN dec ON dec.chrom = cel.chrom AND dec.d = cel.j - cel.i)"""
-_DONUT = f"""{_BLOCK}, dn AS (SELECT x.chrom, x.i, x.j, sum(y.o) AS seen, sum(y.e) AS hoped FROM oe x LEFT JOIN oe y ON x.chrom = y.chrom AND abs(y.i - x.i) <= 5 AND abs(y.j - x.j) <= 5
-  AND y.i <> x.i AND y.j <> x.j AND NOT (abs(y.i - x.i) <= 2 AND abs(y.j - x.j) <= 2) GROUP BY ALL)"""
+# stencils over all cells at least five off the diagonal
+_CELLS = f"""dec AS (SELECT chrom, d, sum(v) / ({BINS} - d) AS m FROM (SELECT chrom, bin2 - bin1 AS d, v FROM c2) GROUP BY chrom, d),
+cel AS (SELECT ch.chrom, a.i, b.i AS j FROM (SELECT DISTINCT chrom FROM c2) ch, (SELECT unnest(range(0, {BINS})) AS i) a, (SELECT unnest(range(0, {BINS})) AS i) b WHERE b.i - a.i >= 5),
+oe AS (SELECT cel.chrom, cel.i, cel.j, coalesce(v, 0) AS o, coalesce(m, 0) AS e FROM cel LEFT JOIN c2 ON c2.chrom = cel.chrom AND bin1 = i AND bin2 = j LEFT JOIN dec ON dec.chrom = cel.chrom AND dec.d = cel.j - cel.i)"""
+_DONUT = f"""{_CELLS}, off AS (SELECT x.k AS a, y.k AS b FROM (SELECT unnest(range(-5, 6)) AS k) x, (SELECT unnest(range(-5, 6)) AS k) y WHERE x.k <> 0 AND y.k <> 0 AND NOT (abs(x.k) <= 2 AND abs(y.k) <= 2)),
+snt AS (SELECT chrom, i - a AS i, j - b AS j, sum(o) AS seen, sum(e) AS hoped FROM oe, off GROUP BY ALL),
+dn AS (SELECT oe.chrom, oe.i, oe.j, seen, hoped FROM oe LEFT JOIN snt USING (chrom, i, j))"""
 
 
-def _block(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _map_cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(pixels, sizes, cells with o and e)."""
-    px = views.pixels(spark, sf_dir).where("bin1 >= 40 and bin2 < 80").select("dataset", "chrom", (F.col("bin1") - 40).alias("bin1"), (F.col("bin2") - 40).alias("bin2"), "v")
-    n = views.sizes(spark, sf_dir).withColumn("n", F.lit(40).cast("bigint"))
+    px, n = views.pixels(spark, sf_dir), views.sizes(spark, sf_dir)
     decay = matrix.distance_decay(px, n)
-    grid = n.select("dataset", "chrom", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(34).cast("bigint"))).alias("i")).select("*", F.explode(F.sequence(F.col("i") + 5, F.lit(39).cast("bigint"))).alias("j"))
+    upto = lambda a, b: F.explode(F.sequence(a, b))
+    zero = F.lit(0).cast("bigint")
+    grid = n.select("dataset", "chrom", "n", upto(zero, F.col("n") - 6).alias("i")).select("dataset", "chrom", "i", upto(F.col("i") + 5, F.col("n") - 1).alias("j"))
     cells = grid.join(px.select("dataset", "chrom", F.col("bin1").alias("i"), F.col("bin2").alias("j"), "v"), ["dataset", "chrom", "i", "j"], "left").withColumn("d", F.col("j") - F.col("i"))
     cells = cells.join(decay, ["dataset", "chrom", "d"]).select("dataset", "chrom", "i", "j", F.coalesce("v", F.lit(0.0)).alias("o"), F.col("mean_v").alias("e"))
     return px, n, cells
@@ -315,27 +316,29 @@ def _block(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
 
 @query(f"WITH {C2}, {_DONUT} SELECT 'd' AS dataset, chrom, i, j, round(coalesce(seen, 0), 6) AS seen, round(coalesce(hoped, 0), 6) AS hoped FROM dn")
 def donut_background(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, cells = _block(spark, sf_dir)
+    _, _, cells = _map_cells(spark, sf_dir)
     return scores.donut(cells.select("dataset", "chrom", "i", "j"), cells).select("dataset", "chrom", "i", "j", _r("seen"), _r("hoped"))
 
 
-_BLUR = """fc AS (SELECT DISTINCT chrom, j AS b FROM blk),
-nb AS (SELECT c.chrom, c.i, count(fc.b) AS n FROM (SELECT DISTINCT chrom, unnest(range(0, 40)) AS i FROM blk) c LEFT JOIN fc ON fc.chrom = c.chrom AND abs(fc.b - c.i) <= 2 GROUP BY ALL),
-bl AS (SELECT cel.chrom, cel.i, cel.j, coalesce(sum(v), 0) AS s FROM cel LEFT JOIN blk ON blk.chrom = cel.chrom AND abs(blk.i - cel.i) <= 2 AND abs(blk.j - cel.j) <= 2 GROUP BY ALL),
-bb AS (SELECT bl.chrom, bl.i, bl.j, CASE WHEN x.n * y.n > 0 THEN s / (x.n * y.n) ELSE 0.0 END AS blur FROM bl JOIN nb x ON x.chrom = bl.chrom AND x.i = bl.i JOIN nb y ON y.chrom = bl.chrom AND y.i = bl.j)"""
+_BLUR = f"""fc AS (SELECT DISTINCT chrom, bin2 AS b FROM c2),
+nb AS (SELECT chrom, i, count(*) AS n FROM (SELECT chrom, unnest([b - 2, b - 1, b, b + 1, b + 2]) AS i FROM fc) WHERE i >= 0 AND i < {BINS} GROUP BY ALL),
+sq AS (SELECT x.k AS a, y.k AS b FROM (SELECT unnest(range(-2, 3)) AS k) x, (SELECT unnest(range(-2, 3)) AS k) y),
+bl AS (SELECT chrom, bin1 - a AS i, bin2 - b AS j, sum(v) AS s FROM c2, sq GROUP BY ALL),
+bb AS (SELECT cel.chrom, cel.i, cel.j, CASE WHEN x.n * y.n > 0 THEN coalesce(s, 0) / (x.n * y.n) ELSE 0.0 END AS blur FROM cel LEFT JOIN bl USING (chrom, i, j)
+  LEFT JOIN nb x ON x.chrom = cel.chrom AND x.i = cel.i LEFT JOIN nb y ON y.chrom = cel.chrom AND y.i = cel.j)"""
 
 
-@query(f"WITH {C2}, {_BLOCK}, {_BLUR} SELECT 'd' AS dataset, chrom, i, j, round(blur, 6) AS blur FROM bb")
+@query(f"WITH {C2}, {_CELLS}, {_BLUR} SELECT 'd' AS dataset, chrom, i, j, round(blur, 6) AS blur FROM bb")
 def blurred_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    px, n, cells = _block(spark, sf_dir)
+    px, n, cells = _map_cells(spark, sf_dir)
     return scores.blurred(cells.select("dataset", "chrom", "i", "j"), px, n).select("dataset", "chrom", "i", "j", _r("blur"))
 
 
-@query("""WITH p AS (SELECT DISTINCT CAST(l_quantity AS BIGINT) AS k, l_linenumber * 1.5 AS mu FROM lineitem WHERE l_quantity <= 20),
+@query("""WITH p AS (SELECT DISTINCT CAST(l_quantity AS BIGINT) AS k, l_linenumber * 1.5 AS mu FROM lineitem),
 t AS (SELECT k, mu, unnest(range(0, k + 1)) AS i FROM p)
 SELECT k, CAST(mu AS DOUBLE) AS mu, round(greatest(1 - sum(exp(-mu + i * ln(mu) - CASE WHEN i < 2 THEN 0 ELSE lgamma(i + 1) END)), 0), 6) AS p FROM t GROUP BY ALL""")
 def poisson_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_quantity <= 20")
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     rows = li.select(F.col("l_quantity").cast("bigint").alias("k"), (F.col("l_linenumber") * 1.5).cast("double").alias("mu")).distinct()
     return rows.select("k", "mu", F.round(X.poisson_upper_tail("k", "mu"), 6).alias("p"))
 
@@ -346,7 +349,7 @@ a AS (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY blur, i, j) AS k,
 b AS (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY p, i, j) AS r, count(*) OVER (PARTITION BY chrom) AS m FROM a WHERE k > floor(0.30000000000000004 * n) AND p IS NOT NULL)
 SELECT 'd' AS dataset, chrom, i, j, blur, p FROM b WHERE r <= ceil(0.07142857142857144 * m)""")
 def top_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    px, n, cells = _block(spark, sf_dir)
+    px, n, cells = _map_cells(spark, sf_dir)
     full = scores.donut(cells, cells)
     stat = F.when(F.col("hoped") != 0, F.round(F.col("o") * F.col("hoped") / (F.col("e") * F.col("seen") + 1), 6))
     rows = scores.blurred(full, px, n).select("dataset", "chrom", "i", "j", F.round("blur", 6).alias("blur"), stat.alias("p"))
@@ -366,7 +369,7 @@ def color_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LOOPS = f"(p_partkey * 200) {{div}} (SELECT max(p_partkey) + 1 FROM {{t}}) * {RES}"
 
 
-@query(f"""WITH {C2}, lp AS (SELECT DISTINCT ['A', 'N', 'R'][p_partkey % 3 + 1] AS chrom, {_LOOPS.format(div='//', t='part')} AS s1, {_LOOPS.format(div='//', t='part')} + (5 + p_size % 20) * {RES} AS s2 FROM part WHERE p_partkey % 7 = 0),
+@query(f"""WITH {C2}, lp AS (SELECT DISTINCT ['A', 'N', 'R'][p_partkey % 3 + 1] AS chrom, {_LOOPS.format(div='//', t='part')} AS s1, {_LOOPS.format(div='//', t='part')} + (5 + p_size % 20) * {RES} AS s2 FROM part),
 o AS (SELECT unnest([-1, 0, 1]) AS k), cl AS (SELECT lp.*, s1 // {RES} + a.k AS x, s2 // {RES} + b.k AS y FROM lp, o a, o b),
 h AS (SELECT cl.*, v, row_number() OVER (PARTITION BY cl.chrom, s1, s2 ORDER BY v DESC, x, y) AS r FROM cl JOIN c2 ON c2.chrom = cl.chrom AND bin1 = least(x, y) AND bin2 = greatest(x, y) WHERE x >= 0 AND y >= 0)
 SELECT chrom, CAST(s1 AS BIGINT) AS start1, CAST(s1 + {RES} AS BIGINT) AS end1, CAST(s2 AS BIGINT) AS start2, CAST(s2 + {RES} AS BIGINT) AS end2, x AS bin1, y AS bin2, v FROM h WHERE r = 1""")
@@ -375,7 +378,7 @@ def loop_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
     s1 = _LOOPS.format(div="div", t=t)
     loops = spark.sql(
         f"""SELECT DISTINCT element_at(array('A', 'N', 'R'), CAST(p_partkey % 3 + 1 AS INT)) AS chrom, CAST({s1} AS BIGINT) AS start1, CAST({s1} + {RES} AS BIGINT) AS end1,
-        CAST({s1} + (5 + p_size % 20) * {RES} AS BIGINT) AS start2, CAST({s1} + (6 + p_size % 20) * {RES} AS BIGINT) AS end2 FROM {t} WHERE p_partkey % 7 = 0"""
+        CAST({s1} + (5 + p_size % 20) * {RES} AS BIGINT) AS start2, CAST({s1} + (6 + p_size % 20) * {RES} AS BIGINT) AS end2 FROM {t}"""
     )
     return plotdata.snap_loops(loops, views.pixels(spark, sf_dir), RES)
 

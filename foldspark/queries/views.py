@@ -51,21 +51,36 @@ def sizes(spark: SparkSession, sf_dir: str, name: str = "d") -> DataFrame:
     return bins(spark, sf_dir, name).groupBy("dataset", "chrom").agg(F.count("*").alias("n"))
 
 
-def segments(spark: SparkSession, sf_dir: str, nation: int) -> DataFrame:
-    """Adjacent single-level domains, resolution 1."""
+#: Set 0 and set 1 share the customers by nation; set 2 has them all.
+_SETS = ("c_nationkey < 13", "c_nationkey >= 13", "true")
+
+
+def segments(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """Adjacent single-level domains of set ``k``, resolution 1."""
     return spark.sql(
-        f"""SELECT '{nation}' AS set_id, chrom, start, end, 0L AS level FROM (
+        f"""SELECT '{k}' AS set_id, chrom, start, end, 0L AS level FROM (
         SELECT c_mktsegment AS chrom, CAST(c_custkey AS BIGINT) AS start, CAST(lead(c_custkey) OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS BIGINT) AS end
-        FROM parquet.`{sf_dir}/customer.parquet` WHERE c_nationkey = {nation}) WHERE end IS NOT NULL"""
+        FROM parquet.`{sf_dir}/customer.parquet` WHERE {_SETS[k]}) WHERE end IS NOT NULL"""
     )
 
 
+def hierarchy(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """A hierarchy of resolution 1: the segments of set ``k``, and blocks of them (by 120 positions) as outer domains."""
+    from foldspark.operators.intervals import nested_levels
+
+    d = segments(spark, sf_dir, k).select("set_id", "chrom", "start", "end")
+    wide = d.withColumn("k", F.floor(F.col("start") / 120)).groupBy("set_id", "chrom", "k").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("k")
+    return nested_levels(d.unionByName(wide), bucket=100)
+
+
 def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested intervals: days between a customer's first and last order, by order status."""
+    """Nested intervals of every customer: days from the first to the last order, the same by order status, and from each order to the next."""
+    days = "CAST(datediff(o_orderdate, DATE '1990-01-01') AS BIGINT)"
     return spark.sql(
-        f"""SELECT 'n' AS set_id, chrom, start, end FROM (
-        SELECT o_orderstatus AS chrom, CAST(min(datediff(o_orderdate, DATE '1990-01-01')) AS BIGINT) AS start, CAST(max(datediff(o_orderdate, DATE '1990-01-01')) AS BIGINT) AS end
-        FROM parquet.`{sf_dir}/orders.parquet` GROUP BY o_orderstatus, o_custkey) WHERE end > start AND end - start < 400"""
+        f"""WITH o AS (SELECT concat('c', o_custkey) AS chrom, o_orderstatus AS st, {days} AS d, o_orderkey AS k FROM parquet.`{sf_dir}/orders.parquet`)
+        SELECT 'n' AS set_id, chrom, start, end FROM (
+        SELECT chrom, min(d) AS start, max(d) AS end FROM o GROUP BY chrom UNION ALL SELECT chrom, min(d), max(d) FROM o GROUP BY chrom, st
+        UNION ALL SELECT chrom, d, lead(d) OVER (PARTITION BY chrom ORDER BY d, k) FROM o) WHERE end > start"""
     )
 
 
@@ -81,11 +96,12 @@ C2 = f"{C1}, c2 AS ({_PLANTED.format(c1='SELECT * FROM c1', div='//')})"
 B = f"bins AS (SELECT chrom, bin, bin * {RES} AS s, (bin + 1) * {RES} AS e, 1.0 / (1 + bin % 4) AS w FROM (SELECT DISTINCT l_returnflag AS chrom FROM lineitem), (SELECT unnest(range(0, {BINS})) AS bin))"
 
 
-def _segments(nation: int) -> str:
+def _segments(k: int) -> str:
     return f"""SELECT chrom, s, e, 0 AS level FROM (SELECT c_mktsegment AS chrom, CAST(c_custkey AS BIGINT) AS s,
-      CAST(lead(c_custkey) OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS BIGINT) AS e FROM customer WHERE c_nationkey = {nation}) WHERE e IS NOT NULL"""
+      CAST(lead(c_custkey) OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS BIGINT) AS e FROM customer WHERE {_SETS[k]}) WHERE e IS NOT NULL"""
 
 
 DA, DB = f"da AS ({_segments(0)})", f"db AS ({_segments(1)})"
-NEST = """nest AS (SELECT DISTINCT chrom, s, e FROM (SELECT o_orderstatus AS chrom, CAST(min(date_diff('day', DATE '1990-01-01', o_orderdate)) AS BIGINT) AS s,
-  CAST(max(date_diff('day', DATE '1990-01-01', o_orderdate)) AS BIGINT) AS e FROM orders GROUP BY o_orderstatus, o_custkey) WHERE e > s AND e - s < 400)"""
+NEST = """od AS (SELECT 'c' || o_custkey AS chrom, o_orderstatus AS st, CAST(date_diff('day', DATE '1990-01-01', o_orderdate) AS BIGINT) AS d, o_orderkey AS k FROM orders),
+nest AS (SELECT DISTINCT chrom, s, e FROM (SELECT chrom, min(d) AS s, max(d) AS e FROM od GROUP BY 1 UNION ALL SELECT chrom, min(d), max(d) FROM od GROUP BY chrom, st
+  UNION ALL SELECT chrom, d, lead(d) OVER (PARTITION BY chrom ORDER BY d, k) FROM od) WHERE e > s)"""

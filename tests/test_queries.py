@@ -11,7 +11,7 @@ from foldspark.queries import views
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
 NAMES = sorted(base.queries())
-SLOW = {"hierarchical_domains", "consensus_domains", "single_level_domains", "bottom_domains", "viterbi_states", "merged_pairs", "split_pairs", "conserved_pairs"}
+
 EMPTY_OK = {"inner_changed_pairs", "coverage", "region_domains", "conserved_pairs", "merged_pairs", "split_pairs", "hole_fill", "tad_view"}
 
 
@@ -30,7 +30,7 @@ def norm(v):
     return tuple(map(norm, v)) if isinstance(v, (list, tuple)) else v
 
 
-@pytest.mark.parametrize("name", [n for n in NAMES if n in base.oracle_sql() and n not in SLOW])
+@pytest.mark.parametrize("name", [n for n in NAMES if n in base.oracle_sql()])
 def test_against_sql(spark, sf, duck, name):
     got = base.queries()[name](spark, sf)
     columns = sorted(got.columns)
@@ -42,7 +42,7 @@ def test_against_sql(spark, sf, duck, name):
     assert Counter(rows) == Counter(other)
 
 
-@pytest.mark.parametrize("name", [n for n in NAMES if n not in base.oracle_sql() and n not in SLOW])
+@pytest.mark.parametrize("name", [n for n in NAMES if n not in base.oracle_sql()])
 def test_rows(spark, sf, name):
     got = base.queries()[name](spark, sf)
     assert got.columns and (got.count() > 0 or name in EMPTY_OK)
