@@ -1,15 +1,17 @@
 """Sequential steps as grouped functions: window choice, model fitting, state paths, domain calls, alignment, consensus and features.
 
-A group is one block of bins, one dataset's training values, one gap-free region, one chromosome of one map, or one domain: never larger than a chromosome's
+A group is one dataset's training values (of bounded number), one gap-free region, one chromosome of one map, or one domain: never larger than a chromosome's
 contacts. Models travel as a JSON column, joined by dataset.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,10 +19,7 @@ from foldspark.operators import hierarchy as hi
 from foldspark.operators import tracks
 from foldspark.operators.feature import domain_feature
 from foldspark.operators.matrix import KEY
-from foldspark.operators.sequences import Caller, Contacts, Mixture, boundaries, choose_window, fit_mixture, viterbi
-
-#: Bins of a group when windows are chosen.
-BLOCK = 512
+from foldspark.operators.sequences import SUMS, Caller, Contacts, Mixture, boundaries, choose_window, fit_mixture, next_mixture, sequence_sums, viterbi
 
 
 def _pair(left: DataFrame, right: DataFrame, *by: str):
@@ -39,20 +38,43 @@ def model_from_json(text: str) -> Mixture:
 
 
 def adaptive_windows(pixels: DataFrame, bins: DataFrame, default: int, min_bins: int = 5) -> DataFrame:
-    """(bin, w): the window of every bin, chosen from its up-minus-down values."""
+    """(bin, w): the window of every bin, chosen from its up-minus-down values, which come as one row a bin: the offsets with contacts and their values."""
+    names = [*KEY, "bin", "w"]
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            windows = []
+            for near in batch.column(3):
+                p = np.zeros(max(0, default - 2))
+                if near.is_valid:
+                    d, value = (near.values.field(k).to_numpy() for k in (0, 1))
+                    p[d - 2] = value
+                windows.append(choose_window(p, default, min_bins))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(windows, pa.int64())], names)
+
+    near = tracks.arms(pixels, default).groupBy(*KEY, "bin").agg(F.collect_list(F.struct("d", (F.col("up") - F.col("down")).alias("p"))).alias("near"))
+    # at most ``default`` offsets a bin
+    rows = bins.select(*KEY, "bin").join(near, [*KEY, "bin"], "left").select(*KEY, "bin", "near")
+    return rows.mapInArrow(choose, "dataset string, chrom string, bin bigint, w bigint")
+
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for (dataset, chrom, b), part in pdf.groupby(["dataset", "chrom", "bin"], sort=True):
-            rows.append((dataset, chrom, b, choose_window(part.sort_values("d")["p"].to_numpy(), default, min_bins)))
-        return pd.DataFrame(rows, columns=["dataset", "chrom", "bin", "w"])
+#: Training values of a dataset that one task fits; a larger dataset is fitted by all tasks, a job a round.
+TOGETHER = 5_000_000
 
-    grid = tracks.offset_grid(pixels, bins, default).withColumn("block", F.floor(F.col("bin") / BLOCK))
-    return grid.groupBy(*KEY, "block").applyInPandas(choose, "dataset string, chrom string, bin bigint, w bigint")
 
+def fit_models(sequences: DataFrame, rounds: int = 10_000, stop: float = 1e-5, together: int = TOGETHER) -> DataFrame:
+    """(dataset, model, steps, loglik): one model a dataset from its training sequences (chrom, start_bin, seq).
 
-def fit_models(sequences: DataFrame, rounds: int = 10_000, stop: float = 1e-5) -> DataFrame:
-    """(dataset, model, steps, loglik): one model a dataset from its training sequences (chrom, start_bin, seq)."""
+    Datasets of up to ``together`` values are fitted by a task each; of larger ones every sequence gives its sums, which are added up by an aggregate, and the
+    driver makes the next model from them, until every model gains less than ``stop``.
+    """
+    if together <= 0:
+        return _fit_by_rounds(sequences, rounds, stop)
+    size = sequences.groupBy("dataset").agg(F.sum(F.size("seq")).alias("k"))
+    large = [r[0] for r in size.where(F.col("k") > together).select("dataset").collect()]
+    if large:
+        some = F.col("dataset").isin(large)
+        return _fit_by_rounds(sequences.where(some), rounds, stop).unionByName(fit_models(sequences.where(~some), rounds, stop, 2**62))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["chrom", "start_bin"])
@@ -62,6 +84,37 @@ def fit_models(sequences: DataFrame, rounds: int = 10_000, stop: float = 1e-5) -
     return sequences.select("dataset", "chrom", "start_bin", "seq").groupBy("dataset").applyInPandas(fit, "dataset string, model string, steps bigint, loglik double")
 
 
+def _fit_by_rounds(sequences: DataFrame, rounds: int, stop: float) -> DataFrame:
+    spark, schema = sequences.sparkSession, "dataset string, model string, steps bigint, loglik double"
+    rows = sequences.select("dataset", "seq").where("size(seq) >= 4")
+    models = {r[0]: Mixture.initial() for r in sequences.select("dataset").distinct().collect()}
+    seen: dict[str, list[float]] = {k: [] for k in models}
+    open_ = set(models)
+    sums = ", ".join(f"s{i} double" for i in range(SUMS))
+    for _ in range(rounds):
+        table = {k: model_to_json(models[k]) for k in sorted(open_)}
+
+        def expect(batches: Iterator[pd.DataFrame], table: dict[str, str] = table) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                out = [(d, *sequence_sums(model_from_json(table[d]), np.asarray(s, float))) for d, s in zip(pdf["dataset"], pdf["seq"], strict=True)]
+                yield pd.DataFrame(out, columns=["dataset", *(f"s{i}" for i in range(SUMS))])
+
+        got = rows.where(F.col("dataset").isin(sorted(open_))).mapInPandas(expect, f"dataset string, {sums}")
+        total = {r[0]: np.array(r[1:]) for r in got.groupBy("dataset").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(SUMS)]).collect()}
+        for k in sorted(open_):
+            if k not in total or not total[k][1]:  # no path fits any sequence
+                open_.discard(k)
+                continue
+            seen[k].append(float(total[k][0]))
+            if len(seen[k]) > 1 and seen[k][-1] - seen[k][-2] < stop:
+                open_.discard(k)
+            else:
+                models[k] = next_mixture(models[k], total[k])
+        if not open_:
+            break
+    return spark.createDataFrame([(k, model_to_json(m), len(seen[k]), seen[k][-1] if seen[k] else float("nan")) for k, m in sorted(models.items())], schema)
+
+
 def state_paths(values: DataFrame, models: DataFrame) -> DataFrame:
     """(start_bin, bin, state): the likeliest states of every region of ``values`` (start_bin, bin, di)."""
 
@@ -92,12 +145,14 @@ def bottom_domains(values: DataFrame, models: DataFrame, min_bins: int = 5) -> D
 _CALLS = "dataset string, chrom string, kind string, start bigint, end bigint, noise double, level bigint, value double"
 
 
-def call_domains(pixels: DataFrame, sizes: DataFrame, models: DataFrame, res: int, *, hierarchical: bool, longest: int = 4_000_000) -> DataFrame:
+def call_domains(pixels: DataFrame, sizes: DataFrame, models: DataFrame, res: int, *, hierarchical: bool, longest: int = 4_000_000, windows: tuple[DataFrame, int] | None = None) -> DataFrame:
     """Everything that a chromosome's call gives, by ``kind``: ``domain`` (noise, level), ``gap`` bins and ``di`` values (value), positions in base pairs.
 
-    ``sizes``: (dataset, chrom, n). The single-level caller gives bottom domains; the hierarchical one gives TADs, their nested domains, and ends moved to the least insulation.
+    ``sizes``: (dataset, chrom, n); ``windows``: :func:`adaptive_windows` and the default they were chosen with, chosen again where they are not given or a chromosome is too short for that default. The single-level caller gives bottom domains; the hierarchical one gives TADs, their nested domains, and ends moved to the least insulation.
     """
 
+    default = windows[1] if windows else -1
+
     def call(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         columns = ["dataset", "chrom", "kind", "start", "end", "noise", "level", "value"]
         if right.empty:
@@ -105,7 +160,8 @@ def call_domains(pixels: DataFrame, sizes: DataFrame, models: DataFrame, res: in
         dataset, chrom, n, model = right[["dataset", "chrom", "n", "model"]].iloc[0]
         contacts = Contacts(int(n), left["bin1"].to_numpy(), left["bin2"].to_numpy(), left["v"].to_numpy())
         caller = Caller(contacts, res, model_from_json(model), longest, 5 if hierarchical else 10, 0.0 if hierarchical else 1.0)
-        caller.start()
+        chosen = right["windows"].iloc[0]
+        caller.start(np.asarray(chosen, np.int64) if chosen is not None and caller.default == default else None)
         found = caller.iterate(lambda a, b: hi.mismatch(a, b, res))
         if hierarchical:
             rows = [("domain", s, e, noise, level, None) for s, e, noise, level in caller.hierarchy(found)]
@@ -119,6 +175,11 @@ def call_domains(pixels: DataFrame, sizes: DataFrame, models: DataFrame, res: in
         return pd.DataFrame([(dataset, chrom, *r) for r in rows], columns=columns).astype({"start": "int64", "end": "int64", "level": "Int64", "noise": "float64", "value": "float64"})
 
     meta = sizes.select(*KEY, "n").join(models.select("dataset", "model"), "dataset")
+    if windows is None:
+        meta = meta.withColumn("windows", F.lit(None).cast("array<bigint>"))
+    else:  # a number a bin of the chromosome
+        chosen = windows[0].groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("bin", "w"))).alias("w")).select(*KEY, F.col("w.w").alias("windows"))
+        meta = meta.join(chosen, KEY, "left")
     cells = pixels.select(*KEY, "bin1", "bin2", "v")
     return _pair(cells, meta, *KEY).applyInPandas(call, _CALLS)
 
@@ -138,44 +199,50 @@ def align_sets(target: DataFrame, query: DataFrame, res: int) -> DataFrame:
     kind ``pair`` (level null: outermost regions; else nested ones) with both domain lists; ``conserved``, ``inner_changed``, ``merged``, ``split`` region pairs; and
     ``conserved_tad``, ``conserved_sub``, ``tad_to_sub``, ``sub_to_tad``, ``disappeared_tad``, ``disappeared_sub`` boundaries (pos, q_pos).
     """
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        chrom = (left if len(left) else right)["chrom"].iloc[0]
-        t, q = hi.DomainSet(_domain_list(left), res), hi.DomainSet(_domain_list(right), res)
-        there, back = hi.align(t, q)
-        rows = []
-        as_list = lambda ds: [{"start": s, "end": e, "level": v} for s, e, v in ds]
-        put = lambda kind, level, k, m: rows.append((chrom, kind, level, *k[0], *k[1], as_list(m.targets), as_list(m.queries), None, None))
-        for k, m in there.outer.items():
-            put("pair", None, k, m)
-        for (_, level, k), m in sorted(there.inner.items(), key=lambda x: x[0]):
-            put("pair", level, k, m)
-        for kind, keys in (("conserved", hi.conserved(there, back, t, q)), ("inner_changed", hi.inner_changed(there, back, t, q)), ("merged", hi.merged(there))):
-            for k in sorted(keys):
-                put(kind, None, k, there.outer[k])
-        for k, m in sorted(hi.merged(back).items()):
-            put("split", None, k[::-1], m.flipped())
-        if t.domains:
-            rows += [(chrom, c, None, None, None, None, None, [], [], p, x) for c, p, x in hi.boundary_classes(there, t, q)]
-        out = pd.DataFrame(rows, columns=_PAIR_COLUMNS)
-        return out.astype({c: "Int64" for c in ("level", "t_start", "t_end", "q_start", "q_end", "pos", "q_pos")})
-
     one, two = (d.select("chrom", "start", "end", "level") for d in (target, query))
-    return _pair(one, two, "chrom").applyInPandas(run, _PAIRS)
+    return _pair(one, two, "chrom").applyInPandas(lambda left, right: _aligned(left, right, res), _PAIRS)
+
+
+def _aligned(left: pd.DataFrame, right: pd.DataFrame, res: int) -> pd.DataFrame:
+    """The alignment of one chromosome of two sets."""
+    chrom = (left if len(left) else right)["chrom"].iloc[0]
+    t, q = hi.DomainSet(_domain_list(left), res), hi.DomainSet(_domain_list(right), res)
+    there, back = hi.align(t, q)
+    rows = []
+    as_list = lambda ds: [{"start": s, "end": e, "level": v} for s, e, v in ds]
+    put = lambda kind, level, k, m: rows.append((chrom, kind, level, *k[0], *k[1], as_list(m.targets), as_list(m.queries), None, None))
+    for k, m in there.outer.items():
+        put("pair", None, k, m)
+    for (_, level, k), m in sorted(there.inner.items(), key=lambda x: x[0]):
+        put("pair", level, k, m)
+    for kind, keys in (("conserved", hi.conserved(there, back, t, q)), ("inner_changed", hi.inner_changed(there, back, t, q)), ("merged", hi.merged(there))):
+        for k in sorted(keys):
+            put(kind, None, k, there.outer[k])
+    for k, m in sorted(hi.merged(back).items()):
+        put("split", None, k[::-1], m.flipped())
+    if t.domains:
+        rows += [(chrom, c, None, None, None, None, None, [], [], p, x) for c, p, x in hi.boundary_classes(there, t, q)]
+    out = pd.DataFrame(rows, columns=_PAIR_COLUMNS)
+    return out.astype({c: "Int64" for c in ("level", "t_start", "t_end", "q_start", "q_end", "pos", "q_pos")})
 
 
 def align_all(domains: DataFrame, res: int) -> DataFrame:
-    """:func:`align_sets` for every ordered pair of set_ids in ``domains``: columns tn and qn name the sets."""
+    """:func:`align_sets` for every ordered pair of set_ids in ``domains``: columns tn and qn name the sets. One plan, a group for each pair and chromosome."""
     names = sorted(r[0] for r in domains.select("set_id").distinct().collect())
-    out = None
-    for tn in names:
-        for qn in names:
-            if tn != qn:
-                got = align_sets(domains.where(F.col("set_id") == tn), domains.where(F.col("set_id") == qn), res).select(F.lit(tn).alias("tn"), F.lit(qn).alias("qn"), "*")
-                out = got if out is None else out.unionByName(got)
-    if out is None:
+    if len(names) < 2:
         raise ValueError("two sets at least are needed")
-    return out
+    others = F.explode(F.array(*map(F.lit, names)))
+    rows = domains.select("set_id", "chrom", "start", "end", "level")
+    target = rows.select(F.col("set_id").alias("tn"), others.alias("qn"), "chrom", "start", "end", "level").where("tn <> qn")
+    query = rows.select(others.alias("tn"), F.col("set_id").alias("qn"), "chrom", "start", "end", "level").where("tn <> qn")
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = _aligned(left, right, res)
+        for c in ("qn", "tn"):
+            out.insert(0, c, (left if len(left) else right)[c].iloc[0])
+        return out
+
+    return _pair(target, query, "tn", "qn", "chrom").applyInPandas(run, f"tn string, qn string, {_PAIRS}")
 
 
 def consensus(domains: DataFrame, gaps: DataFrame, res: int) -> DataFrame:

@@ -2,38 +2,30 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the session's shared folder; on a local master in one of our own where none is set."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared and not (context.master + "[").startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="foldspark-"))
-    return df.checkpoint()
+from foldspark.sources.kept import Kept
 
 
 def connected_components(vertices: DataFrame, edges: DataFrame, rounds: int = 200) -> DataFrame:
     """(id, comp) for ``vertices`` (id) and undirected ``edges`` (a, b): the least id that can be reached.
 
-    Labels spread to neighbours, and jump to their label's label; the rounds grow with the logarithm of a component's diameter.
+    Labels spread to neighbours, and jump to their label's label; the rounds grow with the logarithm of a component's diameter. Every round is written to the
+    shared folder and the one before is deleted.
     """
-    both = _cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    now = _cut(vertices.select("id", F.col("id").alias("comp")).distinct())
+    kept = Kept(vertices.sparkSession, "components")
+    both = kept.table(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    now = kept.table(vertices.select("id", F.col("id").alias("comp")).distinct())
     for _ in range(rounds):
         near = both.join(now, both.b == now.id).groupBy("a").agg(F.min("comp").alias("m"))
         spread = now.join(near, now.id == near.a, "left").select("id", F.least("comp", F.coalesce("m", "comp")).alias("comp"), F.col("comp").alias("old"))
         jump = spread.select(F.col("id").alias("j"), F.col("comp").alias("to"))
-        nxt = _cut(spread.join(jump, spread.comp == jump.j, "left").select("id", F.least("comp", F.coalesce("to", "comp")).alias("comp"), "old"))
+        nxt = kept.table(spread.join(jump, spread.comp == jump.j, "left").select("id", F.least("comp", F.coalesce("to", "comp")).alias("comp"), "old"))
         moved = nxt.where("comp <> old").limit(1).count()
-        now = nxt.select("id", "comp")
+        kept.drop(now)
+        now = nxt
         if not moved:
-            return now
+            kept.drop(both)
+            return now.select("id", "comp")
     raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -162,11 +162,12 @@ def mutual_edges(target: DataFrame, query: DataFrame, res: int, *, bucket: int =
 
 def region_pairs(target: DataFrame, query: DataFrame, res: int, *, bucket: int = BUCKET) -> DataFrame:
     """(t_start, t_end, q_start, q_end, n_target, n_query): connected groups of single-level domains of both sets, with the domains in each region."""
-    from foldspark.operators.graph import _cut, connected_components
+    from foldspark.operators.graph import connected_components
+    from foldspark.sources.kept import Kept
 
     edges = mutual_edges(target, query, res, bucket=bucket)
     node = lambda side, s, e: F.concat_ws(":", F.lit(side), "chrom", F.lpad(F.col(s).cast("string"), 12, "0"), F.lpad(F.col(e).cast("string"), 12, "0"))
-    named = _cut(edges.select("*", node("t", "t_start", "t_end").alias("a"), node("q", "q_start", "q_end").alias("b")))
+    named = Kept(edges.sparkSession, "edges").table(edges.select("*", node("t", "t_start", "t_end").alias("a"), node("q", "q_start", "q_end").alias("b")))
     comps = connected_components(named.select(F.explode(F.array("a", "b")).alias("id")), named.select("a", "b"))
     span = named.join(comps, named.a == comps.id).groupBy("chrom", "comp").agg(
         F.min("t_start").alias("t_start"), F.max("t_end").alias("t_end"), F.min("q_start").alias("q_start"), F.max("q_end").alias("q_end")

@@ -24,6 +24,7 @@ def parser() -> argparse.ArgumentParser:
     def tool(name: str, about: str) -> argparse.ArgumentParser:
         p = sub.add_parser(name, help=about)
         p.add_argument("-O", "--output", required=True)
+        p.add_argument("--parts", action="store_true", help="leave sorted text as several files, in order, in place of one")
         return p
 
     def caller(name: str, about: str) -> argparse.ArgumentParser:
@@ -62,29 +63,40 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-S", "--start", type=int, default=None)
     p.add_argument("-E", "--end", type=int, default=None)
     p.add_argument("-W", "--weight-col", default="weight")
+    p.add_argument("--arrowhead", action="store_true", help="arrowhead values in place of contacts")
+    p.add_argument("--vmin", type=float, default=None)
+    p.add_argument("--vmax", type=float, default=None)
     return top
 
 
+def _more_partitions(spark: SparkSession, least: int) -> None:
+    now = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.conf.set("spark.sql.shuffle.partitions", str(max(now, least)))
+
+
 def call_hierarchy(spark: SparkSession, args: argparse.Namespace) -> None:
+    _more_partitions(spark, args.cpu_core)
     sets = io.parse_datasets(spark.read.text(args.datasets, wholetext=True).first()[0])
     res = min(sets)  # only the finest resolution reaches the output
     maps = [io.open_map(spark, uri, label) for label, uri in sorted(sets[res].items())]
     union = lambda parts: reduce(DataFrame.unionByName, parts)
-    bins = union([m.bins.select("dataset", "chrom", "bin", "start", "end", "weight") for m in maps])
+    bins = union([m.bins.select("dataset", "chrom", "bin", "start", "end") for m in maps])
     genome = Genome(union([m.pixels(args.weight_col) for m in maps]), bins, res, tuple(args.exclude), args.minimum_chrom_size)
     genome.learning()
-    io.write_hierarchical(genome.call_hierarchy(args.maxsize), args.output)
-    io.write_index(bins, genome.index_track(), f"{args.output}.bins", args.DI_col)
+    io.write_hierarchical(genome.call_hierarchy(args.maxsize), args.output, not args.parts)
+    for label, uri in sorted(sets[res].items()):
+        io.put_index(spark, uri, genome.index_track().where(F.col("dataset") == label), args.DI_col)
     if args.removeCache:
         genome.wipe()
 
 
 def call_domains(spark: SparkSession, args: argparse.Namespace) -> None:
+    _more_partitions(spark, args.cpu_core)
     m = io.open_map(spark, args.uri)
     genome = Genome(m.pixels(args.weight_col), m.bins, m.res, tuple(args.exclude))
     genome.learning()
-    io.write_plain(genome.call_domains(), args.output)
-    io.write_bedgraph(io.bedgraph(m.bins, genome.index_track(), m.chroms), args.DI_output)
+    io.write_plain(genome.call_domains(), args.output, single=not args.parts)
+    io.write_bedgraph(io.bedgraph(m.bins, genome.index_track(), m.chroms), args.DI_output, not args.parts)
     if args.removeCache:
         genome.wipe()
 
@@ -95,19 +107,21 @@ def call_features(spark: SparkSession, args: argparse.Namespace) -> None:
     tads = bare(io.read_tads(spark, args.tad_file)).join(bare(m.chroms), "chrom").withColumn("end", F.least("end", "length")).where("end > start")
     tads = tads.select(F.lit(m.name).alias("dataset"), "chrom", "start", "end")
     got = calls.domain_features(bare(m.pixels(args.balance)), tads, m.res, pw=args.pw, ww=args.ww, top=args.top, ratio=args.ratio, gap=args.gap)
-    io.write_features(got, args.output)
+    io.write_features(got, args.output, not args.parts)
 
 
 def export_index(spark: SparkSession, args: argparse.Namespace) -> None:
-    bins = spark.read.parquet(f"{args.path}/bins")
-    rows = io.index_rows(bins, args.DI_col, args.chrom, args.start, args.end)
-    rows.orderBy("chrom", "start").coalesce(1).write.mode("overwrite").csv(args.output, sep="\t")
+    rows = io.index_rows(io.read_bins(spark, args.path), args.DI_col, args.chrom, args.start, args.end)
+    io.write_bedgraph(rows, args.output, not args.parts)
 
 
 def plot_tables(spark: SparkSession, args: argparse.Namespace) -> None:
     m = io.open_map(spark, args.path)
-    track = spark.read.parquet(f"{args.path}/bins").select("chrom", "start", "end", F.col(args.DI_col).alias("di"))
-    view = plotdata.chromosome_view(m.pixels(args.weight_col), io.read_hierarchical(spark, args.tad_file), track, args.chrom)
+    track = m.bins.select("chrom", "start", "end", F.col(args.DI_col).alias("di"))
+    view = plotdata.chromosome_view(
+        m.pixels(args.weight_col), io.read_hierarchical(spark, args.tad_file), track, args.chrom, m.res,
+        start=args.start, end=args.end, arrowhead=args.arrowhead, vmin=args.vmin, vmax=args.vmax,
+    )
     for name, df in view.items():
         df.write.mode("overwrite").parquet(f"{args.output}/{name}")
 

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldspark.functions.expressions import position_label
-from foldspark.operators.matrix import KEY, symmetric
+from foldspark.operators.intervals import overlaps_window
+from foldspark.operators.matrix import KEY, region, symmetric
+from foldspark.operators.scores import arrowhead as arrowhead_values
 
 
 def triangle_coordinates(x: Column, y: Column) -> tuple[Column, Column]:
@@ -55,8 +57,22 @@ def labelled(domains: DataFrame) -> DataFrame:
     return domains.withColumns({"start_label": position_label("start"), "end_label": position_label("end")})
 
 
-def chromosome_view(pixels: DataFrame, domains: DataFrame, track: DataFrame, chrom: str) -> dict[str, DataFrame]:
-    """The tables of a chromosome's plot: cells, boxes by level (outermost or nested), track, colour limit."""
+def chromosome_view(
+    pixels: DataFrame, domains: DataFrame, track: DataFrame, chrom: str, res: int, *,
+    start: int | None = None, end: int | None = None, arrowhead: bool = False, vmin: float | None = None, vmax: float | None = None,
+) -> dict[str, DataFrame]:
+    """The tables of a plot of a chromosome, or of its stretch from ``start`` to ``end``: cells (contacts or arrowhead values, both triangles), boxes by level (outermost or nested) that
+    overlap the view, outlines cut to it, track, and the limits of the colours."""
+    lo, hi = start or 0, end if end is not None else 2**62
     own = pixels.where(F.col("chrom") == chrom)
-    boxes = domains.where(F.col("chrom") == chrom).withColumn("outer", F.col("level") == 0)
-    return {"cells": symmetric(own), "boxes": labelled(boxes), "track": track.where(F.col("chrom") == chrom), "limit": color_limit(own)}
+    inside = region(own, lo // res, min(-(-hi // res), 2**62))
+    boxes = overlaps_window(domains, chrom, lo, hi).withColumn("outer", F.col("level") == 0)
+    cells = symmetric(inside)
+    if arrowhead:
+        whole = inside.groupBy(*KEY).agg(F.lit(lo // res).cast("bigint").alias("start_bin"), (F.max("bin2") + 1).alias("end_bin"))
+        got = arrowhead_values(own, whole).select(*KEY, F.col("x").alias("bin1"), F.col("y").alias("bin2"), F.col("a").alias("v"))
+        cells = symmetric(got)
+    limit = color_limit(inside).select(*KEY, F.lit(0.0 if vmin is None else vmin).alias("vmin"), F.col("vmax") if vmax is None else F.lit(vmax).alias("vmax"))
+    seen = track.where((F.col("chrom") == chrom) & (F.col("end") > lo) & (F.col("start") < hi))
+    last = min(hi, 2**40)
+    return {"cells": cells, "boxes": labelled(boxes), "outlines": triangle_outlines(domains, chrom, lo, last, res), "track": seen, "limit": limit}

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from foldspark.functions.expressions import force_prefix, is_number, strip_prefix
 from foldspark.operators import matrix
@@ -67,10 +67,17 @@ def write_map(cmap: ContactMap, path: str) -> None:
     cmap.raw.repartition("chrom").sortWithinPartitions("chrom", "bin1").write.mode("overwrite").partitionBy("chrom").parquet(f"{path}/pixels")
 
 
+def read_bins(spark: SparkSession, path: str) -> DataFrame:
+    """The bins table of a map with all its columns, whatever their names; chromosome names stay text."""
+    found = spark.read.parquet(f"{path}/bins").schema
+    found = StructType([StructField(f.name, StringType() if f.name == "chrom" else f.dataType) for f in found])
+    return spark.read.schema(found).parquet(f"{path}/bins")
+
+
 def open_map(spark: SparkSession, path: str, name: str | None = None) -> ContactMap:
     name = name or path.rstrip("/").rsplit("/", 1)[-1]
     named = lambda df: df.withColumn("dataset", F.lit(name))
-    bins = named(spark.read.schema(schema.BINS).parquet(f"{path}/bins").drop("dataset"))
+    bins = named(read_bins(spark, path).drop("dataset"))
     raw = named(spark.read.schema(schema.RAW).parquet(f"{path}/pixels").drop("dataset"))
     return ContactMap(name, spark.read.schema(schema.CHROMS).parquet(f"{path}/chroms"), bins, raw)
 
@@ -145,15 +152,21 @@ def four_digits(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if pd.isna(v) else f"{v:.4g}")
 
 
-def write_hierarchical(domains: DataFrame, path: str) -> None:
-    """Four tab-separated columns, sorted, one file."""
-    domains.select("chrom", "start", "end", "level").orderBy("chrom", "start", "end", "level").coalesce(1).write.mode("overwrite").csv(path, sep="\t")
+def _sorted_text(rows: DataFrame, path: str, by: list[str], single: bool, header: bool = False) -> None:
+    """Tab-separated rows in order: one file, or (not ``single``) one for each range of the order, named in order."""
+    rows = rows.orderBy(*by)
+    (rows.coalesce(1) if single else rows).write.mode("overwrite").csv(path, sep="\t", header=header)
+
 
+def write_hierarchical(domains: DataFrame, path: str, single: bool = True) -> None:
+    """Four tab-separated columns, sorted."""
+    _sorted_text(domains.select("chrom", "start", "end", "level"), path, ["chrom", "start", "end", "level"], single)
 
-def write_plain(domains: DataFrame, path: str, most_noise: float = 0.5) -> None:
+
+def write_plain(domains: DataFrame, path: str, most_noise: float = 0.5, single: bool = True) -> None:
     """Three columns of the domains that are not too noisy."""
     rows = domains.where(F.col("noise") <= most_noise) if "noise" in domains.columns else domains
-    rows.select("chrom", "start", "end").orderBy("chrom", "start", "end").coalesce(1).write.mode("overwrite").csv(path, sep="\t")
+    _sorted_text(rows.select("chrom", "start", "end"), path, ["chrom", "start", "end"], single)
 
 
 def with_index_column(bins: DataFrame, track: DataFrame, name: str = "di") -> DataFrame:
@@ -167,14 +180,33 @@ def write_index(bins: DataFrame, track: DataFrame, path: str, name: str = "di")
     with_index_column(bins, track, name).write.mode("overwrite").option("compression", "gzip").partitionBy("chrom").parquet(path)
 
 
+def put_index(spark: SparkSession, path: str, track: DataFrame, name: str = "di") -> None:
+    """Write the index of ``track`` into a map's own bins table as column ``name``. The new table is written whole beside the old one, which then makes room for it."""
+    new, old = f"{path}/_bins-new", f"{path}/_bins-old"
+    bins = read_bins(spark, path)
+    had = "dataset" in bins.columns
+    label = track.select("dataset").first()
+    named = bins.drop("dataset").withColumn("dataset", F.lit(label[0] if label else ""))
+    done = with_index_column(named, track, name)
+    (done if had else done.drop("dataset")).write.mode("overwrite").option("compression", "gzip").partitionBy("chrom").parquet(new)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    store = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    store.delete(hadoop.Path(old), True)
+    for a, b in ((f"{path}/bins", old), (new, f"{path}/bins")):
+        if not store.rename(hadoop.Path(a), hadoop.Path(b)):
+            raise OSError(f"{a} could not become {b}")
+    store.delete(hadoop.Path(old), True)
+    spark.catalog.refreshByPath(f"{path}/bins")
+
+
 def bedgraph(bins: DataFrame, track: DataFrame, chroms: DataFrame, name: str = "di") -> DataFrame:
     """(chrom with prefix, start, end clipped to the chromosome, di as text)."""
     rows = bins.select("dataset", "chrom", "bin", "start", "end").join(track.select("dataset", "chrom", "bin", F.col(name).alias("di")), ["dataset", "chrom", "bin"]).join(chroms, "chrom")
     return rows.select(force_prefix("chrom").alias("chrom"), "start", F.least("end", "length").alias("end"), four_digits("di").alias("di"))
 
 
-def write_bedgraph(rows: DataFrame, path: str) -> None:
-    rows.orderBy("chrom", "start").coalesce(1).write.mode("overwrite").csv(path, sep="\t")
+def write_bedgraph(rows: DataFrame, path: str, single: bool = True) -> None:
+    _sorted_text(rows, path, ["chrom", "start"], single)
 
 
 def index_rows(bins: DataFrame, column: str = "di", chrom: str | None = None, start: int | None = None, end: int | None = None) -> DataFrame:
@@ -185,7 +217,7 @@ def index_rows(bins: DataFrame, column: str = "di", chrom: str | None = None, st
     return rows.select("chrom", "start", "end", four_digits(F.col(column)).alias("value"))
 
 
-def write_features(features: DataFrame, path: str) -> None:
+def write_features(features: DataFrame, path: str, single: bool = True) -> None:
     """Header ChromID Start End AP Gap-Ratio; rejected domains have AP -1."""
     rows = features.select(F.col("chrom").alias("ChromID"), F.col("start").alias("Start"), F.col("end").alias("End"), F.col("ap").alias("AP"), F.col("gap_ratio").alias("Gap-Ratio"))
-    rows.orderBy("ChromID", "Start", "End").coalesce(1).write.mode("overwrite").csv(path, sep="\t", header=True)
+    _sorted_text(rows, path, ["ChromID", "Start", "End"], single, header=True)

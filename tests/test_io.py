@@ -69,10 +69,40 @@ def test_tools(spark, sf, tmp_path):
     put(tmp_path / "meta", f"res:{views.RES}\nrep1:{path}\n")
     cli.main(["hierarchy", "-d", f"{tmp_path}/meta", "-O", f"{tmp_path}/h", "-W", "RAW"])
     assert io.read_hierarchical(spark, f"{tmp_path}/h").count() > 0
-    cli.main(["export-index", "-p", path, "-D", "weight", "-C", "A", "-S", "0", "-E", "100000", "-O", f"{tmp_path}/o"])
+    # the index went into the map itself, beside its other columns
+    cli.main(["export-index", "-p", path, "-C", "A", "-D", "DIs", "-S", "0", "-E", "100000", "-O", f"{tmp_path}/o"])
     assert spark.read.text(f"{tmp_path}/o").count() == 3
-    cli.main(["plot-tables", "-p", path, "-T", f"{tmp_path}/h", "-D", "weight", "-C", "A", "-W", "RAW", "-O", f"{tmp_path}/v"])
+    kept = io.read_bins(spark, path)
+    assert {"DIs", "weight", "bin"} <= set(kept.columns) and kept.where("DIs <> 0").count() > 100 and kept.count() == 600
+    cli.main(["plot-tables", "-p", path, "-T", f"{tmp_path}/h", "-D", "DIs", "-C", "A", "-W", "RAW", "-O", f"{tmp_path}/v"])
     assert spark.read.parquet(f"{tmp_path}/v/cells").count() > 0
+    lo, hi = 20 * views.RES, 60 * views.RES
+    cli.main(["plot-tables", "-p", path, "-T", f"{tmp_path}/h", "-D", "DIs", "-C", "A", "-W", "RAW", "-O", f"{tmp_path}/w", "-S", str(lo), "-E", str(hi), "--arrowhead", "--vmin", "-1", "--vmax", "1"])
+    cells = spark.read.parquet(f"{tmp_path}/w/cells")
+    assert cells.count() > 0 and cells.agg(F.min("bin1"), F.max("bin2"), F.max(F.abs("v"))).first()[0] >= 20 and cells.where("bin2 >= 60 or abs(v) > 1").count() == 0
+    assert [tuple(r)[2:] for r in spark.read.parquet(f"{tmp_path}/w/limit").collect()] == [(-1.0, 1.0)] and spark.read.parquet(f"{tmp_path}/w/track").count() == 40
+
+
+def test_other_weight_column(spark, sf, tmp_path):
+    """Any bin column balances, and further columns of the bins stay."""
+    path = str(tmp_path / "m")
+    raw, bins = views.raw(spark, sf), views.bins(spark, sf).withColumnRenamed("weight", "KR").withColumn("gc", F.lit(0.4)).withColumn("chrom", F.concat(F.lit("0"), F.ascii("chrom").cast("string")))
+    raw = raw.withColumn("chrom", F.concat(F.lit("0"), F.ascii("chrom").cast("string")))
+    io.write_map(io.ContactMap("m", bins.groupBy("chrom").agg(F.max("end").alias("length")), bins, raw), path)
+    m = io.open_map(spark, path)
+    assert {"KR", "gc"} <= set(m.bins.columns) and all(c.startswith("0") for c in m.chromnames)
+    want = views.raw(spark, sf).join(views.bins(spark, sf).select("chrom", F.col("bin").alias("bin1"), F.col("weight").alias("w1")), ["chrom", "bin1"])
+    want = want.join(views.bins(spark, sf).select("chrom", F.col("bin").alias("bin2"), F.col("weight").alias("w2")), ["chrom", "bin2"]).agg(F.sum(F.col("count") * F.col("w1") * F.col("w2"))).first()[0]
+    assert m.pixels("KR").agg(F.sum("v")).first()[0] == pytest.approx(want)
+
+
+def test_text_in_parts(spark, tmp_path):
+    """Several files in order hold what one file holds."""
+    rows = spark.range(5000).select(F.lit("c").alias("chrom"), (F.col("id") * 7919 % 5000).alias("start")).withColumn("end", F.col("start") + 1)
+    io.write_plain(rows, f"{tmp_path}/one")
+    io.write_plain(rows, f"{tmp_path}/many", single=False)
+    read = lambda p: [line for f in sorted((tmp_path / p).glob("part-*")) for line in f.read_text().splitlines()]
+    assert read("one") == read("many") and len(read("one")) == 5000
 
 
 def test_result_does_not_depend_on_partitions(spark, sf):
