@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from foldspark.operators import hierarchy as hi
 from foldspark.operators import tracks
-from foldspark.operators.feature import domain_feature
+from foldspark.operators.feature import domain_feature, smooth_decay
 from foldspark.operators.matrix import KEY
 from foldspark.operators.sequences import SUMS, Caller, Contacts, Mixture, boundaries, choose_window, fit_mixture, next_mixture, sequence_sums, viterbi
 
@@ -298,3 +298,18 @@ def segment_runs(domains: DataFrame, scores: DataFrame, res: int, longest: int =
     by = [*KEY, "region"]
     one, two = domains.select(*by, "start", "end"), scores.select(*by, "start", "end", "score")
     return _pair(one, two, *by).applyInPandas(run, "dataset string, chrom string, region bigint, start bigint, end bigint, members bigint")
+
+
+def decay_fit(decay: DataFrame) -> DataFrame:
+    """``decay`` (dataset, chrom, d, mean_v) with ``fit``, the smoothed decay from the first distance with a positive mean on; a group is a chromosome's distances."""
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("d")
+        y = pdf["mean_v"].to_numpy(float)
+        first = int(np.argmax(y > 0)) if (y > 0).any() else 0
+        out = np.full(len(y), np.nan)
+        out[first:] = smooth_decay(np.arange(first, len(y)), y[first:])
+        return pdf.assign(fit=out)
+
+    rows = decay.select(*KEY, "d", "mean_v")
+    return rows.groupBy(*KEY).applyInPandas(fit, "dataset string, chrom string, d bigint, mean_v double, fit double")

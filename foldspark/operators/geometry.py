@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,3 +114,34 @@ def points_in_convex(points: DataFrame, ring: Sequence[Sequence[float]]) -> Data
     for f in flags[1:]:
         out = out & f
     return points.withColumn("inside", out)
+
+
+def distances_to_convex(points: DataFrame, ring: Sequence[Sequence[float]]) -> DataFrame:
+    """``points`` (x, y, ...) with ``distance`` to the outline of a counter-clockwise convex ring, negative outside."""
+    p = close_ring(np.asarray(ring, float)).tolist()
+    sides, far = [], []
+    for (ax, ay), (bx, by) in zip(p, p[1:], strict=False):
+        dx, dy = bx - ax, by - ay
+        x, y = F.col("x") - ax, F.col("y") - ay
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x * dx + y * dy) / (dx * dx + dy * dy)))
+        sides.append(y * dx - x * dy >= 0)
+        far.append((x - t * dx) * (x - t * dx) + (y - t * dy) * (y - t * dy))
+    inside = sides[0]
+    for side in sides[1:]:
+        inside = inside & side
+    least = F.sqrt(F.least(*far))
+    return points.withColumn("distance", F.when(inside, least).otherwise(-least))
+
+
+def hull_shapes(points: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, n_vertices, area) of the convex hulls of point rows (x, y). Only the lowest and the highest point of every x can be a vertex: a group is as large as its distinct x."""
+    ends = points.groupBy(*keys, "x").agg(F.min("y").alias("a"), F.max("y").alias("b"))
+    ends = ends.select(*keys, F.col("x").cast("double").alias("x"), F.explode(F.array_distinct(F.array(F.col("a").cast("double"), F.col("b").cast("double")))).alias("y"))
+    names = list(keys)
+
+    def shape(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        vertices = hull(pdf[["x", "y"]].to_numpy())
+        return pd.DataFrame([(*key, len(vertices), area(vertices))], columns=[*names, "n_vertices", "area"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema if f.name in names)
+    return ends.groupBy(*keys).applyInPandas(shape, f"{fields}, n_vertices bigint, area double")

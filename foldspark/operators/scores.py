@@ -149,6 +149,29 @@ def core_points(points: DataFrame, params: DataFrame, keys: list[str]) -> DataFr
     return points.select(*keys, "id", "x", "y").join(near, [*keys, "x", "y"]).select(*keys, "id", "x", "y", "near", (F.col("near") >= F.col("min_points")).alias("core"))
 
 
+def dbscan_labels(points: DataFrame, params: DataFrame, keys: list[str]) -> DataFrame:
+    """``points`` (id, x, y; ids distinct) with core and cluster: numbered by the least id of their core points from 0, -1 for noise; a border point belongs to the first cluster near it.
+
+    Core positions are nodes of a graph whose edges join those within eps; clusters are its components.
+    """
+    from foldspark.operators.graph import connected_components
+
+    cores = core_points(points, params, keys)
+    at = cores.groupBy(*keys, "x", "y").agg(F.max("core").alias("core"), F.min("id").alias("least"))
+    at = at.join(params.select(*keys, F.greatest("eps", F.lit(2.0**0.5)).alias("r")), keys)
+    at = at.withColumns({"gx": F.floor(F.col("x") / F.col("r")), "gy": F.floor(F.col("y") / F.col("r")), "node": F.concat_ws(":", *keys, F.lpad(F.col("least").cast("string"), 20, "0"))})
+    shift = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+    other = at.where("core").select(*keys, F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("node").alias("to"), "gx", "gy")
+    mine = at.select(*keys, "x", "y", "core", "node", "r", "gx", "gy", F.explode(shift).alias("t")).withColumns({"gx": F.col("gx") + F.col("t.a"), "gy": F.col("gy") + F.col("t.b")})
+    near = mine.join(other, [*keys, "gx", "gy"]).where("(x - x2) * (x - x2) + (y - y2) * (y - y2) <= r * r")
+    comps = connected_components(at.where("core").select(F.col("node").alias("id")), near.where("core").select(F.col("node").alias("a"), F.col("to").alias("b")))
+    # a position's cluster is the first of those of the core positions near it; for a core position all are its own
+    first = near.join(comps.withColumnRenamed("id", "to"), "to").groupBy(*keys, "x", "y").agg(F.min("comp").alias("comp"))
+    number = F.dense_rank().over(Window.partitionBy(*keys).orderBy("comp")) - 1
+    first = first.select(*keys, "x", "y", number.alias("cluster"))
+    return cores.select(*keys, "id", "x", "y", "core").join(first, [*keys, "x", "y"], "left").select(*keys, "id", "x", "y", "core", F.coalesce("cluster", F.lit(-1)).cast("bigint").alias("cluster"))
+
+
 def drop_lone_clusters(points: DataFrame, keys: list[str]) -> DataFrame:
     """Labelled points (cluster, -1 for noise) without clusters of one point, the rest numbered densely in order."""
     size = F.count("*").over(Window.partitionBy(*keys, "cluster"))

@@ -25,7 +25,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from foldspark.queries import calls, domains, maps  # noqa: F401
+    from foldspark.queries import calls, domains, files, maps  # noqa: F401
 
     return dict(QUERIES)
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldspark.operators import calls, matrix, tracks
+from foldspark.operators import calls, matrix, scores, tracks
+from foldspark.operators.sequences import Mixture
 from foldspark.plans.pipeline import Genome, training_data
 from foldspark.queries import query, views
-from foldspark.queries.views import B, BINS, DEFAULT, RES
+from foldspark.queries.maps import RUNS, SCORE, run_bottoms
+from foldspark.queries.views import B, BINS, C2, DEFAULT, RES
 
 ROUNDS = 200
 
@@ -135,3 +139,56 @@ def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gap_free_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = views.pixels(spark, sf_dir).where("bin1 % 3 <> 1 and bin2 % 3 <> 1")
     return matrix.drop_gaps(px)
+
+
+@query()
+def decay_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The smoothed decay of contacts over distance; held against another spline in the tests."""
+    got = calls.decay_fit(matrix.distance_decay(views.pixels(spark, sf_dir), views.sizes(spark, sf_dir)))
+    return got.select("dataset", "chrom", "d", F.round("mean_v", 6).alias("mean_v"), F.round("fit", 6).alias("fit"))
+
+
+# the best partition of the first k blocks, with the place where its last run begins; then back from the end
+_TADS = f"""WITH RECURSIVE {C2}, {B}, {RUNS}, {SCORE}, sm AS (SELECT chrom, map_from_entries(list({{'k': s * 1000 + e, 'v': score}})) AS m FROM sc GROUP BY chrom),
+r AS (SELECT chrom, m, 0 AS k, [CAST(0 AS DOUBLE)] AS v, [0] AS f FROM sm UNION ALL
+  SELECT chrom, m, k + 1, list_append(v, b.x), list_append(f, CAST(-b.j AS INT)) FROM (SELECT *, list_max(list_transform(range(0, k + 1), lambda j:
+    {{'x': coalesce(v[j + 1] + (k + 1 - j) * 10 * m[j * 10000 + (k + 1) * 10], CAST('-inf' AS DOUBLE)), 'j': -j}})) AS b FROM r WHERE k < {BINS // 10})),
+w AS (SELECT chrom, f, {BINS // 10} AS e FROM r WHERE k = {BINS // 10}), t AS (SELECT chrom, f, f[e + 1] AS s, e FROM w UNION ALL SELECT chrom, f, f[s + 1], s FROM t WHERE s > 0)
+SELECT 'd' AS dataset, chrom, CAST(s * 10 AS BIGINT) AS start, CAST(e * 10 AS BIGINT) AS "end", CAST(e - s AS BIGINT) AS members FROM t"""
+
+
+@query(_TADS)
+def tads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of bottom domains that make the best partition by their contrasts."""
+    bottoms = run_bottoms(spark, sf_dir)
+    table = scores.run_scores(views.pixels(spark, sf_dir), bottoms, 40).withColumn("region", F.lit(0).cast("bigint"))
+    table = table.withColumnsRenamed({"start_bin": "start", "end_bin": "end"})
+    spans = bottoms.select("dataset", "chrom", F.col("region").cast("bigint").alias("region"), F.col("start_bin").alias("start"), F.col("end_bin").alias("end"))
+    return calls.segment_runs(spans, table, 1).select("dataset", "chrom", "start", "end", "members")
+
+
+# a track that turns from negative to positive every 18 bins, with some disorder
+_WAVE = "CAST(bin % 18 - 9 AS DOUBLE) * (1 + bin * 37 % 11) / 5.0 + bin * 53 % 7 / 3.0 - 1"
+
+
+def _viterbi_sql() -> str:
+    """The best path into every state, bin by bin, with the start values of the model written out; ties go to the smaller state."""
+    m = Mixture.initial()
+    density = lambda q: " + ".join(
+        f"{w!r} * exp(-0.5 * pow((di - ({mu!r})) / {sd!r}, 2)) / ({sd!r} * sqrt(2 * pi()))" for w, mu, sd in zip(m.weight[q].tolist(), m.mean[q].tolist(), m.sd[q].tolist(), strict=True)
+    )
+    move = "[" + ", ".join("[" + ", ".join(repr(math.log(x)) if x > 0 else "-1e300" for x in row) + "]" for row in m.trans.tolist()) + "]"
+    best = f"list_max(list_transform(range(0, 4), lambda p: {{'x': v[p + 1] + {move}[p + 1][q + 1], 'p': -p}}))"
+    return f"""WITH RECURSIVE {B}, x AS (SELECT chrom, bin, {_WAVE} AS di FROM bins), em AS (SELECT chrom, bin, [{", ".join(f"ln({density(q)})" for q in range(4))}] AS b FROM x),
+r AS (SELECT chrom, bin, [b[1], -1e300, -1e300, -1e300] AS v, ['0', '1', '2', '3'] AS p FROM em WHERE bin = 0 UNION ALL
+  SELECT r.chrom, em.bin, list_transform(range(0, 4), lambda q: {best}.x + b[q + 1]), list_transform(range(0, 4), lambda q: r.p[1 - {best}.p] || q)
+  FROM r JOIN em ON em.chrom = r.chrom AND em.bin = r.bin + 1),
+z AS (SELECT chrom, p[4] AS p FROM r WHERE bin = {BINS - 1}), c AS (SELECT chrom, p, unnest(range(0, {BINS})) AS bin FROM z)
+SELECT 'd' AS dataset, chrom, CAST(0 AS BIGINT) AS start_bin, CAST(bin AS BIGINT) AS bin, CAST(p[bin + 1] AS BIGINT) AS state FROM c"""
+
+
+@query(_viterbi_sql())
+def viterbi_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The likeliest states under the start values of the model."""
+    rows = views.bins(spark, sf_dir).select("dataset", "chrom", F.lit(0).cast("bigint").alias("start_bin"), "bin", F.expr(_WAVE).alias("di"))
+    return calls.state_paths(rows, spark.createDataFrame([("d", calls.model_to_json(Mixture.initial()))], "dataset string, model string"))

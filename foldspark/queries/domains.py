@@ -246,7 +246,7 @@ def collinear_test(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_PTS} SELECT g, id, x, y, (60 * (y - 10) - 5 * (x - 10) >= 0 AND 10 * (y - 15) - 60 * (x - 70) >= 0 AND -55 * (y - 75) - 5 * (x - 80) >= 0 AND -15 * (y - 80) + 70 * (x - 25) >= 0) AS inside FROM pts")
 def point_in_convex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geometry.points_in_convex(_points(spark, sf_dir), [(10, 10), (70, 15), (80, 75), (25, 80)])
+    return geometry.points_in_convex(_points(spark, sf_dir), _RING)
 
 
 @query(f"""WITH {DA} SELECT chrom, s AS start, e AS "end", (greatest(s, 200) - 200) // 4 AS x1, ((greatest(s, 200) - 200) // 4 + (least(e, 900) - 200) // 4) / 2 AS x2, (least(e, 900) - 200) // 4 AS x3,
@@ -330,3 +330,39 @@ def cluster_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _points(spark, sf_dir).where("id % 5 <> 0").withColumn("c", F.col("id") % 91)
     c = p.groupBy("g", "c").agg(F.count("*").alias("size"), (F.max("x") - F.min("x")).cast("double").alias("area")).withColumns({"density": 1 / (1 + F.col("c")), "cells": F.lit(500)})
     return scores.weighted_density(c, ["g"]).select("g", F.round("density", 6).alias("density"), F.round("cover", 6).alias("cover"))
+
+
+_RING = [(10, 10), (70, 15), (80, 75), (25, 80)]
+
+
+def _distance_sql() -> str:
+    sides, far = [], []
+    for (ax, ay), (bx, by) in zip(_RING, [*_RING[1:], _RING[0]], strict=True):
+        dx, dy = bx - ax, by - ay
+        t = f"greatest(0.0, least(1.0, ((x - {ax}) * {dx} + (y - {ay}) * {dy}) / {float(dx * dx + dy * dy)}))"
+        sides.append(f"(y - {ay}) * {dx} - (x - {ax}) * {dy} >= 0")
+        far.append(f"pow(x - {ax} - {dx} * {t}, 2) + pow(y - {ay} - {dy} * {t}, 2)")
+    return f"WITH {_PTS} SELECT g, id, round(CASE WHEN {' AND '.join(sides)} THEN 1 ELSE -1 END * sqrt(least({', '.join(far)})), 6) + 0.0 AS distance FROM pts"
+
+
+@query(_distance_sql())
+def polygon_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signed distances to a convex outline."""
+    return geometry.distances_to_convex(_points(spark, sf_dir), _RING).select("g", "id", (F.round("distance", 6) + 0.0).alias("distance"))
+
+
+@query(f"""WITH {_PTS}, u AS (SELECT DISTINCT g, x, y FROM (SELECT g, x, min(y) AS y FROM pts GROUP BY 1, 2 UNION ALL SELECT g, x, max(y) FROM pts GROUP BY 1, 2)),
+ed AS (SELECT a.g, a.x AS ax, a.y AS ay, b.x AS cx, b.y AS cy FROM u a JOIN u b ON a.g = b.g AND (a.x <> b.x OR a.y <> b.y)
+  WHERE NOT EXISTS (SELECT 1 FROM u p WHERE p.g = a.g AND ((b.x - a.x) * (p.y - a.y) - (b.y - a.y) * (p.x - a.x) < 0
+    OR (b.x - a.x) * (p.y - a.y) - (b.y - a.y) * (p.x - a.x) = 0 AND ((p.x - a.x) * (p.x - b.x) + (p.y - a.y) * (p.y - b.y) > 0))))
+SELECT g, count(*) AS n_vertices, round(CAST(sum(ax * cy - cx * ay) AS DOUBLE) / 2, 6) AS area FROM ed GROUP BY g""")
+def hull_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Convex hulls of groups of points; SQL looks for the pairs that have all other points on their left."""
+    return geometry.hull_shapes(_points(spark, sf_dir), ["g"]).withColumn("area", F.round("area", 6))
+
+
+@query()
+def dbscan_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of points; held against plain loops in the tests."""
+    p = _points(spark, sf_dir)
+    return scores.dbscan_labels(p, scores.cluster_parameters(p, ["g"]), ["g"])

@@ -229,30 +229,30 @@ def domain_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracks.domain_noise(views.pixels(spark, sf_dir), views.planted_domains(spark, sf_dir)).withColumn("noise", F.round("noise", 6))
 
 
-_SCORE = """ins AS (SELECT dom.chrom, s, e, bin1 AS x, bin2 AS y, bin2 - bin1 AS d, v FROM dom JOIN c2 ON c2.chrom = dom.chrom AND bin1 >= s AND bin2 < e AND bin2 - bin1 > 1),
+SCORE = """ins AS (SELECT dom.chrom, s, e, bin1 AS x, bin2 AS y, bin2 - bin1 AS d, v FROM dom JOIN c2 ON c2.chrom = dom.chrom AND bin1 >= s AND bin2 < e AND bin2 - bin1 > 1),
 pr AS (SELECT ins.chrom, s, e, ins.v AS i, o.v AS o FROM ins JOIN c2 o ON o.chrom = ins.chrom AND o.bin1 = x - d AND o.bin2 = x WHERE x - d <= s
   UNION ALL SELECT ins.chrom, s, e, ins.v, o.v FROM ins JOIN c2 o ON o.chrom = ins.chrom AND o.bin1 = y AND o.bin2 = y + d WHERE y + d >= e),
 sc AS (SELECT dom.chrom, dom.s, dom.e, CASE WHEN count(i) > 3 THEN avg(0.5 * (i - o) / (i + o)) ELSE 0.0 END AS score FROM dom LEFT JOIN pr USING (chrom, s, e) GROUP BY ALL)"""
 
 
-@query(f"WITH {C2}, {B}, {_DOM}, {_SCORE} SELECT 'd' AS dataset, chrom, s AS start_bin, e AS end_bin, round(score, 6) + 0.0 AS score FROM sc")
+@query(f"WITH {C2}, {B}, {_DOM}, {SCORE} SELECT 'd' AS dataset, chrom, s AS start_bin, e AS end_bin, round(score, 6) + 0.0 AS score FROM sc")
 def domain_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = scores.domain_contrast(views.pixels(spark, sf_dir), views.planted_domains(spark, sf_dir))
     return got.select("dataset", "chrom", "start_bin", "end_bin", _r("score"))
 
 
-_RUNS = """bt AS (SELECT chrom, bin AS s, bin + 10 AS e, CASE WHEN bin % 70 = 0 THEN 0.3 ELSE 0.1 END AS q FROM bins WHERE bin % 10 = 0),
+RUNS = """bt AS (SELECT chrom, bin AS s, bin + 10 AS e, CASE WHEN bin % 70 = 0 THEN 0.3 ELSE 0.1 END AS q FROM bins WHERE bin % 10 = 0),
 dom AS (SELECT chrom, s, e FROM bt UNION SELECT a.chrom, a.s, b.e FROM bt a JOIN bt b ON a.chrom = b.chrom AND b.s > a.s AND b.e - a.s <= 40 AND a.q <= 0.2 AND b.q <= 0.2)"""
 
 
-def _bottoms(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run_bottoms(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.planted_domains(spark, sf_dir, 10)
     return rows.withColumns({"region": F.lit(0), "noise": F.when(F.col("start_bin") % 70 == 0, 0.3).otherwise(0.1)})
 
 
-@query(f"WITH {C2}, {B}, {_RUNS}, {_SCORE} SELECT 'd' AS dataset, chrom, s AS start_bin, e AS end_bin, round(score, 6) + 0.0 AS score FROM sc")
+@query(f"WITH {C2}, {B}, {RUNS}, {SCORE} SELECT 'd' AS dataset, chrom, s AS start_bin, e AS end_bin, round(score, 6) + 0.0 AS score FROM sc")
 def domain_run_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scores.run_scores(views.pixels(spark, sf_dir), _bottoms(spark, sf_dir), 40).select("dataset", "chrom", "start_bin", "end_bin", _r("score"))
+    return scores.run_scores(views.pixels(spark, sf_dir), run_bottoms(spark, sf_dir), 40).select("dataset", "chrom", "start_bin", "end_bin", _r("score"))
 
 
 _ARROW = """tri AS (SELECT dom.chrom, s, e, a.i AS x, b.i AS y FROM dom, (SELECT unnest(range(0, 200)) AS i) a, (SELECT unnest(range(0, 200)) AS i) b WHERE a.i >= s AND a.i < b.i AND b.i < e),
