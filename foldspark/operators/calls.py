@@ -66,7 +66,7 @@ def fit_models(sequences: DataFrame, rounds: int = 10_000, stop: float = 1e-5, t
     """(dataset, model, steps, loglik): one model a dataset from its training sequences (chrom, start_bin, seq).
 
     Datasets of up to ``together`` values are fitted by a task each; of larger ones every sequence gives its sums, which are added up by an aggregate, and the
-    driver makes the next model from them, until every model gains less than ``stop``.
+    driver makes the next model from them, until every model gains less than ``stop``. Where no sequence fits, the start model stays and loglik is null.
     """
     if together <= 0:
         return _fit_by_rounds(sequences, rounds, stop)
@@ -112,7 +112,7 @@ def _fit_by_rounds(sequences: DataFrame, rounds: int, stop: float) -> DataFrame:
                 models[k] = next_mixture(models[k], total[k])
         if not open_:
             break
-    return spark.createDataFrame([(k, model_to_json(m), len(seen[k]), seen[k][-1] if seen[k] else float("nan")) for k, m in sorted(models.items())], schema)
+    return spark.createDataFrame([(k, model_to_json(m), len(seen[k]), seen[k][-1] if seen[k] else None) for k, m in sorted(models.items())], schema)
 
 
 def state_paths(values: DataFrame, models: DataFrame) -> DataFrame:
