@@ -12,7 +12,10 @@ DEFAULT = 50
 _X = "(l_partkey * 200) {div} (SELECT max(l_partkey) + 1 FROM {t})"
 _Y = _X + " + CAST(l_quantity AS BIGINT) - 1"
 
-_CONTACTS = f"""SELECT l_returnflag AS chrom, CAST({_X} AS BIGINT) AS bin1, CAST({_Y} AS BIGINT) AS bin2, CAST(count(*) AS DOUBLE) AS count
+# three chromosomes for every hundred suppliers: a map grows with the tables
+_CHROM = "concat(l_returnflag, CASE WHEN l_suppkey < 100 THEN '' ELSE CAST(l_suppkey {div} 100 AS STRING) END)"
+
+_CONTACTS = f"""SELECT {_CHROM} AS chrom, CAST({_X} AS BIGINT) AS bin1, CAST({_Y} AS BIGINT) AS bin2, CAST(count(*) AS DOUBLE) AS count
 FROM {{t}} WHERE {_Y} < 200{{where}} GROUP BY 1, 2, 3"""
 
 _PLANTED = """SELECT chrom, bin1, bin2, count * (CASE WHEN bin1 {div} 20 = bin2 {div} 20 THEN 4 ELSE 1 END) * (CASE WHEN bin1 {div} 10 = bin2 {div} 10 THEN 2 ELSE 1 END) AS v
@@ -41,7 +44,7 @@ def flat_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bins(spark: SparkSession, sf_dir: str, name: str = "d") -> DataFrame:
-    chroms = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_returnflag").alias("chrom")).distinct()
+    chroms = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.expr(_CHROM.format(div="div")).alias("chrom")).distinct()
     b = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(BINS - 1).cast("bigint"))).alias("bin")
     rows = chroms.select(F.lit(name).alias("dataset"), "chrom", b)
     return rows.select("*", (F.col("bin") * RES).alias("start"), ((F.col("bin") + 1) * RES).alias("end"), (1 / (1 + F.col("bin") % 4)).alias("weight"))
@@ -93,7 +96,7 @@ def planted_domains(spark: SparkSession, sf_dir: str, size: int = 20) -> DataFra
 # DuckDB forms: CTEs c1, c2 (dataset d), bins, dA, dB, nest
 C1 = f"c1 AS ({_c1('lineitem', '//', None)})"
 C2 = f"{C1}, c2 AS ({_PLANTED.format(c1='SELECT * FROM c1', div='//')})"
-B = f"bins AS (SELECT chrom, bin, bin * {RES} AS s, (bin + 1) * {RES} AS e, 1.0 / (1 + bin % 4) AS w FROM (SELECT DISTINCT l_returnflag AS chrom FROM lineitem), (SELECT unnest(range(0, {BINS})) AS bin))"
+B = f"bins AS (SELECT chrom, bin, bin * {RES} AS s, (bin + 1) * {RES} AS e, 1.0 / (1 + bin % 4) AS w FROM (SELECT DISTINCT {_CHROM.format(div='//')} AS chrom FROM lineitem), (SELECT unnest(range(0, {BINS})) AS bin))"
 
 
 def _segments(k: int) -> str:
