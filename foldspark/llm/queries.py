@@ -22,7 +22,21 @@ def op1_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foldspark.llm.warc import archive_round_trip
 
-    return archive_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    read = archive_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return read.select("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+# the digest's 160 bits as four numbers of 40, each eight letters of five
+OP2_SQL = """
+WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+k AS (SELECT *, row_number() OVER (PARTITION BY html ORDER BY page_id DESC NULLS LAST, url DESC) AS place, count(*) OVER (PARTITION BY html) AS n, max(page_id) OVER (PARTITION BY html) AS most FROM p)
+SELECT page_id, url, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST((CAST('0x' || substr(h, 1 + 10 * (i // 8), 10) AS BIGINT) >> (35 - 5 * (i % 8))) & 31 AS BIGINT) + 1, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN n > 1 AND most IS NOT NULL AND place > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n > 1 AND most IS NOT NULL AND place > 1 THEN most END AS refers_to
+FROM k
+"""
 
 
 #: (host, path, verdict)
@@ -164,4 +178,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_link_graph_urls": _op3_sql(), "op4_minhash_groups": OP4_SQL, "op10_snapshot_collapse": OP10_SQL}
+    return {"op2_warc_normaliser": OP2_SQL, "op3_link_graph_urls": _op3_sql(), "op4_minhash_groups": OP4_SQL, "op10_snapshot_collapse": OP10_SQL}
