@@ -8,6 +8,7 @@ import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,19 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_LIVE: list[Scratch] = []
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """What operators leave in the shared folder inside this block goes at its end: their results must have been written by then."""
+    before = len(_LIVE)
+    yield
+    for scratch in _LIVE[before:]:
+        scratch.wipe()
+    del _LIVE[before:]
+
+
 class Scratch:
     """Tables written to the shared folder, so that a lost executor never costs more than one stage.
 
@@ -42,6 +56,7 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
         self.paths: list[str] = []
+        _LIVE.append(self)
         atexit.register(self._end)
 
     def path(self, name: str) -> str:
@@ -72,10 +87,16 @@ class Scratch:
         for path in [p for p in self.paths if p not in kept]:
             self.drop(path)
 
+    def wipe(self) -> None:
+        """Delete all tables."""
+        if self.paths:
+            self.drop(self.root)
+            self.paths = []
+
     def _end(self) -> None:
         try:
-            if self.paths and self.spark.sparkContext._jsc is not None:
-                self.drop(self.root)
+            if self.spark.sparkContext._jsc is not None:
+                self.wipe()
         except Exception:  # noqa: BLE001 - the session may be gone, and with it the way to the store
             pass
 
