@@ -15,7 +15,7 @@ from foldspark.llm.minhash import drop_near_duplicates
 from foldspark.llm.packing import pack
 from foldspark.llm.quality import keep_by_quality, train
 from foldspark.llm.rules import keep_by_rules
-from foldspark.llm.shared import Scratch
+from foldspark.llm.shared import Scratch, passing
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,10 +58,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each one's rows are written as Parquet and read again."""
+    """All stages over ``documents``; each one's rows are written as Parquet and read again, and what a stage left in the shared folder goes once they are written."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = scratch.table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with passing(spark):
+            docs = scratch.table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
         scratch.keep(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
