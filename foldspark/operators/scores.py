@@ -96,6 +96,11 @@ def donut(cells: DataFrame, sources: DataFrame, pw: int = 2, ww: int = 5) -> Dat
     return cells.join(got, [*KEY, "i", "j"])
 
 
+def corrected_expected(cells: DataFrame) -> DataFrame:
+    """Cells (e, seen, hoped, as :func:`donut` gives them) with ``corrected``, the expected value scaled by what is seen around over what is hoped for there (1 where nothing is)."""
+    return cells.withColumn("corrected", F.col("e") * F.col("seen") / F.when(F.col("hoped") == 0, 1.0).otherwise(F.col("hoped")))
+
+
 def blurred(cells: DataFrame, pixels: DataFrame, sizes: DataFrame, pw: int = 2) -> DataFrame:
     """``cells`` (i, j) with blur: sum of the upper triangle over the square around each, by the number of its cells whose bins both have a value in their column."""
     side = F.array(*[F.lit(k) for k in range(-pw, pw + 1)])
@@ -180,6 +185,23 @@ def drop_lone_clusters(points: DataFrame, keys: list[str]) -> DataFrame:
     return kept.withColumn("cluster", F.when(F.col("cluster") == -1, F.lit(-1)).otherwise(number)).drop("size")
 
 
+def cluster_radii(points: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, cluster, size, radius, density) of labelled points (id, x, y, core, cluster, min_points; -1 is noise), from every core point's min_points - 1 nearest other members.
+
+    With s the sum of their distances (of all others where there are fewer), radius is the mean of s / (min_points - 1), density that of its inverse; without any s > 0 it is null.
+    """
+    own = points.where("cluster >= 0").select(*keys, "cluster", "id", "x", "y", "core", "min_points")
+    far = own.select(*keys, "cluster", F.col("id").alias("id2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    gap = F.sqrt((F.col("x") - F.col("x2")) * (F.col("x") - F.col("x2")) + (F.col("y") - F.col("y2")) * (F.col("y") - F.col("y2")))
+    # a cluster is bounded by its domain's cells
+    pairs = own.where("core").join(far, [*keys, "cluster"]).where("id <> id2").withColumn("gap", gap)
+    place = F.row_number().over(Window.partitionBy(*keys, "cluster", "id").orderBy("gap", "id2"))
+    near = pairs.withColumn("place", place).where("place < min_points").groupBy(*keys, "cluster", "id", "min_points").agg(F.sum("gap").alias("s"))
+    k = F.col("min_points") - 1
+    got = near.groupBy(*keys, "cluster").agg(F.avg(F.col("s") / k).alias("radius"), F.avg(k / F.when(F.col("s") > 0, F.col("s"))).alias("density"))
+    return own.groupBy(*keys, "cluster").agg(F.count("*").alias("size")).join(got, [*keys, "cluster"], "left")
+
+
 def weighted_density(clusters: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, density, cover): densities of clusters (size, density, area, cells) weighted by their shares of clustered points, and hull areas by tested cells."""
     got = clusters.groupBy(*keys).agg((F.sum(F.col("density") * F.col("size")) / F.sum("size")).alias("density"), (F.sum("area") / F.max("cells")).alias("cover"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from foldspark.functions.expressions import strip_prefix
 from foldspark.operators import calls
 from foldspark.plans import plotdata
-from foldspark.plans.pipeline import EXCLUDED, Genome
+from foldspark.plans.pipeline import EXCLUDED, Genome, finest
 from foldspark.sources import io
 
 
@@ -77,14 +77,14 @@ def _more_partitions(spark: SparkSession, least: int) -> None:
 def call_hierarchy(spark: SparkSession, args: argparse.Namespace) -> None:
     _more_partitions(spark, args.cpu_core)
     sets = io.parse_datasets(spark.read.text(args.datasets, wholetext=True).first()[0])
-    res = min(sets)  # only the finest resolution reaches the output
-    maps = [io.open_map(spark, uri, label) for label, uri in sorted(sets[res].items())]
+    finest_sets = finest(sets)  # only the finest resolution reaches the output
+    maps = [io.open_map(spark, uri, label) for label, uri in sorted(finest_sets.items())]
     union = lambda parts: reduce(DataFrame.unionByName, parts)
     bins = union([m.bins.select("dataset", "chrom", "bin", "start", "end") for m in maps])
-    genome = Genome(union([m.pixels(args.weight_col) for m in maps]), bins, res, tuple(args.exclude), args.minimum_chrom_size)
+    genome = Genome(union([m.pixels(args.weight_col) for m in maps]), bins, min(sets), tuple(args.exclude), args.minimum_chrom_size)
     genome.learning()
     io.write_hierarchical(genome.call_hierarchy(args.maxsize), args.output, not args.parts)
-    for label, uri in sorted(sets[res].items()):
+    for label, uri in sorted(finest_sets.items()):
         io.put_index(spark, uri, genome.index_track().where(F.col("dataset") == label), args.DI_col)
     if args.removeCache:
         genome.wipe()

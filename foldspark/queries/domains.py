@@ -366,3 +366,14 @@ def dbscan_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters of points; held against plain loops in the tests."""
     p = _points(spark, sf_dir)
     return scores.dbscan_labels(p, scores.cluster_parameters(p, ["g"]), ["g"])
+
+
+@query(f"""WITH {_CLU}, m AS (SELECT g, id, x, y, c, id % 2 = 0 AS core, 6 AS k FROM cl WHERE c >= 0),
+pr AS (SELECT a.g, a.c, a.id, a.k, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d, b.id AS id2 FROM m a JOIN m b ON a.g = b.g AND a.c = b.c AND a.id <> b.id WHERE a.core),
+nr AS (SELECT g, c, id, k, sum(d) AS s FROM (SELECT *, row_number() OVER (PARTITION BY g, c, id ORDER BY d, id2) AS r FROM pr) WHERE r < k GROUP BY ALL),
+rd AS (SELECT g, c, avg(s / (k - 1)) AS radius, avg((k - 1) / nullif(s, 0)) AS density FROM nr GROUP BY ALL), sz AS (SELECT g, c, count(*) AS size FROM m GROUP BY ALL)
+SELECT g, c AS cluster, size, round(radius, 6) AS radius, round(density, 6) AS density FROM sz LEFT JOIN rd USING (g, c)""")
+def cluster_radii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Radius and density of labelled points, with fixed labels and core points."""
+    p = _points(spark, sf_dir).withColumns({"cluster": F.when(F.col("id") % 5 == 0, -1).otherwise(F.col("id") % 91), "core": F.col("id") % 2 == 0, "min_points": F.lit(6)})
+    return scores.cluster_radii(p, ["g"]).select("g", "cluster", "size", F.round("radius", 6).alias("radius"), F.round("density", 6).alias("density"))

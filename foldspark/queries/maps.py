@@ -320,6 +320,13 @@ def donut_background(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.donut(cells.select("dataset", "chrom", "i", "j"), cells).select("dataset", "chrom", "i", "j", _r("seen"), _r("hoped"))
 
 
+@query(f"""WITH {C2}, {_DONUT} SELECT 'd' AS dataset, dn.chrom, dn.i, dn.j, round(e * coalesce(seen, 0) / CASE WHEN coalesce(hoped, 0) = 0 THEN 1 ELSE hoped END, 5) AS corrected FROM dn JOIN oe USING (chrom, i, j)""")
+def corrected_expected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected contacts scaled by their surroundings."""
+    _, _, cells = _map_cells(spark, sf_dir)
+    return scores.corrected_expected(scores.donut(cells, cells)).select("dataset", "chrom", "i", "j", _r("corrected", 5))
+
+
 _BLUR = f"""fc AS (SELECT DISTINCT chrom, bin2 AS b FROM c2),
 nb AS (SELECT chrom, i, count(*) AS n FROM (SELECT chrom, unnest([b - 2, b - 1, b, b + 1, b + 2]) AS i FROM fc) WHERE i >= 0 AND i < {BINS} GROUP BY ALL),
 sq AS (SELECT x.k AS a, y.k AS b FROM (SELECT unnest(range(-2, 3)) AS k) x, (SELECT unnest(range(-2, 3)) AS k) y),

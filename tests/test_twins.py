@@ -272,6 +272,28 @@ def test_dbscan_labels(spark, sf):
     assert label.tolist() == [r[4] for r in rows] and core.tolist() == [r[3] for r in rows] and len(set(label)) > 4
 
 
+def test_cluster_radii(spark):
+    """Radius and density of a domain's clusters, as the grouped function has them."""
+    rng = np.random.default_rng(8)
+    m = rng.poisson(4, (60, 60)).astype(float)
+    m = np.triu(m) + np.triu(m, 1).T
+    for r, c in ((8, 40), (20, 50)):
+        m[r : r + 5, c : c + 5] += 50
+        m[c : c + 5, r : r + 5] += 50
+    own = feature.DomainMap(m)
+    own.significant_cells()
+    k = own.parameters()[1]
+    eps = max(own.parameters()[0], math.sqrt(2))
+    own.cluster()
+    _, core = feature.dbscan(own.points.astype(float), eps, k)
+    rows = [(0, i, int(x), int(y), bool(core[i]), int(own.labels[i]), k) for i, (x, y) in enumerate(own.points)]
+    df = spark.createDataFrame(rows, "g bigint, id bigint, x bigint, y bigint, core boolean, cluster bigint, min_points bigint")
+    got = {r["cluster"]: r for r in scores.cluster_radii(df, ["g"]).collect()}
+    assert len(got) == len(own.clusters) >= 1
+    for i, c in enumerate(own.clusters):
+        assert got[i]["size"] == c["size"] and got[i]["radius"] == pytest.approx(c["radius"]) and got[i]["density"] == pytest.approx(c["density"])
+
+
 def test_decay_fit(spark, sf1):
     """The spline from a full system of its cubics' coefficients, held from its first turn on."""
     rows = defaultdict(list)
