@@ -44,10 +44,9 @@ def smooth_decay(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     xi = np.linspace(x.min(), x.max(), int(few))
     out = cubic_through(xi, np.interp(xi, x, y), x.astype(float))
     slope = np.gradient(out)
-    turn = np.flatnonzero((slope[1:] >= 0) & (slope[:-1] <= 0))
-    if len(turn):
-        out[turn[0] :] = out[turn[0]]
-    return out
+    turned = (slope[:-1] <= 0) & (slope[1:] >= 0)
+    hold = int(turned.argmax()) if turned.any() else n - 1
+    return out[np.minimum(np.arange(n), hold)]
 
 
 def _boxes(m: np.ndarray, reach: int) -> np.ndarray:

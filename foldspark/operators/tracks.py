@@ -54,15 +54,16 @@ def _bias(within: Column, offsets: Column) -> Column:
     return F.when((n <= 1) | flat, F.lit(0.0)).otherwise((us - ds) / n / F.sqrt(spread))
 
 
-def directionality(pixels: DataFrame, windows: DataFrame, default: int) -> DataFrame:
+def directionality(pixels: DataFrame, windows: DataFrame, default: int, widest: int | None = None) -> DataFrame:
     """(bin, di) for every row of ``windows`` (bin, w): the bias over offsets 2 .. w - 1.
 
     A window of 0 is the default; a bias of 0 in a smaller window than the default is taken again in the default one. Not trimmed: see :func:`trim`.
+    ``widest``: a bound of the windows; where it is not given it is looked up first.
     """
     w = F.when(F.col("w") == 0, F.lit(default)).otherwise(F.col("w"))
     # a window may exceed the default: arms as wide as any window
     asked = windows.select(*BIN, w.cast("bigint").alias("w"))
-    reach = windows.agg(F.max("w")).first()[0] or 0
+    reach = widest if widest is not None else windows.agg(F.max("w")).first()[0] or 0
     near = arms(pixels, max(default, int(reach)))
     joined = asked.join(near, BIN, "left")
     own, wide = F.col("d") < F.col("w"), F.col("d") < F.lit(default)

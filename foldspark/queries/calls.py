@@ -19,7 +19,7 @@ ROUNDS = 200
 
 def _track(spark: SparkSession, sf_dir: str) -> DataFrame:
     px, b = views.pixels(spark, sf_dir), views.bins(spark, sf_dir)
-    return tracks.trim(tracks.directionality(px, calls.adaptive_windows(px, b, DEFAULT), DEFAULT))
+    return tracks.trim(tracks.directionality(px, calls.adaptive_windows(px, b, DEFAULT), DEFAULT, DEFAULT))
 
 
 def _models(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -131,7 +131,7 @@ def arm_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {C2}, {B}, {_ARMS}, {_di_sql('15', 'a')} SELECT 'd' AS dataset, chrom, bin, round(di, 6) + 0.0 AS di FROM a")
 def di_fixed_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tracks.directionality(views.pixels(spark, sf_dir), _fixed(spark, sf_dir, 15), 15).select("dataset", "chrom", "bin", _r("di"))
+    return tracks.directionality(views.pixels(spark, sf_dir), _fixed(spark, sf_dir, 15), 15, 15).select("dataset", "chrom", "bin", _r("di"))
 
 
 _FALLBACK = "CASE WHEN bin % 5 = 0 THEN 3 WHEN bin % 5 = 1 THEN 0 ELSE 15 END"
@@ -142,7 +142,7 @@ fb AS (SELECT b.chrom, b.bin, CASE b.bin % 5 WHEN 0 THEN CASE WHEN s.di <> 0 THE
 
 def _fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = views.bins(spark, sf_dir).select("dataset", "chrom", "bin", F.expr(_FALLBACK).alias("w"))
-    return tracks.directionality(views.pixels(spark, sf_dir), w, DEFAULT)
+    return tracks.directionality(views.pixels(spark, sf_dir), w, DEFAULT, DEFAULT)
 
 
 @query(f"WITH {C2}, {B}, {_ARMS}, {_FALLBACK_SQL} SELECT 'd' AS dataset, chrom, bin, round(di, 6) + 0.0 AS di FROM fb")
