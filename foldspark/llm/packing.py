@@ -4,8 +4,8 @@ Texts become token ids, then an end id; every document is cut into pieces of ``s
 ``size`` entries, whatever the corpus. Lengths are placed longest first, each into the pack with the most room left (the shortest pack), by
 counts of equal patterns and not by documents. The documents then meet their patterns by rank: the k-th piece of a length takes
 the k-th place that the patterns have for it. Full pieces are sequences of their own, numbered by the row of the pieces' table; the others, at most one a document, are ranked by (length, salt),
-with a salt for about every ``RANKED`` pieces of a length, so no length's pieces meet in one task. What is broadcast are a row a length and a row a (length, salt): at most
-``size`` + pieces / ``RANKED`` rows of 24 bytes (1.3 MB for 10^10 documents).
+with a salt for about every ``RANKED`` pieces of a length, so no length's pieces meet in one task. What is broadcast is a row a length, at most ``size``; the counts by (length, salt) are joined,
+dealt as the pieces are already.
 
 Defined cases: a null text is empty, and an empty document is its end id alone. Repeated rows are documents of their own; a null doc_id stays
 null. Other columns are ignored. An empty table gives an empty result. A text of any length is encoded whole.
@@ -26,7 +26,7 @@ from foldspark.llm.shared import Scratch, lean
 from foldspark.llm.tokens import ChunkEncoder
 
 #: Pieces of one length that are ranked together, about.
-RANKED = 200_000
+RANKED = 256
 
 _PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
@@ -146,7 +146,7 @@ def pack(docs: DataFrame, *, tokenizer: str, end_id: int = 1, size: int = 2048,
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     counts = scratch.table(counts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "counts")
     own = F.row_number().over(Window.partitionBy("length", "salt").orderBy("uid"))
-    rest = rest.withColumn("own", own).join(F.broadcast(counts), ["length", "salt"])
+    rest = rest.withColumn("own", own).join(counts, ["length", "salt"])
     rest = rest.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("before") + F.col("own") - 1).alias("rank"))
     rest = rest.mapInArrow(lean(_place(places)), f"{_PIECES}, sequence_id bigint, offset bigint")
     full = pieces.where(F.col("length") == size)
