@@ -34,8 +34,8 @@ MISS = 1e-7
 #: Bins of a signature at most.
 MOST_BINS = 256
 _ATTEMPTS = 2048
-#: Shingles of a block of a family: 8 bytes each.
-BLOCK = 1 << 20
+#: Shingles of a block of a family at most (8 bytes each), and those from which on it is split, into at most ``SPREAD`` blocks, for the sake of more tasks.
+BLOCK, SPLIT, SPREAD = 1 << 20, 1 << 14, 32
 
 
 def banding(similarity: float, miss: float = MISS, most_bins: int = MOST_BINS) -> tuple[int, int]:
@@ -203,6 +203,7 @@ def _rest(buckets: DataFrame, comps: DataFrame, sets: DataFrame, percent: int, s
     families = components(spans.select(F.col("id").alias("a"), F.col("least").alias("b")), scratch).withColumnRenamed("comp", "fam")
     nodes = scratch.table(spans.select("id", "n", "comp").distinct().join(families, "id"), "nodes")
     scratch.drop(spans)
+    blocks = lambda n: F.expr(f"cast(greatest(({n}) div {BLOCK} + 1, least({SPREAD}, ({n}) div {SPLIT} + 1)) as int)")
     part = nodes.groupBy("fam", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
     fams = part.groupBy("fam").agg(
         F.max(F.struct("c", "comp")).alias("most"), F.sum("n").alias("n"), F.max_by("n", F.struct("c", "comp")).alias("inside"), F.sum("c").alias("k")
@@ -212,8 +213,8 @@ def _rest(buckets: DataFrame, comps: DataFrame, sets: DataFrame, percent: int, s
             "fam",
             "k",
             F.col("most.comp").alias("largest"),
-            F.expr(f"cast(n div {BLOCK} + 1 as int)").alias("nt"),
-            F.expr(f"cast((n - inside) div {BLOCK} + 1 as int)").alias("nq"),
+            blocks("n").alias("nt"),
+            blocks("n - inside").alias("nq"),
         ),
         "fams",
     )
