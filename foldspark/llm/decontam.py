@@ -13,7 +13,7 @@ there or, as an answer may stand far behind its question, anywhere in the text.
 
 The index is built by Spark in shards of about ``SHARD`` words, written to the shared folder and read by the workers: texts are scanned once, whatever the number of
 shards, and the driver holds the shards' names only. Document frequencies cover all items. A worker keeps ``CACHE`` bytes of shards; beyond that it reads them again for every
-``GROUP`` bytes of text. Windows are searched in groups of bounded size, so a text of any length costs its own size, its word numbers (4 bytes a word) and, if it
+``FAR_GROUP`` characters of text. Windows are searched in groups of bounded size, so a text of any length costs its own size, its word numbers (4 bytes a word) and, if it
 holds a candidate, the sorted pairs of these.
 
 Defined cases: null or empty texts and items never match. An item with a null item_id is an item like any other, reported with a null item_id; several of them that match one
@@ -42,10 +42,12 @@ SEGMENT = 64
 BLOCK = 8
 #: Words of the items of one shard, about.
 SHARD = 1_000_000
-#: Bytes of shards that a worker keeps, and of texts that meet a shard that it does not keep.
-CACHE, GROUP = 1 << 28, 1 << 23
-#: Characters that are cut into words at once, and (window, block) cells that are summed at once.
-STRETCH, CELLS = 1 << 20, 1 << 21
+#: Bytes of shards that a worker keeps, and characters of texts that meet the shards together: few where all shards are kept, more where they are read again.
+CACHE, GROUP, FAR_GROUP = 1 << 28, 1 << 21, 1 << 24
+#: Shards that a worker can keep, about.
+NEAR = 3
+#: Characters (or words) that are worked on at once, and (window, block) cells that are summed at once.
+STRETCH, CELLS = 1 << 18, 1 << 19
 K1, B = 1.2, 0.75
 #: Share of a segment's self-score that makes it a candidate.
 THRESHOLD = 0.6
@@ -358,12 +360,12 @@ def _shards(uris: list[str]) -> Iterator[Index]:
         yield index
 
 
-def _groups(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
-    """(first row, texts) of about ``GROUP`` bytes."""
-    first, group, size = 0, [], 0
+def _groups(texts: pa.Array, shards: int) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) of about ``GROUP`` characters, or ``FAR_GROUP`` where there are many shards."""
+    most, first, group, size = GROUP if shards <= NEAR else FAR_GROUP, 0, [], 0
     for i, x in enumerate(texts):
         text = x.as_py() or ""
-        if group and size + len(text) > GROUP:
+        if group and size + len(text) > most:
             yield first, group
             first, group, size = i, [], 0
         group.append(text)
@@ -380,7 +382,7 @@ def contaminated(docs: DataFrame, items: DataFrame, *, shard: int = SHARD) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for at, group in _groups(batch.column(1)):
+            for at, group in _groups(batch.column(1), len(uris)):
                 texts = Texts(group)
                 rows = [(ids[at + t], *best) for index in _shards(uris) for t, *best in texts.match(index)]
                 cols = list(zip(*rows, strict=True)) or [[]] * 5
@@ -400,7 +402,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, *, shard: int = SHARD)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.ones(len(batch), bool)
-            for first, group in _groups(batch.column(at)):
+            for first, group in _groups(batch.column(at), len(uris)):
                 texts = Texts(group)
                 for index in _shards(uris):
                     keep[[first + t for t, *_ in texts.match(index)]] = False
