@@ -83,12 +83,11 @@ def donut(cells: DataFrame, sources: DataFrame, pw: int = 2, ww: int = 5) -> Dat
     """
     side = F.array(*[F.lit(k) for k in range(-ww, ww + 1) if k])
     sent = sources.select(*KEY, "i", F.col("j").alias("c"), "o", "e", F.explode(side).alias("b"))
-    wide = lambda x: F.sum(x)
-    ring = lambda x: F.sum(F.when(F.abs("b") > pw, F.col(x)).otherwise(0.0))
-    sums = sent.groupBy(*KEY, "i", (F.col("c") - F.col("b")).alias("j")).agg(wide("o").alias("wo"), wide("e").alias("we"), ring("o").alias("ro"), ring("e").alias("re"), F.lit(0).alias("asked"))
-    asked = cells.select(*KEY, "i", "j", *[F.lit(0.0).alias(c) for c in ("wo", "we", "ro", "re")], F.lit(1).alias("asked")).distinct()
-    # one row a cell, whether sent, asked for or both
-    rows = sums.unionByName(asked).groupBy(*KEY, "i", "j").agg(*[F.sum(c).alias(c) for c in ("wo", "we", "ro", "re")], F.max("asked").alias("asked"))
+    sent = sent.select(*KEY, "i", (F.col("c") - F.col("b")).alias("j"), "o", "e", (F.abs("b") > pw).alias("far"), F.lit(0).alias("asked"))
+    asked = cells.select(*KEY, "i", "j", F.lit(0.0).alias("o"), F.lit(0.0).alias("e"), F.lit(False).alias("far"), F.lit(1).alias("asked"))
+    # one row a cell, whether sent, asked for or both: sums over the columns around (w), and without the near ones (r)
+    ring = lambda x: F.sum(F.when(F.col("far"), F.col(x)).otherwise(0.0)).alias("r" + x)
+    rows = sent.unionByName(asked).groupBy(*KEY, "i", "j").agg(F.sum("o").alias("wo"), F.sum("e").alias("we"), ring("o"), ring("e"), F.max("asked").alias("asked"))
     by = Window.partitionBy(*KEY, "j").orderBy("i")
     frames = {"w": [by.rangeBetween(-ww, -pw - 1), by.rangeBetween(pw + 1, ww)], "r": [by.rangeBetween(-pw, -1), by.rangeBetween(1, pw)]}
     total = lambda x: sum((F.coalesce(F.sum(k + x).over(f), F.lit(0.0)) for k, fs in frames.items() for f in fs), F.lit(0.0))
@@ -105,9 +104,9 @@ def blurred(cells: DataFrame, pixels: DataFrame, sizes: DataFrame, pw: int = 2)
     """``cells`` (i, j) with blur: sum of the upper triangle over the square around each, by the number of its cells whose bins both have a value in their column."""
     side = F.array(*[F.lit(k) for k in range(-pw, pw + 1)])
     sent = pixels.select(*KEY, F.col("bin1").alias("i"), F.col("bin2").alias("c"), "v", F.explode(side).alias("b"))
-    sums = sent.groupBy(*KEY, "i", (F.col("c") - F.col("b")).alias("j")).agg(F.sum("v").alias("s"), F.lit(0).alias("asked"))
-    asked = cells.select(*KEY, "i", "j", F.lit(0.0).alias("s"), F.lit(1).alias("asked")).distinct()
-    rows = sums.unionByName(asked).groupBy(*KEY, "i", "j").agg(F.sum("s").alias("s"), F.max("asked").alias("asked"))
+    sent = sent.select(*KEY, "i", (F.col("c") - F.col("b")).alias("j"), F.col("v").alias("s"), F.lit(0).alias("asked"))
+    asked = cells.select(*KEY, "i", "j", F.lit(0.0).alias("s"), F.lit(1).alias("asked"))
+    rows = sent.unionByName(asked).groupBy(*KEY, "i", "j").agg(F.sum("s").alias("s"), F.max("asked").alias("asked"))
     square = F.sum("s").over(Window.partitionBy(*KEY, "j").orderBy("i").rangeBetween(-pw, pw))
     sums = rows.withColumn("s", square).where("asked = 1").select(*KEY, "i", "j", "s")
     # the count is a product: full columns near i times full columns near j
