@@ -13,7 +13,7 @@ import pytest
 
 pytest.importorskip("foldspark.llm")
 import public_tokenizers as P  # noqa: E402
-from llm_brute import bands_brute, check_pieces, components_brute, rules_brute  # noqa: E402
+from llm_brute import check_pieces, components_brute, rules_brute  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
