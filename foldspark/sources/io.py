@@ -175,11 +175,6 @@ def with_index_column(bins: DataFrame, track: DataFrame, name: str = "di") -> Da
     return out.withColumn(name, F.coalesce(name, F.lit(0.0)))
 
 
-def write_index(bins: DataFrame, track: DataFrame, path: str, name: str = "di") -> None:
-    """The bins table of a map with its index column renewed, gzip-compressed."""
-    with_index_column(bins, track, name).write.mode("overwrite").option("compression", "gzip").partitionBy("chrom").parquet(path)
-
-
 def put_index(spark: SparkSession, path: str, track: DataFrame, name: str = "di") -> None:
     """Write the index of ``track`` into a map's own bins table as column ``name``. The new table is written whole beside the old one, which then makes room for it."""
     new, old = f"{path}/_bins-new", f"{path}/_bins-old"

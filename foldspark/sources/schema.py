@@ -1,9 +1,6 @@
-"""Schemas of the tables that readers give. Every reader names its columns; nothing is inferred."""
+"""Schemas of the tables that readers give. Only a map's bins keep the columns of their files, whatever they are."""
 
 CHROMS = "chrom string, length bigint"
-BINS = "dataset string, chrom string, bin bigint, start bigint, end bigint, weight double, di double"
 RAW = "dataset string, chrom string, bin1 bigint, bin2 bigint, count double"
-PIXELS = "dataset string, chrom string, bin1 bigint, bin2 bigint, v double"
-DOMAINS = "set_id string, chrom string, start bigint, end bigint, level bigint"
 LOOPS = "chrom1 string, start1 bigint, end1 bigint, chrom2 string, start2 bigint, end2 bigint"
 DATASETS = "res bigint, label string, uri string"
