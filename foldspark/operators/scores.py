@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable, Iterable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldspark.operators.matrix import KEY
@@ -76,23 +81,72 @@ def subdomain_scores(pixels: DataFrame, outer: DataFrame, keys: DataFrame) -> Da
     return out.select(*DOMAIN, "o_bin", "e_bin", F.when(F.col("n") > 3, F.col("m")).otherwise(F.lit(0.0)).alias("score"))
 
 
-def donut(cells: DataFrame, sources: DataFrame, pw: int = 2, ww: int = 5) -> DataFrame:
-    """``cells`` (i, j) with seen and hoped: sums of ``sources`` (i, j, o, e) over the square around each without the inner one and the middle row and column.
+#: Bins along a side of a tile of cells.
+TILE = 256
+
+
+def _tiles(c: str, reach: int) -> Column:
+    """The tiles whose cells are within ``reach`` of a bin."""
+    return F.explode(F.array_distinct(F.array(F.floor((F.col(c) - reach) / TILE), F.floor((F.col(c) + reach) / TILE))))
+
+
+def _shifted(grid: np.ndarray, offsets: Iterable[int], reach: int, axis: int) -> np.ndarray:
+    """Sums of ``grid`` at ``offsets`` along an axis, which becomes shorter by ``reach`` on both sides."""
+    n = grid.shape[axis] - 2 * reach
+    return sum(grid[reach + k : reach + k + n] if axis == 0 else grid[:, reach + k : reach + k + n] for k in offsets)
+
+
+def _stencil(cells: DataFrame, sent: DataFrame | None, values: list[str], reach: int, added: list[str], run: Callable[..., list[np.ndarray]], lines: DataFrame | None = None) -> DataFrame:
+    """``cells`` (i, j: bins from 0) with the doubles ``added`` that ``run`` gives for their tile from grids of ``values`` (sums by cell, 0 elsewhere), ``reach`` wider than the tile on every side.
 
-    Every source goes to the 2 ``ww`` columns around it; sums over the rows are windows over each column.
+    ``sent`` (i, j, values; ``cells`` themselves where it is None) go to the tiles they reach. ``lines`` (n_bins, at, n) go to the tiles of row and of column ``at``: ``run`` gets n of the
+    tile's rows and of its columns too. A group is a tile with what reaches it, whatever the chromosome's length.
     """
-    side = F.array(*[F.lit(k) for k in range(-ww, ww + 1) if k])
-    sent = sources.select(*KEY, "i", F.col("j").alias("c"), "o", "e", F.explode(side).alias("b"))
-    sent = sent.select(*KEY, "i", (F.col("c") - F.col("b")).alias("j"), "o", "e", (F.abs("b") > pw).alias("far"), F.lit(0).alias("asked"))
-    asked = cells.select(*KEY, "i", "j", F.lit(0.0).alias("o"), F.lit(0.0).alias("e"), F.lit(False).alias("far"), F.lit(1).alias("asked"))
-    # one row a cell, whether sent, asked for or both: sums over the columns around (w), and without the near ones (r)
-    ring = lambda x: F.sum(F.when(F.col("far"), F.col(x)).otherwise(0.0)).alias("r" + x)
-    rows = sent.unionByName(asked).groupBy(*KEY, "i", "j").agg(F.sum("o").alias("wo"), F.sum("e").alias("we"), ring("o"), ring("e"), F.max("asked").alias("asked"))
-    by = Window.partitionBy(*KEY, "j").orderBy("i")
-    frames = {"w": [by.rangeBetween(-ww, -pw - 1), by.rangeBetween(pw + 1, ww)], "r": [by.rangeBetween(-pw, -1), by.rangeBetween(1, pw)]}
-    total = lambda x: sum((F.coalesce(F.sum(k + x).over(f), F.lit(0.0)) for k, fs in frames.items() for f in fs), F.lit(0.0))
-    got = rows.withColumns({"seen": total("o"), "hoped": total("e")}).where("asked = 1").select(*KEY, "i", "j", "seen", "hoped")
-    return cells.join(got, [*KEY, "i", "j"])
+    names = cells.columns
+    near = lambda df: df.withColumn("_ti", _tiles("i", reach)).withColumn("_tj", _tiles("j", reach)).withColumn("_kind", F.lit(0))
+    tile = lambda c: F.floor(F.col(c) / TILE)
+    if sent is None:
+        rows = near(cells).withColumn("_own", (tile("i") == F.col("_ti")) & (tile("j") == F.col("_tj")))
+    else:
+        rows = cells.select("*", tile("i").alias("_ti"), tile("j").alias("_tj"), F.lit(True).alias("_own"))
+        rows = rows.unionByName(near(sent.select(*KEY, "i", "j", *[F.col(v).alias("_" + v) for v in values])).withColumn("_own", F.lit(False)), True)
+        values = ["_" + v for v in values]
+    if lines is not None:
+        wide = lines.select(*KEY, "at", "n", tile("at").alias("t"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n_bins") - 1) / TILE))).alias("u"))
+        way = lambda ti, tj, kind: F.struct(F.col(ti).alias("_ti"), F.col(tj).alias("_tj"), F.lit(kind).alias("_kind"))
+        wide = wide.select(*KEY, F.col("at").alias("i"), F.col("n").cast("double").alias("_n"), F.explode(F.array(way("t", "u", 1), way("u", "t", 2))).alias("w"))
+        rows = rows.unionByName(wide.select(*KEY, "i", "_n", "w.*", F.lit(False).alias("_own")), True)
+    side, lined = TILE + 2 * reach, lines is not None
+
+    def fill(table: pa.Table) -> pa.Table:
+        out = table.filter(table.column("_own")).select(names)
+        if not out.num_rows:
+            return pa.table({**{c: out.column(c) for c in names}, **{c: pa.array([], pa.float64()) for c in added}})
+        ti, tj = table.column("_ti")[0].as_py(), table.column("_tj")[0].as_py()
+        of = lambda kind: table.filter(pc.equal(table.column("_kind"), kind))
+        give = of(0)
+        i, j = (give.column(c).to_numpy() - t * TILE + reach for c, t in (("i", ti), ("j", tj)))
+        parts = [np.bincount(i * side + j, give.column(v).to_numpy(), side * side).reshape(side, side) for v in values]
+        if lined:
+            parts += [np.bincount(x.column("i").to_numpy() - t * TILE, x.column("_n").to_numpy(), TILE) for x, t in ((of(1), ti), (of(2), tj))]
+        x, y = out.column("i").to_numpy() - ti * TILE, out.column("j").to_numpy() - tj * TILE
+        for name, grid in zip(added, run(*parts), strict=True):
+            out = out.append_column(name, pa.array(grid[x, y], pa.float64()))
+        return out
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema.fields) + "".join(f", {c} double" for c in added)
+    return rows.groupBy(*KEY, "_ti", "_tj").applyInArrow(fill, schema)
+
+
+def donut(cells: DataFrame, sources: DataFrame, pw: int = 2, ww: int = 5) -> DataFrame:
+    """``cells`` (i, j) with seen and hoped: sums of ``sources`` (i, j, o, e) over the square around each without the inner one and the middle row and column."""
+    wide = [k for k in range(-ww, ww + 1) if k]
+    far, close = ([k for k in wide if (abs(k) > pw) is side] for side in (True, False))
+
+    def ring(*grids: np.ndarray) -> list[np.ndarray]:
+        return [_shifted(_shifted(g, wide, ww, 1), far, ww, 0) + _shifted(_shifted(g, far, ww, 1), close, ww, 0) for g in grids]
+
+    return _stencil(cells, None if sources is cells else sources, ["o", "e"], ww, ["seen", "hoped"], ring)
 
 
 def corrected_expected(cells: DataFrame) -> DataFrame:
@@ -102,22 +156,17 @@ def corrected_expected(cells: DataFrame) -> DataFrame:
 
 def blurred(cells: DataFrame, pixels: DataFrame, sizes: DataFrame, pw: int = 2) -> DataFrame:
     """``cells`` (i, j) with blur: sum of the upper triangle over the square around each, by the number of its cells whose bins both have a value in their column."""
-    side = F.array(*[F.lit(k) for k in range(-pw, pw + 1)])
-    sent = pixels.select(*KEY, F.col("bin1").alias("i"), F.col("bin2").alias("c"), "v", F.explode(side).alias("b"))
-    sent = sent.select(*KEY, "i", (F.col("c") - F.col("b")).alias("j"), F.col("v").alias("s"), F.lit(0).alias("asked"))
-    asked = cells.select(*KEY, "i", "j", F.lit(0.0).alias("s"), F.lit(1).alias("asked"))
-    rows = sent.unionByName(asked).groupBy(*KEY, "i", "j").agg(F.sum("s").alias("s"), F.max("asked").alias("asked"))
-    square = F.sum("s").over(Window.partitionBy(*KEY, "j").orderBy("i").rangeBetween(-pw, pw))
-    sums = rows.withColumn("s", square).where("asked = 1").select(*KEY, "i", "j", "s")
+    square = range(-pw, pw + 1)
     # the count is a product: full columns near i times full columns near j
     full = pixels.select(*KEY, F.col("bin2").alias("bin")).distinct()
     near = full.select(*KEY, F.explode(F.sequence(F.col("bin") - pw, F.col("bin") + pw)).alias("at")).groupBy(*KEY, "at").agg(F.count("*").alias("n"))
-    near = near.join(sizes.select(*KEY, F.col("n").alias("n_bins")), KEY).where("at >= 0 and at < n_bins").select(*KEY, "at", "n")
-    out = cells.join(sums, [*KEY, "i", "j"])
-    for c in ("i", "j"):
-        out = out.join(near.select(*KEY, F.col("at").alias(c), F.col("n").alias("n" + c)), [*KEY, c], "left")
-    count = F.coalesce(F.col("ni") * F.col("nj"), F.lit(0))
-    return out.select(*cells.columns, F.when(count > 0, F.coalesce("s", F.lit(0.0)) / count).otherwise(F.lit(0.0)).alias("blur"))
+    near = near.join(sizes.select(*KEY, F.col("n").alias("n_bins")), KEY).where("at >= 0 and at < n_bins")
+
+    def mean(grid: np.ndarray, ni: np.ndarray, nj: np.ndarray) -> list[np.ndarray]:
+        count = np.outer(ni, nj)
+        return [np.where(count > 0, _shifted(_shifted(grid, square, pw, 1), square, pw, 0) / np.maximum(count, 1), 0.0)]
+
+    return _stencil(cells, pixels.select(*KEY, F.col("bin1").alias("i"), F.col("bin2").alias("j"), "v"), ["v"], pw, ["blur"], mean, near)
 
 
 def top_cells(cells: DataFrame, top: float = 0.7, ratio: float = 0.05) -> DataFrame:

@@ -305,12 +305,12 @@ dn AS (SELECT oe.chrom, oe.i, oe.j, seen, hoped FROM oe LEFT JOIN snt USING (chr
 def _map_cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(pixels, sizes, cells with o and e)."""
     px, n = views.pixels(spark, sf_dir), views.sizes(spark, sf_dir)
-    decay = matrix.distance_decay(px, n)
-    upto = lambda a, b: F.explode(F.sequence(a, b))
-    zero = F.lit(0).cast("bigint")
-    grid = n.select("dataset", "chrom", "n", upto(zero, F.col("n") - 6).alias("i")).select("dataset", "chrom", "i", upto(F.col("i") + 5, F.col("n") - 1).alias("j"))
-    cells = grid.join(px.select("dataset", "chrom", F.col("bin1").alias("i"), F.col("bin2").alias("j"), "v"), ["dataset", "chrom", "i", "j"], "left").withColumn("d", F.col("j") - F.col("i"))
-    cells = cells.join(decay, ["dataset", "chrom", "d"]).select("dataset", "chrom", "i", "j", F.coalesce("v", F.lit(0.0)).alias("o"), F.col("mean_v").alias("e"))
+    # the decay has every distance: its rows give the cells; exploded in as many tasks as a shuffle has
+    decay = matrix.distance_decay(px, n).where("d >= 5").join(n, ["dataset", "chrom"]).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "dataset", "chrom", "d")
+    grid = decay.select("dataset", "chrom", "d", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1 - F.col("d"))).alias("i"), "mean_v")
+    grid = grid.select("dataset", "chrom", "i", (F.col("i") + F.col("d")).alias("j"), "mean_v")
+    cells = grid.join(px.select("dataset", "chrom", F.col("bin1").alias("i"), F.col("bin2").alias("j"), "v"), ["dataset", "chrom", "i", "j"], "left")
+    cells = cells.select("dataset", "chrom", "i", "j", F.coalesce("v", F.lit(0.0)).alias("o"), F.col("mean_v").alias("e"))
     return px, n, cells
 
 

@@ -3,9 +3,10 @@
 import random
 from bisect import bisect_left, bisect_right
 
+import numpy as np
 import pytest
 
-from foldspark.operators import graph, intervals
+from foldspark.operators import graph, intervals, scores
 
 
 @pytest.mark.parametrize("together, kind", [(2_000_000, "bigint"), (500, "string")])
@@ -43,3 +44,34 @@ def test_nearest_boundaries_in_running_frames(spark):
         nearest = bounds[right] if abs(bounds[right] - p) < abs(bounds[left] - p) else bounds[left]
         first, last = min(bisect_right(bounds, p - 5), left), max(bisect_left(bounds, p + 5) - 1, right)
         assert got[p] == (nearest, max(first - 1, 0), min(last + 1, len(bounds) - 1))
+
+
+def test_stencils_over_tiles(spark):
+    """Each cell is sent to the tiles it reaches and not to every column around it; sums across the borders of tiles, on 300 bins, against whole arrays."""
+    draw, n = np.random.default_rng(5), 300
+    at = np.array([(i, j) for i, j in zip(*np.triu_indices(n, 5), strict=True) if abs(i - 256) < 9 or abs(j - 256) < 9 or j - i < 7])
+    o, e = draw.integers(0, 5, len(at)).astype(float), draw.random(len(at))
+    cells = spark.createDataFrame([("d", "c", int(i), int(j), float(a), float(b)) for (i, j), a, b in zip(at, o, e, strict=True)], "dataset string, chrom string, i bigint, j bigint, o double, e double")
+    pad = np.zeros((2, n + 10, n + 10))
+    pad[:, at[:, 0] + 5, at[:, 1] + 5] = o, e
+    near = [(a, b) for a in range(-5, 6) for b in range(-5, 6)]
+    sums = lambda offsets: sum(pad[:, 5 + a : 5 + a + n, 5 + b : 5 + b + n] for a, b in offsets)
+    want = sums([(a, b) for a, b in near if a and b and (abs(a) > 2 or abs(b) > 2)])
+    for sources in (cells, cells.select("*")):
+        df = scores.donut(cells, sources)
+        assert "Window" not in df._jdf.queryExecution().executedPlan().toString()
+        got = df.collect()
+        assert len(got) == len(at)
+        for r in got:
+            assert [r["seen"], r["hoped"]] == pytest.approx(want[:, r["i"], r["j"]], abs=1e-9)
+    pixels = cells.where("o > 0").selectExpr("dataset", "chrom", "i AS bin1", "j AS bin2", "o AS v")
+    df = scores.blurred(cells, pixels, spark.createDataFrame([("d", "c", n)], "dataset string, chrom string, n bigint"))
+    assert "Window" not in df._jdf.queryExecution().executedPlan().toString()
+    full = np.zeros(n + 4)
+    full[at[o > 0, 1] + 2] = 1
+    count = sum(full[k : k + n] for k in range(5))
+    want = sums([(a, b) for a, b in near if abs(a) <= 2 and abs(b) <= 2])[0] / np.maximum(np.outer(count, count), 1)
+    got = df.collect()
+    assert len(got) == len(at)
+    for r in got:
+        assert r["blur"] == pytest.approx(want[r["i"], r["j"]], abs=1e-9)
