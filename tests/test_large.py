@@ -1,12 +1,14 @@
 """Work that must not grow with the square of a table, or with a path's length: larger inputs than the other tests, against plain loops."""
 
 import random
+import time
 from bisect import bisect_left, bisect_right
+from collections import defaultdict
 
 import numpy as np
 import pytest
 
-from foldspark.operators import graph, intervals, scores
+from foldspark.operators import graph, hierarchy, intervals, scores
 
 
 @pytest.mark.parametrize("together, kind", [(2_000_000, "bigint"), (500, "string")])
@@ -70,8 +72,35 @@ def test_stencils_over_tiles(spark):
     full = np.zeros(n + 4)
     full[at[o > 0, 1] + 2] = 1
     count = sum(full[k : k + n] for k in range(5))
-    want = sums([(a, b) for a, b in near if abs(a) <= 2 and abs(b) <= 2])[0] / np.maximum(np.outer(count, count), 1)
+    count = np.outer(count, count)
+    want = np.where(count > 0, sums([(a, b) for a, b in near if abs(a) <= 2 and abs(b) <= 2])[0] / np.maximum(count, 1), 0)
     got = df.collect()
     assert len(got) == len(at)
     for r in got:
         assert r["blur"] == pytest.approx(want[r["i"], r["j"]], abs=1e-9)
+
+
+def test_alignment_of_long_chromosomes():
+    """Two hierarchies of 10,000 domains and their blocks: once through all domains for each would take minutes. Levels, inner domains and outermost ones against plain loops on a smaller set."""
+    draw = random.Random(11)
+    ends = [sorted(draw.sample(range(120_000), 10_000)) for _ in range(2)]
+    began = time.process_time()
+    sets = []
+    for e in ends:
+        spans = list(zip(e, e[1:], strict=False))
+        blocks = defaultdict(list)
+        for s in spans:
+            blocks[s[0] // 120].append(s)
+        sets.append(hierarchy.DomainSet(hierarchy.levels(spans + [(b[0][0], b[-1][1]) for b in blocks.values()]), 1))
+    there, back = hierarchy.align(*sets)
+    rows = hierarchy.boundary_classes(there, *sets)
+    assert there.outer and there.inner and {t for _, t, _ in rows} == set(sets[0].bounds)
+    assert hierarchy.inner_changed(there, back, *sets) <= set(there.outer)
+    assert time.process_time() - began < 30
+    spans = sorted({(s, s + draw.randrange(0, 90)) for s in (draw.randrange(400) for _ in range(150))})
+    rows = hierarchy.levels(spans)
+    assert rows == [(s, e, sum(a <= s and e <= b for a, b in spans) - 1) for s, e in spans]
+    d = hierarchy.DomainSet(rows, 1)
+    assert all(d.inner[x] == [y for y in d.domains if y[0] >= x[0] and y[1] <= x[1]] for x in d.domains)
+    plain = lambda s, e, nodes: {k: v for x in nodes if x[0] < e and x[1] > s for k, v in ({x[:2]: x[2]} if x[0] >= s and x[1] <= e else plain(s, e, d.children[x])).items()}
+    assert all(d.maximal(s, s + w) == plain(s, s + w, d.roots) for s in range(-5, 420, 7) for w in (3, 40, 150))
