@@ -233,21 +233,95 @@ def drop_lone_clusters(points: DataFrame, keys: list[str]) -> DataFrame:
     return kept.withColumn("cluster", F.when(F.col("cluster") == -1, F.lit(-1)).otherwise(number)).drop("size")
 
 
+#: Positions of a leaf, which are compared with all near leaves at once.
+LEAF = 64
+
+
+def _leaves(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    """Places of points in halves of halves along the longer side, until ``LEAF`` or fewer are left."""
+    todo, out = [np.arange(len(x))], []
+    while todo:
+        at = todo.pop()
+        if len(at) <= LEAF:
+            out.append(at)
+            continue
+        side = x if np.ptp(x[at]) >= np.ptp(y[at]) else y
+        half = np.argpartition(side[at], len(at) // 2)
+        todo += [at[half[: len(at) // 2]], at[half[len(at) // 2 :]]]
+    return out
+
+
+def near_distances(x: np.ndarray, y: np.ndarray, n: np.ndarray, asked: np.ndarray, k: int) -> np.ndarray:
+    """The ``k`` least distances, in order, from each of the positions ``asked`` to the other points; ``n``: points by (distinct) position. Inf where there are fewer.
+
+    Of a position at most k + 1 points can be among the nearest. The distances in a point's own leaf bound its search: only leaves as near as that can hold nearer ones.
+    """
+    copies = np.repeat(np.arange(len(x)), np.minimum(n, k + 1))
+    px, py = x[copies].astype(float), y[copies].astype(float)
+    parts = _leaves(px, py)
+    box = np.array([[px[p].min(), px[p].max(), py[p].min(), py[p].max()] for p in parts])
+    first = np.full(len(x), -1)
+    first[copies[::-1]] = np.arange(len(copies))[::-1]
+    want = np.zeros(len(copies), bool)
+    want[first[asked]] = True
+    out = np.full((len(x), k), np.inf)
+
+    def least(mine: np.ndarray, others: np.ndarray) -> np.ndarray:
+        d = np.sqrt((px[mine][:, None] - px[others]) ** 2 + (py[mine][:, None] - py[others]) ** 2)
+        d[mine[:, None] == others] = np.inf
+        if d.shape[1] > k:
+            d = np.partition(d, k - 1, axis=1)[:, :k]
+        d.sort(axis=1)
+        return d
+
+    for part in parts:
+        mine = part[want[part]]
+        if not len(mine):
+            continue
+        own = least(mine, part)
+        bound = own[:, k - 1].max() if own.shape[1] >= k else np.inf
+        low_x, high_x, low_y, high_y = px[mine].min(), px[mine].max(), py[mine].min(), py[mine].max()
+        gap_x, gap_y = np.maximum(0, np.maximum(box[:, 0] - high_x, low_x - box[:, 1])), np.maximum(0, np.maximum(box[:, 2] - high_y, low_y - box[:, 3]))
+        near = np.flatnonzero(gap_x**2 + gap_y**2 <= bound**2 * (1 + 1e-9))
+        got = least(mine, np.concatenate([parts[q] for q in near]))
+        out[copies[mine], : got.shape[1]] = got
+    return out
+
+
 def cluster_radii(points: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, cluster, size, radius, density) of labelled points (id, x, y, core, cluster, min_points; -1 is noise), from every core point's min_points - 1 nearest other members.
 
-    With s the sum of their distances (of all others where there are fewer), radius is the mean of s / (min_points - 1), density that of its inverse; without any s > 0 it is null.
+    With s the sum of their distances (of all others where there are fewer), radius is the mean of s / (min_points - 1), density that of its inverse; without any s > 0 it is null. Points
+    of one position are counted first; a group is the positions of one cluster, and no pairs of points are made but those of near leaves.
     """
-    own = points.where("cluster >= 0").select(*keys, "cluster", "id", "x", "y", "core", "min_points")
-    far = own.select(*keys, "cluster", F.col("id").alias("id2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    gap = F.sqrt((F.col("x") - F.col("x2")) * (F.col("x") - F.col("x2")) + (F.col("y") - F.col("y2")) * (F.col("y") - F.col("y2")))
-    # a cluster is bounded by its domain's cells
-    pairs = own.where("core").join(far, [*keys, "cluster"]).where("id <> id2").withColumn("gap", gap)
-    place = F.row_number().over(Window.partitionBy(*keys, "cluster", "id").orderBy("gap", "id2"))
-    near = pairs.withColumn("place", place).where("place < min_points").groupBy(*keys, "cluster", "id", "min_points").agg(F.sum("gap").alias("s"))
-    k = F.col("min_points") - 1
-    got = near.groupBy(*keys, "cluster").agg(F.avg(F.col("s") / k).alias("radius"), F.avg(k / F.when(F.col("s") > 0, F.col("s"))).alias("density"))
-    return own.groupBy(*keys, "cluster").agg(F.count("*").alias("size")).join(got, [*keys, "cluster"], "left")
+    own = points.where("cluster >= 0")
+    by = [*keys, "cluster"]
+    at = own.where("x IS NOT NULL AND y IS NOT NULL").groupBy(*by, "x", "y", "min_points").agg(F.count("*").alias("n"), F.sum(F.when(F.col("core"), 1).otherwise(0)).alias("cores"))
+
+    def measure(table: pa.Table) -> pa.Table:
+        x, y = (table.column(c).to_numpy() for c in ("x", "y"))
+        asked, n = (table.column(c).to_numpy() for c in ("cores", "n"))
+        k = np.nan_to_num(table.column("min_points").to_numpy(), nan=0).astype(np.int64) - 1
+        # one row a position and min_points; positions are distinct, points of either kind count
+        place, row = np.unique(np.stack((x, y)), axis=1, return_inverse=True)
+        row = row.ravel()
+        use = np.flatnonzero((asked > 0) & (k > 0))
+        sums, full = [np.full(1, np.nan)] * 2
+        if len(use) and n.sum() > 1:
+            d = near_distances(place[0], place[1], np.bincount(row, n).astype(np.int64), np.unique(row[use]), int(min(k[use].max(), n.sum() - 1)))
+            upto = np.where(np.isfinite(d), d, 0).cumsum(axis=1)
+            s, weight = upto[row[use], np.minimum(k[use], d.shape[1]) - 1], asked[use]
+            some = s > 0
+            sums = (s / k[use] * weight).sum(keepdims=True) / weight.sum()
+            if some.any():
+                full = (k[use][some] / s[some] * weight[some]).sum(keepdims=True) / weight[some].sum()
+        out = table.slice(0, 1).select(by)
+        for name, value in (("radius", sums), ("density", full)):
+            out = out.append_column(name, pa.array(value, pa.float64(), from_pandas=True))
+        return out
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.select(*by).schema.fields) + ", radius double, density double"
+    return own.groupBy(*by).agg(F.count("*").alias("size")).join(at.groupBy(*by).applyInArrow(measure, schema), by, "left")
 
 
 def weighted_density(clusters: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from bisect import bisect_left, bisect_right
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from foldspark.operators import graph, hierarchy, intervals, scores
@@ -104,3 +105,22 @@ def test_alignment_of_long_chromosomes():
     assert all(d.inner[x] == [y for y in d.domains if y[0] >= x[0] and y[1] <= x[1]] for x in d.domains)
     plain = lambda s, e, nodes: {k: v for x in nodes if x[0] < e and x[1] > s for k, v in ({x[:2]: x[2]} if x[0] >= s and x[1] <= e else plain(s, e, d.children[x])).items()}
     assert all(d.maximal(s, s + w) == plain(s, s + w, d.roots) for s in range(-5, 420, 7) for w in (3, 40, 150))
+
+
+def test_radii_without_all_pairs(spark):
+    """One cluster of 100,000 points, with copies of a position and few members elsewhere: all pairs would be 10^10. Distances against loops on a part."""
+    draw = np.random.default_rng(2)
+    x, y = draw.integers(0, 400, (2, 100_000))
+    x[:5_000] = y[:5_000] = 7
+    rows = spark.createDataFrame(pd.DataFrame({"g": 0, "id": np.arange(len(x)), "x": x, "y": y, "core": True, "cluster": 0, "min_points": 6}))
+    got = scores.cluster_radii(rows, ["g"])
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+    (r,) = got.collect()
+    place, n = np.unique(np.stack((x, y)), axis=1, return_counts=True)
+    d = scores.near_distances(place[0], place[1], n, np.arange(len(n)), 5)
+    assert r["size"] == len(x) and r["radius"] == pytest.approx((d.sum(axis=1) * n).sum() / len(x) / 5, abs=1e-9)
+    for p in draw.integers(0, len(n), 40).tolist():
+        far = np.sort(np.hypot(x - place[0, p], y - place[1, p]))[1:6]
+        assert d[p] == pytest.approx(far, abs=1e-9)
+    few = scores.near_distances(np.array([0.0, 3.0]), np.array([0.0, 4.0]), np.array([2, 1]), np.array([0, 1]), 4)
+    assert few.tolist() == [[0, 5, np.inf, np.inf], [5, 5, np.inf, np.inf]]
