@@ -138,15 +138,75 @@ def _stencil(cells: DataFrame, sent: DataFrame | None, values: list[str], reach:
     return rows.groupBy(*KEY, "_ti", "_tj").applyInArrow(fill, schema)
 
 
-def donut(cells: DataFrame, sources: DataFrame, pw: int = 2, ww: int = 5) -> DataFrame:
-    """``cells`` (i, j) with seen and hoped: sums of ``sources`` (i, j, o, e) over the square around each without the inner one and the middle row and column."""
+def _rings(pw: int, ww: int) -> Callable[[np.ndarray], np.ndarray]:
+    """Sums over the square around each cell without the inner one and the middle row and column; a grid becomes smaller by ``ww`` on every side."""
     wide = [k for k in range(-ww, ww + 1) if k]
     far, close = ([k for k in wide if (abs(k) > pw) is side] for side in (True, False))
+    return lambda g: _shifted(_shifted(g, wide, ww, 1), far, ww, 0) + _shifted(_shifted(g, far, ww, 1), close, ww, 0)
 
-    def ring(*grids: np.ndarray) -> list[np.ndarray]:
-        return [_shifted(_shifted(g, wide, ww, 1), far, ww, 0) + _shifted(_shifted(g, far, ww, 1), close, ww, 0) for g in grids]
 
-    return _stencil(cells, None if sources is cells else sources, ["o", "e"], ww, ["seen", "hoped"], ring)
+def donut(cells: DataFrame, sources: DataFrame, pw: int = 2, ww: int = 5) -> DataFrame:
+    """``cells`` (i, j) with seen and hoped: sums of ``sources`` (i, j, o, e) over the square around each without the inner one and the middle row and column."""
+    ring = _rings(pw, ww)
+    return _stencil(cells, None if sources is cells else sources, ["o", "e"], ww, ["seen", "hoped"], lambda *grids: [ring(g) for g in grids])
+
+
+def every_cell(pixels: DataFrame, sizes: DataFrame, decay: DataFrame, wanted: list[str], least: int = 5, pw: int = 2, ww: int = 5) -> DataFrame:
+    """All cells (i, j; j - i >= ``least``) of whole maps with the columns ``wanted``, of o and e (value and mean of the distance), seen and hoped (:func:`donut` of the cells' o and e) and blur (:func:`blurred`).
+
+    ``sizes``: (dataset, chrom, n); ``decay``: (dataset, chrom, d, mean_v) for every distance from 0. Cells are not rows before they are results: a tile gets the pixels that reach it and one
+    row with its part of the decay and of the full columns, and makes its own cells.
+    """
+    reach, square, ring = max(pw, ww), range(-pw, pw + 1), _rings(pw, ww)
+    rows = pixels.select(*KEY, F.col("bin1").alias("i"), F.col("bin2").alias("j"), "v").withColumn("_ti", _tiles("i", reach)).withColumn("_tj", _tiles("j", reach)).where("_ti <= _tj")
+    means = decay.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("d", "mean_v"))).alias("m")).select(*KEY, F.col("m.mean_v").alias("_means"))
+    tiles = sizes.select(*KEY, F.col("n").alias("_n")).join(means, KEY)
+    if "blur" in wanted:
+        # by the greatest value, not distinct: so the plan reads what the others read
+        full = pixels.groupBy(*KEY, "bin2").agg(F.max("v").alias("m")).where("m is not null").groupBy(*KEY).agg(F.collect_list("bin2").alias("_full"))
+        tiles = tiles.join(full, KEY, "left")
+    last = F.floor((F.col("_n") - 1) / TILE)
+    tiles = tiles.withColumn("_ti", F.explode(F.sequence(F.lit(0).cast("bigint"), last))).withColumn("_tj", F.explode(F.sequence("_ti", last)))
+    # the least distance in a tile and its margins
+    first = F.greatest((F.col("_tj") - F.col("_ti") - 1) * TILE + 1 - 2 * reach, F.lit(0).cast("bigint"))
+    tiles = tiles.withColumn("_first", first).withColumn("_means", F.slice("_means", F.col("_first").cast("int") + 1, 2 * TILE + 4 * reach))
+    if "blur" in wanted:
+        near = lambda c, x: (x >= F.col(c) * TILE - pw) & (x < (F.col(c) + 1) * TILE + pw)
+        tiles = tiles.withColumn("_full", F.filter("_full", lambda x: near("_ti", x) | near("_tj", x)))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pixels.select(*KEY).schema.fields) + ", i bigint, j bigint" + "".join(f", {c} double" for c in wanted)
+
+    def fill(table: pa.Table) -> pa.Table:
+        head = table.filter(table.column("_n").is_valid())
+        if not head.num_rows:  # pixels beyond the ends
+            return pa.table({**{c: table.column(c).slice(0, 0) for c in KEY}, "i": pa.array([], pa.int64()), "j": pa.array([], pa.int64()), **{c: pa.array([], pa.float64()) for c in wanted}})
+        ti, tj, n, first = (head.column(c)[0].as_py() for c in ("_ti", "_tj", "_n", "_first"))
+        # bins of the wide grid
+        a, b = (np.arange(t * TILE - reach, min((t + 1) * TILE, n) + reach) for t in (ti, tj))
+        give = table.filter(table.column("v").is_valid())
+        i, j, v = give.column("i").to_numpy() - a[0], give.column("j").to_numpy() - b[0], give.column("v").to_numpy()
+        ok = (i < len(a)) & (j < len(b))
+        grid = np.bincount(i[ok] * len(b) + j[ok], v[ok], len(a) * len(b)).reshape(len(a), len(b))
+        d = b - a[:, None]
+        own = (d >= least) & (a >= 0)[:, None] & (b < n)
+        means = head.column("_means").combine_chunks().flatten().to_numpy()
+        seen, hoped = np.where(own, grid, 0), np.where(own, means[np.where(own, d - first, 0)], 0)
+        core = (slice(reach, len(a) - reach), slice(reach, len(b) - reach))
+        trim = lambda g, k: g[reach - k : len(a) - reach + k, reach - k : len(b) - reach + k]
+        x, y = np.nonzero(own[core])
+        out = {c: pa.repeat(head.column(c)[0], len(x)) for c in KEY} | {"i": pa.array(x + ti * TILE), "j": pa.array(y + tj * TILE)}
+        for c in wanted:
+            if c in ("o", "e"):
+                got = (seen if c == "o" else hoped)[core]
+            elif c in ("seen", "hoped"):
+                got = ring(trim(seen if c == "seen" else hoped, ww))
+            else:
+                full = head.column("_full").combine_chunks().flatten().to_numpy()
+                ni, nj = (_shifted(np.isin(np.arange(p[reach] - pw, p[-1] - reach + pw + 1), full).astype(float)[:, None], square, pw, 0)[:, 0] for p in (a, b))
+                got = _mean_square(trim(grid, pw), ni, nj, pw)
+            out[c] = pa.array(got[x, y], pa.float64())
+        return pa.table(out)
+
+    return rows.unionByName(tiles, True).groupBy(*KEY, "_ti", "_tj").applyInArrow(fill, schema)
 
 
 def corrected_expected(cells: DataFrame) -> DataFrame:
@@ -154,19 +214,20 @@ def corrected_expected(cells: DataFrame) -> DataFrame:
     return cells.withColumn("corrected", F.col("e") * F.col("seen") / F.when(F.col("hoped") == 0, 1.0).otherwise(F.col("hoped")))
 
 
+def _mean_square(grid: np.ndarray, ni: np.ndarray, nj: np.ndarray, pw: int) -> np.ndarray:
+    """Sums over the square around each cell by the product of the full columns near its row's bin and near its column's."""
+    square, count = range(-pw, pw + 1), np.outer(ni, nj)
+    return np.where(count > 0, _shifted(_shifted(grid, square, pw, 1), square, pw, 0) / np.maximum(count, 1), 0.0)
+
+
 def blurred(cells: DataFrame, pixels: DataFrame, sizes: DataFrame, pw: int = 2) -> DataFrame:
     """``cells`` (i, j) with blur: sum of the upper triangle over the square around each, by the number of its cells whose bins both have a value in their column."""
-    square = range(-pw, pw + 1)
     # the count is a product: full columns near i times full columns near j
     full = pixels.select(*KEY, F.col("bin2").alias("bin")).distinct()
     near = full.select(*KEY, F.explode(F.sequence(F.col("bin") - pw, F.col("bin") + pw)).alias("at")).groupBy(*KEY, "at").agg(F.count("*").alias("n"))
     near = near.join(sizes.select(*KEY, F.col("n").alias("n_bins")), KEY).where("at >= 0 and at < n_bins")
 
-    def mean(grid: np.ndarray, ni: np.ndarray, nj: np.ndarray) -> list[np.ndarray]:
-        count = np.outer(ni, nj)
-        return [np.where(count > 0, _shifted(_shifted(grid, square, pw, 1), square, pw, 0) / np.maximum(count, 1), 0.0)]
-
-    return _stencil(cells, pixels.select(*KEY, F.col("bin1").alias("i"), F.col("bin2").alias("j"), "v"), ["v"], pw, ["blur"], mean, near)
+    return _stencil(cells, pixels.select(*KEY, F.col("bin1").alias("i"), F.col("bin2").alias("j"), "v"), ["v"], pw, ["blur"], lambda grid, ni, nj: [_mean_square(grid, ni, nj, pw)], near)
 
 
 def top_cells(cells: DataFrame, top: float = 0.7, ratio: float = 0.05) -> DataFrame:

@@ -10,6 +10,7 @@ from foldspark.operators import matrix, scores, tracks
 from foldspark.plans import plotdata
 from foldspark.queries import query, views
 from foldspark.queries.views import B, BINS, C1, C2, DEFAULT, RES
+from foldspark.sources.kept import Kept
 
 
 def _r(name: str, digits: int = 6):
@@ -302,29 +303,21 @@ snt AS (SELECT chrom, i - a AS i, j - b AS j, sum(o) AS seen, sum(e) AS hoped FR
 dn AS (SELECT oe.chrom, oe.i, oe.j, seen, hoped FROM oe LEFT JOIN snt USING (chrom, i, j))"""
 
 
-def _map_cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(pixels, sizes, cells with o and e)."""
-    px, n = views.pixels(spark, sf_dir), views.sizes(spark, sf_dir)
-    # the decay has every distance: its rows give the cells; exploded in as many tasks as a shuffle has
-    decay = matrix.distance_decay(px, n).where("d >= 5").join(n, ["dataset", "chrom"]).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "dataset", "chrom", "d")
-    grid = decay.select("dataset", "chrom", "d", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1 - F.col("d"))).alias("i"), "mean_v")
-    grid = grid.select("dataset", "chrom", "i", (F.col("i") + F.col("d")).alias("j"), "mean_v")
-    cells = grid.join(px.select("dataset", "chrom", F.col("bin1").alias("i"), F.col("bin2").alias("j"), "v"), ["dataset", "chrom", "i", "j"], "left")
-    cells = cells.select("dataset", "chrom", "i", "j", F.coalesce("v", F.lit(0.0)).alias("o"), F.col("mean_v").alias("e"))
-    return px, n, cells
+def _map_cells(spark: SparkSession, sf_dir: str, *wanted: str) -> DataFrame:
+    # read for the decay and for the cells: the contacts are counted once
+    px, n = Kept(spark, "pixels").table(views.pixels(spark, sf_dir)), views.sizes(spark, sf_dir)
+    return scores.every_cell(px, n, matrix.distance_decay(px, n), list(wanted))
 
 
 @query(f"WITH {C2}, {_DONUT} SELECT 'd' AS dataset, chrom, i, j, round(coalesce(seen, 0), 6) AS seen, round(coalesce(hoped, 0), 6) AS hoped FROM dn")
 def donut_background(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, cells = _map_cells(spark, sf_dir)
-    return scores.donut(cells.select("dataset", "chrom", "i", "j"), cells).select("dataset", "chrom", "i", "j", _r("seen"), _r("hoped"))
+    return _map_cells(spark, sf_dir, "seen", "hoped").select("dataset", "chrom", "i", "j", _r("seen"), _r("hoped"))
 
 
 @query(f"""WITH {C2}, {_DONUT} SELECT 'd' AS dataset, dn.chrom, dn.i, dn.j, round(e * coalesce(seen, 0) / CASE WHEN coalesce(hoped, 0) = 0 THEN 1 ELSE hoped END, 5) AS corrected FROM dn JOIN oe USING (chrom, i, j)""")
 def corrected_expected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected contacts scaled by their surroundings."""
-    _, _, cells = _map_cells(spark, sf_dir)
-    return scores.corrected_expected(scores.donut(cells, cells)).select("dataset", "chrom", "i", "j", _r("corrected", 5))
+    return scores.corrected_expected(_map_cells(spark, sf_dir, "e", "seen", "hoped")).select("dataset", "chrom", "i", "j", _r("corrected", 5))
 
 
 _BLUR = f"""fc AS (SELECT DISTINCT chrom, bin2 AS b FROM c2),
@@ -337,8 +330,7 @@ bb AS (SELECT cel.chrom, cel.i, cel.j, CASE WHEN x.n * y.n > 0 THEN coalesce(s,
 
 @query(f"WITH {C2}, {_CELLS}, {_BLUR} SELECT 'd' AS dataset, chrom, i, j, round(blur, 6) AS blur FROM bb")
 def blurred_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    px, n, cells = _map_cells(spark, sf_dir)
-    return scores.blurred(cells.select("dataset", "chrom", "i", "j"), px, n).select("dataset", "chrom", "i", "j", _r("blur"))
+    return _map_cells(spark, sf_dir, "blur").select("dataset", "chrom", "i", "j", _r("blur"))
 
 
 @query("""WITH p AS (SELECT DISTINCT CAST(l_quantity AS BIGINT) AS k, l_linenumber * 1.5 AS mu FROM lineitem),
@@ -356,10 +348,9 @@ a AS (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY blur, i, j) AS k,
 b AS (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY p, i, j) AS r, count(*) OVER (PARTITION BY chrom) AS m FROM a WHERE k > floor(0.30000000000000004 * n) AND p IS NOT NULL)
 SELECT 'd' AS dataset, chrom, i, j, blur, p FROM b WHERE r <= ceil(0.07142857142857144 * m)""")
 def top_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    px, n, cells = _map_cells(spark, sf_dir)
-    full = scores.donut(cells, cells)
+    full = _map_cells(spark, sf_dir, "o", "e", "seen", "hoped", "blur")
     stat = F.when(F.col("hoped") != 0, F.round(F.col("o") * F.col("hoped") / (F.col("e") * F.col("seen") + 1), 6))
-    rows = scores.blurred(full, px, n).select("dataset", "chrom", "i", "j", F.round("blur", 6).alias("blur"), stat.alias("p"))
+    rows = full.select("dataset", "chrom", "i", "j", F.round("blur", 6).alias("blur"), stat.alias("p"))
     return scores.top_cells(rows)
 
 

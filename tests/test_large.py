@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from foldspark.operators import graph, hierarchy, intervals, scores
+from foldspark.operators import graph, hierarchy, intervals, matrix, scores
 
 
 @pytest.mark.parametrize("together, kind", [(2_000_000, "bigint"), (500, "string")])
@@ -124,3 +124,22 @@ def test_radii_without_all_pairs(spark):
         assert d[p] == pytest.approx(far, abs=1e-9)
     few = scores.near_distances(np.array([0.0, 3.0]), np.array([0.0, 4.0]), np.array([2, 1]), np.array([0, 1]), 4)
     assert few.tolist() == [[0, 5, np.inf, np.inf], [5, 5, np.inf, np.inf]]
+
+
+def test_cells_are_made_in_tiles(spark):
+    """Cells of whole maps are no rows before they are results: what goes to the tiles is a pixel or one row a tile. 300 bins, and a map of one tile, against the steps on cells as rows."""
+    draw, ends = np.random.default_rng(9), {"c": 300, "s": 40}
+    put = [(c, int(i), int(j), float(draw.integers(1, 9))) for c, n in ends.items() for i, j in zip(*np.triu_indices(n), strict=True) if draw.random() < 0.03]
+    pixels = spark.createDataFrame([("d", *x) for x in put], "dataset string, chrom string, bin1 bigint, bin2 bigint, v double")
+    sizes = spark.createDataFrame([("d", c, n) for c, n in (*ends.items(), ("empty", 7))], "dataset string, chrom string, n bigint")
+    decay = matrix.distance_decay(pixels, sizes)
+    df = scores.every_cell(pixels, sizes, decay, ["o", "e", "seen", "hoped", "blur"])
+    got = {(r["chrom"], r["i"], r["j"]): [r[c] for c in ("o", "e", "seen", "hoped", "blur")] for r in df.collect()}
+    mean = {(r["chrom"], r["d"]): r["mean_v"] for r in decay.collect()}
+    value = {x[:3]: x[3] for x in put}
+    cells = [("d", c, i, j, value.get((c, i, j), 0.0), mean[c, j - i]) for c, n in (*ends.items(), ("empty", 7)) for i in range(n) for j in range(i + 5, n)]
+    table = spark.createDataFrame(pd.DataFrame(cells, columns=["dataset", "chrom", "i", "j", "o", "e"]))
+    want = scores.blurred(scores.donut(table, table), pixels, sizes).toPandas()
+    assert len(got) == len(cells) == len(want)
+    for _, c, i, j, *rest in want[["dataset", "chrom", "i", "j", "o", "e", "seen", "hoped", "blur"]].itertuples(index=False):
+        assert got[c, i, j] == pytest.approx(rest, abs=1e-9)
