@@ -116,7 +116,7 @@ ed AS (SELECT * FROM f1 INTERSECT SELECT * FROM f2)"""
 
 @query(f"WITH {_EDGES} SELECT chrom, ts AS t_start, te AS t_end, qs AS q_start, qe AS q_end, round({_ov('ts', 'te', 'qs', 'qe')}, 6) AS ratio FROM ed")
 def mutual_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = intervals.mutual_edges(views.segments(spark, sf_dir, 0), views.segments(spark, sf_dir, 1), 1, bucket=100)
+    got = intervals.mutual_edges(views.segments(spark, sf_dir, 0), views.segments(spark, sf_dir, 1), 1)
     return got.withColumn("ratio", F.round("ratio", 6))
 
 

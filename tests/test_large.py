@@ -196,3 +196,25 @@ def test_best_spans_of_domains_with_many_bounds(spark):
     for r in got:
         ratio, s, e = want[r["chrom"], r["start"], r["end"]]
         assert (r["hit_start"], r["hit_end"]) == (s, e) and r["ratio"] == pytest.approx(ratio, abs=1e-12)
+
+
+def _edges(own: list[tuple[int, int]], other: list[tuple[int, int]]) -> set[tuple[tuple[int, int], tuple[int, int]]]:
+    """By plain loops: pairs of domains that lie in the best stretch of each other."""
+    a, b = ({d for d in v if d[1] - d[0] >= 5} for v in (own, other))
+    ends = lambda v: sorted({p for d in v for p in d})
+    hit = lambda x, y: {(d, m) for d in x if (h := _best(d, ends(y)))[0] > 0 for m in y if m[0] >= h[1] and m[1] <= h[2]}
+    return hit(a, b) & {(d, m) for m, d in hit(b, a)}
+
+
+def test_mutual_edges_without_joins(spark):
+    """Both directions of a chromosome in one group, against plain loops; domains of either set that lie in each other, copies, and sets that miss a chromosome."""
+    draw = random.Random(8)
+    near = lambda v: [(s + draw.randrange(-3, 4), e + draw.randrange(-3, 4)) for s, e in v]
+    own = {"c": _spread(draw, 80, 3000, 60), "d": _spread(draw, 40, 600, 90)}
+    sets = [own | {"x": [(0, 9)]}, {c: near(v) for c, v in own.items()} | {"y": [(0, 9)]}]
+    one, two = (spark.createDataFrame([(c, *d) for c, v in s.items() for d in [*v, *v[:5]]], "chrom string, start bigint, end bigint") for s in sets)
+    df = intervals.mutual_edges(one, two, 1)
+    assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
+    got = [(r["chrom"], (r["t_start"], r["t_end"]), (r["q_start"], r["q_end"])) for r in df.collect()]
+    want = {(c, *e) for c in ("c", "d") for e in _edges(sets[0][c], sets[1][c])}
+    assert len(got) == len(want) > 20 and set(got) == want
