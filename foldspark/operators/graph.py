@@ -16,7 +16,7 @@ from foldspark.sources.kept import Kept
 TOGETHER = 2_000_000
 
 
-def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+def least_nodes(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """The least node that can be reached from each of ``n`` nodes: roots hook onto their least neighbour's root, then all paths are shortened."""
     root = np.arange(n)
     while len(a):
@@ -39,7 +39,7 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ids = pc.unique(ends)
     ids = ids.take(pc.sort_indices(ids))
     code = pc.index_in(ends, ids).to_numpy(zero_copy_only=False)
-    root = _roots(code[: len(code) // 2], code[len(code) // 2 :], len(ids))
+    root = least_nodes(code[: len(code) // 2], code[len(code) // 2 :], len(ids))
     for at in range(0, len(ids), 100_000):
         yield pa.RecordBatch.from_arrays([ids[at : at + 100_000], ids.take(pa.array(root[at : at + 100_000]))], ["id", "to"])
 

@@ -131,7 +131,7 @@ _PAIR_COLUMNS = "chrom, ts AS t_start, te AS t_end, qs AS q_start, qe AS q_end,
 
 def _pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     a, b = (views.segments(spark, sf_dir, k) for k in (0, 1))
-    return intervals.region_pairs(a, b, 1, bucket=100), a, b
+    return intervals.region_pairs(a, b, 1), a, b
 
 
 @query(f"WITH RECURSIVE {_PAIRS} SELECT {_PAIR_COLUMNS} FROM pa")

@@ -218,3 +218,25 @@ def test_mutual_edges_without_joins(spark):
     got = [(r["chrom"], (r["t_start"], r["t_end"]), (r["q_start"], r["q_end"])) for r in df.collect()]
     want = {(c, *e) for c in ("c", "d") for e in _edges(sets[0][c], sets[1][c])}
     assert len(got) == len(want) > 20 and set(got) == want
+
+
+def test_region_pairs_without_joins(spark):
+    """Edges, components and counts of a chromosome in one group, against plain loops; copies count as domains, and no table is written."""
+    draw = random.Random(12)
+    ends = {c: sorted(draw.sample(range(3_000), 150)) for c in ("c", "d")}
+    cut = lambda v, share: [p + draw.randrange(-2, 3) for p in v if draw.random() < share]
+    flat = lambda v: list(zip(u := sorted(set(v)), u[1:], strict=False))
+    sets = [{c: flat(cut(v, share)) for c, v in ends.items()} for share in (0.9, 0.6)]
+    rows = [[(c, *d) for c, v in s.items() for d in [*v, *v[:10]]] for s in sets]
+    one, two = (spark.createDataFrame(x, "chrom string, start bigint, end bigint") for x in rows)
+    want = []
+    for c in ends:
+        links = _edges(sets[0][c], sets[1][c])
+        for part in hierarchy.components({(k, d) for e in links for k, d in enumerate(e)}, [((0, a), (1, b)) for a, b in links]):
+            t, q = ((min(d[0] for k, d in part if k == side), max(d[1] for k, d in part if k == side)) for side in (0, 1))
+            n = [sum(x == c and s >= out[0] and e <= out[1] and e - s >= 5 for x, s, e in rows[side]) for side, out in enumerate((t, q))]
+            want.append((c, *t, *q, *n))
+    df = intervals.region_pairs(one, two, 1)
+    assert "Join" not in (plan := df._jdf.queryExecution().executedPlan().toString()) and "FileScan" not in plan
+    assert sorted(tuple(r) for r in df.collect()) == sorted(want) and len(want) > 40
+    assert {r["class"] for r in intervals.pair_classes(df).collect()} >= {"conserved", "merged", "split"}
