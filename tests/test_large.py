@@ -240,3 +240,18 @@ def test_region_pairs_without_joins(spark):
     assert "Join" not in (plan := df._jdf.queryExecution().executedPlan().toString()) and "FileScan" not in plan
     assert sorted(tuple(r) for r in df.collect()) == sorted(want) and len(want) > 40
     assert {r["class"] for r in intervals.pair_classes(df).collect()} >= {"conserved", "merged", "split"}
+
+
+@pytest.mark.parametrize("name", ["conserved_pairs"])
+def test_classes_of_pairs_without_joins(spark, sf, name):
+    """The regions of a class against those of all, from one group a chromosome."""
+    from foldspark.queries import queries, views
+
+    df = queries()[name](spark, sf)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "FlatMapCoGroupsInArrow" in plan
+    rows = intervals.region_pairs(*(views.segments(spark, sf, k) for k in (0, 1)), 1).collect()
+    turn = lambda r: (r[0], *(r[3:5] + r[1:3] + (r[6], r[5]) if name == "split_pairs" else r[1:]))
+    one = {"conserved_pairs": lambda t, q: t == q == 1, "merged_pairs": lambda t, q: t > 1 == q, "split_pairs": lambda t, q: q > 1 == t}[name]
+    want = sorted(turn(tuple(r)) for r in rows if one(r["n_target"], r["n_query"]))
+    assert sorted(tuple(r) for r in df.collect()) == want and want
