@@ -242,7 +242,7 @@ def test_region_pairs_without_joins(spark):
     assert {r["class"] for r in intervals.pair_classes(df).collect()} >= {"conserved", "merged", "split"}
 
 
-@pytest.mark.parametrize("name", ["conserved_pairs", "merged_pairs"])
+@pytest.mark.parametrize("name", ["conserved_pairs", "merged_pairs", "split_pairs"])
 def test_classes_of_pairs_without_joins(spark, sf, name):
     """The regions of a class against those of all, from one group a chromosome."""
     from foldspark.queries import queries, views
