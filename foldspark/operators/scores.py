@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from decimal import ROUND_HALF_UP, Context, Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -151,11 +152,31 @@ def donut(cells: DataFrame, sources: DataFrame, pw: int = 2, ww: int = 5) -> Dat
     return _stencil(cells, None if sources is cells else sources, ["o", "e"], ww, ["seen", "hoped"], lambda *grids: [ring(g) for g in grids])
 
 
-def every_cell(pixels: DataFrame, sizes: DataFrame, decay: DataFrame, wanted: list[str], least: int = 5, pw: int = 2, ww: int = 5) -> DataFrame:
+def rounded(x: np.ndarray, digits: int) -> np.ndarray:
+    """Doubles rounded half up at so many decimals of their shortest form, as ``round`` of Spark and of SQL does, and without negative zeros.
+
+    Only where the error of the product could decide, each is rounded by its decimals.
+    """
+    scale = 10.0**digits
+    with np.errstate(invalid="ignore", over="ignore"):
+        y = np.abs(x) * scale
+        whole = np.floor(y)
+        out = np.copysign(np.floor(y + 0.5) / scale, x)
+        near = np.isfinite(x) & ((np.abs(y - whole - 0.5) <= y * 1e-15) | ~(y < 2.0**52))
+    out = np.where(np.isfinite(x), out, x)
+    exact, unit = Context(prec=400), Decimal(1).scaleb(-digits)
+    out[near] = [float(Decimal(repr(v)).quantize(unit, ROUND_HALF_UP, exact)) for v in x[near].tolist()]
+    return out + 0.0
+
+
+def every_cell(
+    pixels: DataFrame, sizes: DataFrame, decay: DataFrame, wanted: list[str], least: int = 5, pw: int = 2, ww: int = 5, made: dict[str, Callable[[dict[str, np.ndarray]], np.ndarray]] | None = None
+) -> DataFrame:
     """All cells (i, j; j - i >= ``least``) of whole maps with the columns ``wanted``, of o and e (value and mean of the distance), seen and hoped (:func:`donut` of the cells' o and e) and blur (:func:`blurred`).
 
     ``sizes``: (dataset, chrom, n); ``decay``: (dataset, chrom, d, mean_v) for every distance from 0. Cells are not rows before they are results: a tile gets the pixels that reach it and one
-    row with its part of the decay and of the full columns, and makes its own cells.
+    row with its part of the decay and of the full columns, and makes its own cells. With ``made``, the columns that its functions make from those wanted (arrays by name; NaN becomes null)
+    are returned in their place, so that what a column is made of does not leave the tile.
     """
     reach, square, ring = max(pw, ww), range(-pw, pw + 1), _rings(pw, ww)
     rows = pixels.select(*KEY, F.col("bin1").alias("i"), F.col("bin2").alias("j"), "v").withColumn("_ti", _tiles("i", reach)).withColumn("_tj", _tiles("j", reach)).where("_ti <= _tj")
@@ -173,16 +194,15 @@ def every_cell(pixels: DataFrame, sizes: DataFrame, decay: DataFrame, wanted: li
     if "blur" in wanted:
         near = lambda c, x: (x >= F.col(c) * TILE - pw) & (x < (F.col(c) + 1) * TILE + pw)
         tiles = tiles.withColumn("_full", F.filter("_full", lambda x: near("_ti", x) | near("_tj", x)))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pixels.select(*KEY).schema.fields) + ", i bigint, j bigint" + "".join(f", {c} double" for c in wanted)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pixels.select(*KEY).schema.fields) + ", i bigint, j bigint" + "".join(f", {c} double" for c in made or wanted)
 
-    def fill(table: pa.Table) -> pa.Table:
-        head = table.filter(table.column("_n").is_valid())
+    def fill(give: pa.Table, head: pa.Table) -> pa.Table:
         if not head.num_rows:  # pixels beyond the ends
-            return pa.table({**{c: table.column(c).slice(0, 0) for c in KEY}, "i": pa.array([], pa.int64()), "j": pa.array([], pa.int64()), **{c: pa.array([], pa.float64()) for c in wanted}})
+            return pa.table({**{c: give.column(c).slice(0, 0) for c in KEY}, "i": pa.array([], pa.int64()), "j": pa.array([], pa.int64()), **{c: pa.array([], pa.float64()) for c in made or wanted}})
         ti, tj, n, first = (head.column(c)[0].as_py() for c in ("_ti", "_tj", "_n", "_first"))
         # bins of the wide grid
         a, b = (np.arange(t * TILE - reach, min((t + 1) * TILE, n) + reach) for t in (ti, tj))
-        give = table.filter(table.column("v").is_valid())
+        give = give.filter(give.column("v").is_valid())
         i, j, v = give.column("i").to_numpy() - a[0], give.column("j").to_numpy() - b[0], give.column("v").to_numpy()
         ok = (i < len(a)) & (j < len(b))
         grid = np.bincount(i[ok] * len(b) + j[ok], v[ok], len(a) * len(b)).reshape(len(a), len(b))
@@ -193,7 +213,7 @@ def every_cell(pixels: DataFrame, sizes: DataFrame, decay: DataFrame, wanted: li
         core = (slice(reach, len(a) - reach), slice(reach, len(b) - reach))
         trim = lambda g, k: g[reach - k : len(a) - reach + k, reach - k : len(b) - reach + k]
         x, y = np.nonzero(own[core])
-        out = {c: pa.repeat(head.column(c)[0], len(x)) for c in KEY} | {"i": pa.array(x + ti * TILE), "j": pa.array(y + tj * TILE)}
+        values = {}
         for c in wanted:
             if c in ("o", "e"):
                 got = (seen if c == "o" else hoped)[core]
@@ -203,10 +223,14 @@ def every_cell(pixels: DataFrame, sizes: DataFrame, decay: DataFrame, wanted: li
                 full = head.column("_full").combine_chunks().flatten().to_numpy()
                 ni, nj = (_shifted(np.isin(np.arange(p[reach] - pw, p[-1] - reach + pw + 1), full).astype(float)[:, None], square, pw, 0)[:, 0] for p in (a, b))
                 got = _mean_square(trim(grid, pw), ni, nj, pw)
-            out[c] = pa.array(got[x, y], pa.float64())
-        return pa.table(out)
+            values[c] = got[x, y]
+        if made:
+            values = {c: f(values) for c, f in made.items()}
+        out = {c: pa.repeat(head.column(c)[0], len(x)) for c in KEY} | {"i": pa.array(x + ti * TILE), "j": pa.array(y + tj * TILE)}
+        return pa.table(out | {c: pa.array(v, pa.float64(), from_pandas=bool(made)) for c, v in values.items()})
 
-    return rows.unionByName(tiles, True).groupBy(*KEY, "_ti", "_tj").applyInArrow(fill, schema)
+    # not one table of both: with each row of a batch, Spark goes through its lists anew
+    return rows.groupBy(*KEY, "_ti", "_tj").cogroup(tiles.groupBy(*KEY, "_ti", "_tj")).applyInArrow(fill, schema)
 
 
 def corrected_expected(cells: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -303,10 +306,10 @@ snt AS (SELECT chrom, i - a AS i, j - b AS j, sum(o) AS seen, sum(e) AS hoped FR
 dn AS (SELECT oe.chrom, oe.i, oe.j, seen, hoped FROM oe LEFT JOIN snt USING (chrom, i, j))"""
 
 
-def _map_cells(spark: SparkSession, sf_dir: str, *wanted: str) -> DataFrame:
+def _map_cells(spark: SparkSession, sf_dir: str, *wanted: str, **made: Callable[[dict[str, np.ndarray]], np.ndarray]) -> DataFrame:
     # read for the decay and for the cells: the contacts are counted once
     px, n = Kept(spark, "pixels").table(views.pixels(spark, sf_dir)), views.sizes(spark, sf_dir)
-    return scores.every_cell(px, n, matrix.distance_decay(px, n), list(wanted))
+    return scores.every_cell(px, n, matrix.distance_decay(px, n), list(wanted), made=made)
 
 
 @query(f"WITH {C2}, {_DONUT} SELECT 'd' AS dataset, chrom, i, j, round(coalesce(seen, 0), 6) AS seen, round(coalesce(hoped, 0), 6) AS hoped FROM dn")
@@ -348,10 +351,9 @@ a AS (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY blur, i, j) AS k,
 b AS (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY p, i, j) AS r, count(*) OVER (PARTITION BY chrom) AS m FROM a WHERE k > floor(0.30000000000000004 * n) AND p IS NOT NULL)
 SELECT 'd' AS dataset, chrom, i, j, blur, p FROM b WHERE r <= ceil(0.07142857142857144 * m)""")
 def top_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    full = _map_cells(spark, sf_dir, "o", "e", "seen", "hoped", "blur")
-    stat = F.when(F.col("hoped") != 0, F.round(F.col("o") * F.col("hoped") / (F.col("e") * F.col("seen") + 1), 6))
-    rows = full.select("dataset", "chrom", "i", "j", F.round("blur", 6).alias("blur"), stat.alias("p"))
-    return scores.top_cells(rows)
+    """Both values are made and rounded in their tile: five columns of every cell, and a decimal for each value, would be most of the work."""
+    stat = lambda c: np.where(c["hoped"] != 0, scores.rounded(c["o"] * c["hoped"] / (c["e"] * c["seen"] + 1), 6), np.nan)
+    return scores.top_cells(_map_cells(spark, sf_dir, "o", "e", "seen", "hoped", "blur", blur=lambda c: scores.rounded(c["blur"], 6), p=stat))
 
 
 @query(f"WITH {C2} SELECT 'd' AS dataset, chrom, bin1, bin2, v, (bin1 + bin2) / 2 AS px, CAST(bin2 - bin1 AS DOUBLE) AS py FROM c2")

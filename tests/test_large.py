@@ -8,6 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from foldspark.operators import graph, hierarchy, intervals, matrix, scores
 
@@ -145,6 +146,39 @@ def test_cells_are_made_in_tiles(spark):
         assert got[c, i, j] == pytest.approx(rest, abs=1e-9)
 
 
+def test_cells_get_lists_apart_from_pixels(spark, sf):
+    """With each row of a batch Spark goes through all lists of the batch: pixels and the lists of a tile are two tables. No more leaves a tile than is ranked, rounded as Spark does."""
+    from foldspark.queries import maps, queries
+
+    df = queries()["top_cells"](spark, sf)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" not in plan and "FlatMapCoGroupsInArrow" in plan and "hoped" not in plan and "round(" not in plan
+    full = maps._map_cells(spark, sf, "o", "e", "seen", "hoped", "blur")
+    stat = F.when(F.col("hoped") != 0, F.round(F.col("o") * F.col("hoped") / (F.col("e") * F.col("seen") + 1), 6))
+    want = scores.top_cells(full.select("dataset", "chrom", "i", "j", F.round("blur", 6).alias("blur"), stat.alias("p")))
+    assert sorted(map(tuple, df.collect())) == sorted(map(tuple, want.collect())) and df.count() > 100
+    gone = scores.every_cell(
+        spark.createDataFrame([("d", "c", 3, 9, 2.0)], "dataset string, chrom string, bin1 bigint, bin2 bigint, v double"),
+        spark.createDataFrame([("d", "c", 12)], "dataset string, chrom string, n bigint"),
+        spark.range(12).selectExpr("'d' AS dataset", "'c' AS chrom", "id AS d", "1.0D AS mean_v"),
+        ["o"],
+        made={"q": lambda c: np.where(c["o"] > 0, c["o"] / 3, np.nan)},
+    ).collect()
+    assert {(r["i"], r["j"], r["q"]) for r in gone} == {(i, j, 2 / 3 if (i, j) == (3, 9) else None) for i in range(12) for j in range(i + 5, 12)}
+
+
+def test_rounding_of_doubles_as_in_spark(spark):
+    """Halves, values near them, large ones, no numbers."""
+    draw = np.random.default_rng(1)
+    halves = (draw.integers(0, 10**9, 2_000) * 2 + 1) / 2e6
+    x = np.concatenate((halves, np.nextafter(halves, 0), np.nextafter(halves, 9e9), draw.random(2_000) * 10.0 ** draw.integers(-9, 18, 2_000), [0.0, 1e300, 5e-324, 2.5e-6, 4503599627.3704955, np.inf, np.nan]))
+    x = np.concatenate((x, -x))
+    want = spark.createDataFrame(pd.DataFrame({"k": np.arange(len(x)), "x": x})).select("k", (F.round("x", 6) + 0.0).alias("y"), (F.round("x", 2) + 0.0).alias("z")).orderBy("k").toPandas()
+    for digits, name in ((6, "y"), (2, "z")):
+        got = scores.rounded(x, digits)
+        assert np.array_equal(got, want[name].to_numpy(), equal_nan=True) and not np.signbit(got[got == 0]).any()
+
+
 def test_calls_make_pixels_once(spark, tmp_path):
     """What the windows, the training values and the calls read is one table of pixels."""
     from foldspark.plans.pipeline import Genome
